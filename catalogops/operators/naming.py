@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalogops.functions.names import joined_path, quoted, text_literal
 from catalogops.functions.privileges import legal_privileges
 from catalogops.plans.ordered import global_position
+from catalogops.plans.skew import skew_join
 
 
 def map_catalog_names(objects: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -63,15 +64,16 @@ def resolve_locations(objects: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def qualified_names(objects: DataFrame, levels: Sequence[Sequence[str]] = (("catalog",), ("schema",), ("table", "view", "volume", "function", "materialized_view"), ("column",))) -> DataFrame:
-    """(object_type, object_id, full_name) by joining each level to the one above."""
+    """(object_type, object_id, full_name) by joining each level to the one above; one container
+    may hold most of the objects."""
     result = above = None
     for kinds in levels:
         here = objects.where(F.col("object_type").isin(list(kinds)))
         if above is None:
             named = here.select("object_type", "object_id", F.col("name").alias("full_name"))
         else:
-            named = here.join(
-                above.select(F.col("object_id").alias("parent_id"), F.col("full_name").alias("_up")), "parent_id"
+            named = skew_join(
+                here, above.select(F.col("object_id").alias("parent_id"), F.col("full_name").alias("_up")), ["parent_id"]
             ).select("object_type", "object_id", F.concat_ws(".", "_up", "name").alias("full_name"))
         result = named if result is None else result.unionByName(named)
         above = named
@@ -80,7 +82,7 @@ def qualified_names(objects: DataFrame, levels: Sequence[Sequence[str]] = (("cat
 
 def split_privileges(raw: Column) -> Column:
     """A comma list as typed: trimmed, blanks removed, inner spaces kept."""
-    return F.filter(F.transform(F.split(raw, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(raw, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def illegal_privileges(grants: DataFrame) -> DataFrame:
@@ -123,5 +125,5 @@ def render_statements(ops: DataFrame, names: DataFrame) -> DataFrame:
         )
         .when(F.col("op") == "unset_table_tag", F.concat(table, F.lit(" UNSET TAGS ("), text_literal(F.col("tag_name")), F.lit(")")))
     )
-    lines = ops.join(names, "target").select("seq", "op_id", line.alias("statement")).where("statement IS NOT NULL")
+    lines = skew_join(ops, names, ["target"]).select("seq", "op_id", line.alias("statement")).where("statement IS NOT NULL")
     return global_position(lines, ["seq"], "execution_order").select("execution_order", "op_id", "statement")
