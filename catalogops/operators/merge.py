@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.functions.versions import order_key, parsed, shown
-from catalogops.plans.ordered import BITS, last_before
+from catalogops.plans.durable import durable
+from catalogops.plans.ordered import BITS, last_before, rank_within
 from catalogops.plans.skew import skew_join
 
 
@@ -59,8 +60,6 @@ def next_version(df: DataFrame, group: str, column: str = "version", bump: str =
 
 def ranked_versions(versions: DataFrame, branch: str, *, bits: int = BITS) -> DataFrame:
     """Distinct valid versions (branch, key, version, rank) ranked from 1 inside their branch."""
-    from catalogops.plans.ordered import rank_within
-
     distinct = (
         versions.select(branch, order_key(F.col("version")).alias("key"), "version")
         .where("key IS NOT NULL")
@@ -70,16 +69,40 @@ def ranked_versions(versions: DataFrame, branch: str, *, bits: int = BITS) -> Da
     return rank_within(distinct, [branch], "key", "rank", bits=bits)
 
 
-def _rank_below(ends: DataFrame, ranked: DataFrame, branch: str, inclusive: bool, bits: int) -> DataFrame:
-    """Distinct (branch, key) ends with the rank of the last version below them (or at them)."""
-    # Version rows take even places, ends the odd place after (inclusive) or before their key.
-    marks = ranked.select(branch, (F.col("key") * 2).alias("at"), "rank").unionByName(
-        ends.select(branch, (F.col("key") * 2 + (1 if inclusive else -1)).alias("at"), F.lit(None).cast("long").alias("rank"))
+def _rank_below(ends: DataFrame, ranked: DataFrame, branch: str, bits: int) -> DataFrame:
+    """Each distinct end (branch, key, inclusive) with the rank of the last version before it,
+    or at it when inclusive."""
+    # Version rows take even places; an end stands just after (inclusive) or just before its key.
+    side = F.when(F.col("inclusive"), 1).otherwise(-1)
+    marks = durable(
+        ranked.select(
+            branch, (F.col("key") * 2).alias("at"), "rank", F.lit(None).cast("long").alias("key"), F.lit(None).cast("boolean").alias("inclusive")
+        ).unionByName(
+            ends.select(branch, (F.col("key") * 2 + side).alias("at"), F.lit(None).cast("long").alias("rank"), "key", "inclusive").distinct()
+        ),
+        "marks",
     )
     held = last_before(marks, [branch], "at", F.col("rank"), "below", bits=bits, levels=3)
-    return held.where("rank IS NULL").select(
-        branch, F.shiftright(F.col("at") + (0 if inclusive else 1), 1).alias("key"), F.coalesce("below", F.lit(0)).alias("below")
+    return held.where("rank IS NULL").select(branch, "key", "inclusive", F.coalesce("below", F.lit(0)).alias("below"))
+
+
+def _placed(pairs: DataFrame, ranked: DataFrame, branch: str, bits: int) -> DataFrame:
+    """Distinct pairs (branch, from_version, to_version) with versions between their ends, as the
+    ranks ``after`` < rank <= ``until`` of what lies between."""
+    wanted = durable(
+        pairs.select(
+            branch, "from_version", "to_version",
+            order_key(F.col("from_version")).alias("lo"), order_key(F.col("to_version")).alias("hi"),
+        ).where("lo IS NOT NULL AND hi IS NOT NULL").distinct(),
+        "pairs",
+    )
+    ends = wanted.select(branch, F.col("lo").alias("key"), F.lit(True).alias("inclusive")).unionByName(
+        wanted.select(branch, F.col("hi").alias("key"), F.lit(False).alias("inclusive"))
     )
+    below = durable(_rank_below(ends, ranked, branch, bits), "below")
+    lows = below.where("inclusive").select(branch, F.col("key").alias("lo"), F.col("below").alias("after"))
+    highs = below.where("NOT inclusive").select(branch, F.col("key").alias("hi"), F.col("below").alias("until"))
+    return wanted.join(lows, [branch, "lo"]).join(highs, [branch, "hi"]).where("until > after")
 
 
 def versions_between(pairs: DataFrame, versions: DataFrame, branch: str = "branch", *, bits: int = BITS) -> DataFrame:
@@ -88,20 +111,11 @@ def versions_between(pairs: DataFrame, versions: DataFrame, branch: str = "branc
     Ends are placed among the ranked versions first; then each pair is joined by rank to just the
     versions it misses, so the work is the size of the answer.
     """
-    ranked = ranked_versions(versions, branch, bits=bits)
-    wanted = pairs.select(
-        branch, "from_version", "to_version",
-        order_key(F.col("from_version")).alias("lo"), order_key(F.col("to_version")).alias("hi"),
-    ).where("lo IS NOT NULL AND hi IS NOT NULL").distinct()
-    lows = _rank_below(wanted.select(branch, F.col("lo").alias("key")).distinct(), ranked, branch, True, bits)
-    highs = _rank_below(wanted.select(branch, F.col("hi").alias("key")).distinct(), ranked, branch, False, bits)
-    placed = (
-        wanted.join(lows.select(branch, F.col("key").alias("lo"), F.col("below").alias("after")), [branch, "lo"])
-        .join(highs.select(branch, F.col("key").alias("hi"), F.col("below").alias("until")), [branch, "hi"])
-        .where("until > after")
-        .withColumn("rank", F.explode(F.sequence(F.col("after") + 1, F.col("until"))))
+    ranked = durable(ranked_versions(versions, branch, bits=bits), "ranked")
+    each = _placed(pairs, ranked, branch, bits).withColumn(
+        "rank", F.explode(F.sequence(F.col("after") + 1, F.col("until")))
     )
-    return placed.join(ranked.select(branch, "rank", F.col("version").alias("missing")), [branch, "rank"]).select(
+    return each.join(ranked.select(branch, "rank", F.col("version").alias("missing")), [branch, "rank"]).select(
         branch, "from_version", "to_version", "missing"
     )
 
@@ -110,21 +124,18 @@ def stale_snapshots(snapshots: DataFrame, branch: str = "branch", *, bits: int =
     """(branch, version, current_base, should_be_base, missing) for snapshots (branch, version,
     previous) with versions between them and their base; ``missing`` is their number, the rows
     of ``versions_between`` are their names."""
-    ranked = ranked_versions(snapshots, branch, bits=bits)
-    pairs = (
-        snapshots.where("previous IS NOT NULL")
-        .select(branch, "version", "previous", order_key(F.col("version")).alias("hi"), order_key(F.col("previous")).alias("lo"))
-        .where("hi IS NOT NULL AND lo IS NOT NULL")
+    ranked = durable(ranked_versions(snapshots, branch, bits=bits), "ranked")
+    pairs = snapshots.where("previous IS NOT NULL").select(
+        branch, F.col("previous").alias("from_version"), F.col("version").alias("to_version")
     )
-    lows = _rank_below(pairs.select(branch, F.col("lo").alias("key")).distinct(), ranked, branch, True, bits)
-    highs = _rank_below(pairs.select(branch, F.col("hi").alias("key")).distinct(), ranked, branch, False, bits)
-    return (
-        skew_join(pairs, lows.select(branch, F.col("key").alias("lo"), F.col("below").alias("after")), [branch, "lo"])
-        .transform(lambda d: skew_join(d, highs.select(branch, F.col("key").alias("hi"), F.col("below").alias("rank")), [branch, "hi"]))
-        .where("rank > after")
-        .transform(lambda d: skew_join(d, ranked.select(branch, "rank", F.col("version").alias("should_be_base")), [branch, "rank"]))
-        .select(branch, "version", F.col("previous").alias("current_base"), "should_be_base", (F.col("rank") - F.col("after")).alias("missing"))
+    stale = _placed(pairs, ranked, branch, bits).join(
+        ranked.select(branch, F.col("rank").alias("until"), F.col("version").alias("should_be_base")), [branch, "until"]
     )
+    return skew_join(
+        pairs,
+        stale.select(branch, "from_version", "to_version", "should_be_base", (F.col("until") - F.col("after")).alias("missing")),
+        [branch, "from_version", "to_version"],
+    ).select(branch, F.col("to_version").alias("version"), F.col("from_version").alias("current_base"), "should_be_base", "missing")
 
 
 def rebase_ops(ops: DataFrame, snapshots: DataFrame, old_base: str, new_base: str, base_only: bool = False) -> DataFrame:

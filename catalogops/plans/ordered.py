@@ -38,32 +38,26 @@ def last_before(
 
     With ``reverse`` the nearest one strictly after. ``order`` is an integer column.
     """
+    # Working names carry the level, since a level's summaries are the next level's rows.
+    o, b, v, tail, carry, inner = (f"_{name}{levels}" for name in ("o", "b", "v", "tail", "carry", "in"))
     position = F.col(order).cast("long")
     if reverse:
         position = -position
-    marked = df.withColumns({"_o": position, "_v": value}).withColumn("_b", F.shiftright("_o", bits))
-    inside = (
-        Window.partitionBy(*keys, "_b")
-        .orderBy("_o")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    tails = marked.groupBy(*keys, "_b").agg(
-        F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_o"))).alias("_tail")
+    marked = df.withColumns({o: position, v: value}).withColumn(b, F.shiftright(o, bits))
+    inside = Window.partitionBy(*keys, b).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    tails = marked.groupBy(*keys, b).agg(
+        F.max_by(v, F.when(F.col(v).isNotNull(), F.col(o))).alias(tail)
     )
     if levels > 1:
-        carried = last_before(
-            tails, keys, "_b", F.col("_tail"), "_carry", bits=bits, levels=levels - 1
-        )
+        carried = last_before(tails, keys, b, F.col(tail), carry, bits=bits, levels=levels - 1)
     else:
-        across = (
-            Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(across))
-    carried = carried.where("_carry IS NOT NULL").select(*keys, "_b", "_carry")
+        across = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        carried = tails.withColumn(carry, F.last(tail, ignorenulls=True).over(across))
+    carried = carried.where(F.col(carry).isNotNull()).select(*keys, b, carry)
     return (
-        marked.withColumn("_in", F.last("_v", ignorenulls=True).over(inside))
-        .join(carried, [*keys, "_b"], "left")
-        .withColumn(out, F.coalesce("_in", "_carry"))
+        marked.withColumn(inner, F.last(v, ignorenulls=True).over(inside))
+        .join(carried, [*keys, b], "left")
+        .withColumn(out, F.coalesce(inner, carry))
         .select(*df.columns, out)
     )
 

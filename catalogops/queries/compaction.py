@@ -139,7 +139,7 @@ def reorder_distance(spark, sf_dir):
 
 @query(
     "M11_scoped_merge",
-    """WITH o AS (SELECT name, comment, nation FROM [fx3_old]), f AS (SELECT name, concat('found ', comment) AS comment, nation FROM [fx3_new] WHERE id < 1000000 AND nation < 12)
+    """WITH o AS (SELECT name, comment, nation FROM [fx3_old]), f AS (SELECT name, 'found ' || comment AS comment, nation FROM [fx3_new] WHERE id < 1000000 AND nation < 12)
     SELECT coalesce(f.name, o.name) AS name, CASE WHEN f.name IS NOT NULL THEN f.comment ELSE o.comment END AS comment, coalesce(f.nation, o.nation) AS nation FROM o FULL JOIN f ON f.name = o.name""",
 )
 def scoped_merge(spark, sf_dir):
