@@ -24,19 +24,20 @@ def _union(frames):
 
 
 class _Edges:
-    """Edges cut to a table once, with the hub keys of one end known."""
+    """Edges cut to a table once, with the hub nodes of each end known."""
 
-    def __init__(self, edges: DataFrame, end: str):
+    def __init__(self, edges: DataFrame):
         self.rows = durable(edges, "edges")
-        self.end = end
-        heavy = durable(heavy_keys(self.rows, [end]), "hubs")
-        self.hubs = None if heavy.isEmpty() else heavy
+        self.hubs = {}
+        for end in ("from_id", "to_id"):
+            heavy = durable(heavy_keys(self.rows, [end]), "hubs")
+            self.hubs[end] = None if heavy.isEmpty() else heavy
 
-    def meet(self, rows: DataFrame, small: DataFrame, how: str) -> DataFrame:
-        """``rows`` (these edges or fewer) joined on the end with few rows per node."""
-        if self.hubs is None:
-            return rows.join(small, self.end, how)
-        return skew_join(rows, small, [self.end], how, heavy=self.hubs)
+    def meet(self, rows: DataFrame, small: DataFrame, end: str, how: str = "inner") -> DataFrame:
+        """``rows`` (these edges or fewer) joined on one end with few rows per node."""
+        if self.hubs[end] is None:
+            return rows.join(small, end, how)
+        return skew_join(rows, small, [end], how, heavy=self.hubs[end])
 
 
 def extract_table_refs(defs: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def resolve_refs(refs: DataFrame, names: DataFrame, default_catalog: str | Colum
     ``names`` is (object_type, object_id, catalog, schema, name). Shorter refs are read in the
     default catalog; a bare name matches any schema there. Tables win over views.
     """
+    refs = durable(refs, "refs")
     parts = F.split("ref", r"\.")
     default = default_catalog if isinstance(default_catalog, Column) else F.lit(default_catalog)
     asked = (
@@ -90,7 +92,7 @@ def build_edges(resolved: DataFrame, foreign_keys: DataFrame, nodes: DataFrame)
     ``resolved`` is from ``resolve_refs``, ``foreign_keys`` is (table_id, parent_table). Edges to
     unknown nodes are in ``missing_edges``.
     """
-    edges = candidate_edges(resolved, foreign_keys)
+    edges = durable(candidate_edges(resolved, foreign_keys), "edges")
     known = nodes.select("node_id").distinct()
     for end in ("from_id", "to_id"):
         edges = skew_join(edges, known.withColumnRenamed("node_id", end), [end], "left_semi")
@@ -133,13 +135,13 @@ def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
 
     ``roots`` is (root_id). For ancestors pass the edges turned round.
     """
-    graph = _Edges(edges.select("from_id", "to_id").distinct(), "from_id")
+    graph = _Edges(edges.select("from_id", "to_id").distinct())
     frontier = durable(
         roots.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).cast("long").alias("hops")).distinct(), "reached"
     )
     reached = [frontier]
     for hops in range(1, max_rounds + 1):
-        step = graph.meet(graph.rows, frontier.select("root_id", F.col("node_id").alias("from_id")), "inner")
+        step = graph.meet(graph.rows, frontier.select("root_id", F.col("node_id").alias("from_id")), "from_id")
         met = step.select("root_id", F.col("to_id").alias("node_id")).distinct()
         frontier = durable(
             met.join(_union(reached).select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
@@ -166,7 +168,7 @@ def topo_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Round r keeps the edges that end a path of r edges; a node's depth is the last round in
     which such an edge enters it. Without cycles every round keeps fewer edges.
     """
-    graph = _Edges(edges.select("from_id", "to_id").distinct(), "from_id")
+    graph = _Edges(edges.select("from_id", "to_id").distinct())
     open_edges, size = graph.rows, graph.rows.count()
     entered = []
     depth = 0
@@ -175,7 +177,7 @@ def topo_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         heads = open_edges.select(F.col("to_id").alias("node_id")).distinct()
         entered.append(heads.withColumn("depth", F.lit(depth).cast("long")))
         open_edges = durable(
-            graph.meet(open_edges, heads.select(F.col("node_id").alias("from_id")), "left_semi"), "open"
+            graph.meet(open_edges, heads.select(F.col("node_id").alias("from_id")), "from_id", "left_semi"), "open"
         )
         left = open_edges.count()
         if left == size:
@@ -214,14 +216,15 @@ def order_by_level(ops: DataFrame, level: Column) -> DataFrame:
     )
 
 
-def _trim(rows: DataFrame) -> DataFrame:
+def _trim(graph: _Edges, rows: DataFrame) -> DataFrame:
     """Edges left when nodes without an in-edge or without an out-edge are taken off in turn."""
     size = rows.count()
     while size > 0:
         heads = rows.select(F.col("to_id").alias("from_id")).distinct()
         tails = rows.select(F.col("from_id").alias("to_id")).distinct()
-        kept = skew_join(skew_join(rows, heads, ["from_id"], "left_semi"), tails, ["to_id"], "left_semi")
-        rows = durable(kept, "core")
+        rows = durable(
+            graph.meet(graph.meet(rows, heads, "from_id", "left_semi"), tails, "to_id", "left_semi"), "core"
+        )
         left = rows.count()
         if left == size:
             break
@@ -240,38 +243,24 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     forward; a node that keeps its own label roots a component, which is what reaches it back
     inside its label. Found components are taken off and the rest goes round again.
     """
-    loops = edges.where("from_id = to_id").select(F.col("from_id").alias("node_id")).distinct()
-    rows = _trim(durable(edges.select("from_id", "to_id").distinct(), "core"))
-    found = [_ends(rows.where("from_id = to_id")).withColumn("cycle_id", F.col("node_id")).where(F.lit(False))]
-    nodes = durable(_ends(rows).unionByName(loops).distinct(), "nodes")
-    rows = durable(rows.where("from_id <> to_id"), "core")
+    graph = _Edges(edges.select("from_id", "to_id").distinct())
+    rows = _trim(graph, graph.rows)
+    nodes = durable(_ends(rows), "nodes")
+    rows = rows.where("from_id <> to_id")
+    found = []
     while not nodes.isEmpty():
-        labels = durable(nodes.withColumn("label", F.col("node_id")), "labels")
-        moved = True
-        while moved:
-            sent = (
-                skew_join(rows, labels.withColumnRenamed("node_id", "from_id"), ["from_id"])
-                .groupBy(F.col("to_id").alias("node_id")).agg(F.min("label").alias("least"))
-            )
-            labels = durable(
-                labels.join(sent, "node_id", "left").select(
-                    "node_id", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved")
-                ),
-                "labels",
-            )
-            moved = not labels.where("moved").isEmpty()
-            labels = labels.drop("moved")
+        labels = _least_ancestor(graph, rows, nodes)
+        with_from = graph.meet(rows, labels.select(F.col("node_id").alias("from_id"), F.col("label").alias("_f")), "from_id")
         inner = durable(
-            skew_join(
-                skew_join(rows, labels.select(F.col("node_id").alias("from_id"), F.col("label").alias("_f")), ["from_id"]),
-                labels.select(F.col("node_id").alias("to_id"), F.col("label").alias("_t")), ["to_id"],
-            ).where("_f = _t").select("from_id", "to_id"),
+            graph.meet(with_from, labels.select(F.col("node_id").alias("to_id"), F.col("label").alias("_t")), "to_id")
+            .where("_f = _t")
+            .select("from_id", "to_id"),
             "inner",
         )
         frontier = durable(labels.where("node_id = label").withColumnRenamed("label", "cycle_id"), "component")
         members = [frontier]
         while not frontier.isEmpty():
-            back = skew_join(inner, frontier.withColumnRenamed("node_id", "to_id"), ["to_id"])
+            back = graph.meet(inner, frontier.withColumnRenamed("node_id", "to_id"), "to_id")
             frontier = durable(
                 back.select(F.col("from_id").alias("node_id"), "cycle_id").distinct()
                 .join(_union(members).select("node_id"), "node_id", "left_anti"),
@@ -280,24 +269,39 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
             members.append(frontier)
         taken = durable(_union(members), "component")
         found.append(taken)
-        nodes = durable(nodes.join(taken.select("node_id"), "node_id", "left_anti"), "nodes")
         gone = taken.select("node_id")
-        rows = durable(
-            skew_join(
-                skew_join(rows, gone.withColumnRenamed("node_id", "from_id"), ["from_id"], "left_anti"),
-                gone.withColumnRenamed("node_id", "to_id"), ["to_id"], "left_anti",
-            ),
-            "core",
-        )
+        nodes = durable(nodes.join(gone, "node_id", "left_anti"), "nodes")
+        rows = graph.meet(rows, gone.withColumnRenamed("node_id", "from_id"), "from_id", "left_anti")
+        rows = durable(graph.meet(rows, gone.withColumnRenamed("node_id", "to_id"), "to_id", "left_anti"), "core")
         # What trimming takes off now lies between cycles: a component of its own.
-        kept = _trim(rows)
-        still = durable(_ends(kept), "nodes")
-        alone = nodes.join(still, "node_id", "left_anti")
-        found.append(alone.withColumn("cycle_id", F.col("node_id")))
-        nodes, rows = still, kept
+        rows = _trim(graph, rows)
+        still = durable(_ends(rows), "nodes")
+        found.append(nodes.join(still, "node_id", "left_anti").withColumn("cycle_id", F.col("node_id")))
+        nodes = still
+    if not found:
+        return nodes.withColumn("cycle_id", F.col("node_id"))
     return _union(found)
 
 
+def _least_ancestor(graph: _Edges, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, label): the least of a node and all nodes it can be reached from.
+
+    Only labels that fell in the last round are sent on.
+    """
+    labels = durable(nodes.withColumn("label", F.col("node_id")).withColumn("fell", F.lit(True)), "labels")
+    while True:
+        news = labels.where("fell").select(F.col("node_id").alias("from_id"), "label")
+        sent = graph.meet(rows, news, "from_id").groupBy(F.col("to_id").alias("node_id")).agg(F.min("label").alias("least"))
+        labels = durable(
+            labels.join(sent, "node_id", "left").select(
+                "node_id", F.least("label", "least").alias("label"), F.coalesce(F.col("least") < F.col("label"), F.lit(False)).alias("fell")
+            ),
+            "labels",
+        )
+        if labels.where("fell").isEmpty():
+            return labels.drop("fell")
+
+
 def graph_warnings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(code, node_id, dep_id): dependencies that do not exist, and ones on a deeper level.
 

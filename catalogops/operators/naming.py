@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from catalogops.functions.names import joined_path, quoted, text_literal
 from catalogops.functions.privileges import legal_privileges
+from catalogops.plans.durable import durable
 from catalogops.plans.ordered import global_position
-from catalogops.plans.skew import skew_join
+from catalogops.plans.skew import heavy_keys, skew_join
 
 
 def map_catalog_names(objects: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -67,13 +68,14 @@ def qualified_names(objects: DataFrame, levels: Sequence[Sequence[str]] = (("cat
     """(object_type, object_id, full_name) by joining each level to the one above; one container
     may hold most of the objects."""
     result = above = None
+    heavy = durable(heavy_keys(objects, ["parent_id"]), "heavy")
     for kinds in levels:
         here = objects.where(F.col("object_type").isin(list(kinds)))
         if above is None:
             named = here.select("object_type", "object_id", F.col("name").alias("full_name"))
         else:
             named = skew_join(
-                here, above.select(F.col("object_id").alias("parent_id"), F.col("full_name").alias("_up")), ["parent_id"]
+                here, above.select(F.col("object_id").alias("parent_id"), F.col("full_name").alias("_up")), ["parent_id"], heavy=heavy
             ).select("object_type", "object_id", F.concat_ws(".", "_up", "name").alias("full_name"))
         result = named if result is None else result.unionByName(named)
         above = named
