@@ -65,7 +65,7 @@ def assemble_checks(constraints: DataFrame, clauses: DataFrame, properties: Data
     )
     prefix = "delta.constraints."
     from_properties = properties.where(F.col("key").startswith(prefix)).select(
-        "table_name", F.substring("key", len(prefix) + 1, 1000).alias("constraint_name"), F.col("value").alias("expression")
+        "table_name", F.substr(F.col("key"), F.lit(len(prefix) + 1)).alias("constraint_name"), F.col("value").alias("expression")
     )
     extra = from_properties.where("constraint_name <> ''").join(
         declared.select("table_name", "constraint_name"), ["table_name", "constraint_name"], "left_anti"
