@@ -268,11 +268,11 @@ def mv_due(spark, sf_dir):
     )
 
 
-@query("V07_register_sql_function", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * 1.0, 4) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS gross FROM lineitem")
+@query("V07_register_sql_function", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem")
 def register_sql_function(spark, sf_dir):
     views.register_sql_function(spark, "net_price", "price DOUBLE, discount DOUBLE, tax DOUBLE DEFAULT 0.0", "DOUBLE", "price * (1 - discount) * (1 + tax)")
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "l_orderkey", "l_linenumber", "round(net_price(l_extendedprice, l_discount), 4) AS net", "round(net_price(l_extendedprice, l_discount, l_tax), 4) AS gross"
+        "l_orderkey", "l_linenumber", "net_price(l_extendedprice, l_discount) AS net", "net_price(l_extendedprice, l_discount, l_tax) AS gross"
     )
 
 
