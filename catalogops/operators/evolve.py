@@ -30,7 +30,8 @@ def change_type(df: DataFrame, name: str, type_: str) -> DataFrame:
 
 
 def set_not_null(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The frame with the columns declared not null, once a check finds no null in them."""
+    """The frame with the columns held to be not null, once a check finds no null in them: a null
+    that turns up later stops the job. (Spark has no expression that drops the nullable flag.)"""
     bad = not_null_violations(df, names).where("n > 0").collect()  # one row per named column
     if bad:
         raise ValueError("null values in " + ", ".join(f"{r.column} ({r.n})" for r in bad))

@@ -93,10 +93,13 @@ def normalize_op_ids(log: DataFrame, index: str) -> DataFrame:
 
 
 def op_signature(log: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``signature``: kind, target and the payload with its keys in order."""
+    """Add ``signature``: kind, target and the payload with its keys in order at every depth."""
+    shown = lambda v: F.when(
+        v.rlike(r"^\s*[\[{]"), F.coalesce(F.to_json(F.try_parse_json(v)), v)
+    ).otherwise(F.coalesce(v, F.lit("\\N")))
     entries = F.array_sort(F.map_entries(F.from_json(payload, "MAP<STRING,STRING>")))
     canonical = F.concat_ws(
-        ",", F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("\\N"))))
+        ",", F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), shown(e["value"])))
     )
     return log.withColumn(
         "signature", F.sha2(F.concat_ws("|", "op", F.col("target").cast("string"), canonical), 256)

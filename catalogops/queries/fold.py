@@ -185,7 +185,16 @@ def fold_column_order(spark, sf_dir):
     return fold.fold_column_order(column_log(spark, sf_dir)).withColumnRenamed("column_id", "member_id")
 
 
-@query("F08_fold_constraints")
+@query(
+    "F08_fold_constraints",
+    """WITH RECURSIVE o AS (SELECT table_id, constraint_id AS id, op, insert_at AS k, row_number() OVER (PARTITION BY table_id ORDER BY seq) AS rn FROM [fx1k_constraintlog]),
+    r AS (SELECT DISTINCT table_id, CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS l FROM o
+      UNION ALL SELECT r.table_id, o.rn, CASE WHEN o.op = 'drop_constraint' THEN list_filter(r.l, lambda x: x <> o.id) WHEN list_contains(r.l, o.id) THEN r.l
+        WHEN o.k IS NULL THEN list_append(r.l, o.id) ELSE list_concat(list_concat(r.l[1:o.k], [o.id]), r.l[o.k + 1:]) END
+      FROM r JOIN o ON o.table_id = r.table_id AND o.rn = r.rn + 1),
+    ends AS (SELECT table_id, arg_max(l, rn) AS l FROM r GROUP BY 1)
+    SELECT table_id, unnest(l) AS member_id, unnest(range(len(l))) AS position FROM ends""",
+)
 def fold_constraints(spark, sf_dir):
     return fold.fold_constraints(fixture(spark, sf_dir, "fx1k_constraintlog"))
 

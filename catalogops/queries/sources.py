@@ -22,7 +22,8 @@ def _changelog_files(spark, sf_dir) -> str:
             F.create_map(F.lit("tagName"), "tag_name", F.lit("tagValue"), "tag_value").alias("payload"),
         ).alias("o"),
     )
-    docs = log.groupBy(F.shiftright("seq", 9).alias("b")).agg(F.array_sort(F.collect_list(op)).alias("s"))
+    in_order = lambda a, b: (a["seq"] - b["seq"]).cast("int")
+    docs = log.groupBy(F.shiftright("seq", 9).alias("b")).agg(F.array_sort(F.collect_list(op), in_order).alias("s"))
     path = fresh_path(spark, "changelog")
     docs.select(
         F.to_json(F.struct(F.lit(1).alias("version"), F.lit("v0.1.0").alias("sinceSnapshot"), F.transform("s", lambda x: x["o"]).alias("ops")))

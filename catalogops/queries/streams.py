@@ -74,7 +74,7 @@ def _validated(spark, sf_dir):
 @query("T04_stream_validate", ERRORS_SQL)
 def stream_validate(spark, sf_dir):
     _, bad, _ = _validated(spark, sf_dir)
-    return streams.batches(spark, bad, "op_id LONG, field STRING, code STRING")
+    return streams.batches(spark, bad, "op_id LONG, field STRING, code STRING").drop("batch")
 
 
 @query("T04_stream_valid_ops", f"WITH bad AS ({ERRORS_SQL}) SELECT op_id, op FROM [fx1p_payloadlog] WHERE op_id NOT IN (SELECT op_id FROM bad)")
