@@ -104,20 +104,39 @@ def net_reorder(ops: DataFrame) -> DataFrame:
     )
 
 
-def single_column_move(pairs: DataFrame) -> DataFrame:
-    """(table_id, column_id, from_pos, to_pos) where moving one column turns old_cols to new_cols."""
-    moved = (
-        pairs.where((F.array_sort("old_cols") == F.array_sort("new_cols")) & (F.col("old_cols") != F.col("new_cols")))
-        .withColumn(
-            "_m",
-            F.expr(
-                """get(filter(
-                  transform(new_cols, (c, i) -> struct(c AS column_id, array_position(old_cols, c) - 1 AS from_pos, CAST(i AS BIGINT) AS to_pos)),
-                  m -> m.from_pos <> m.to_pos AND filter(old_cols, x -> x <> m.column_id) = filter(new_cols, x -> x <> m.column_id)), 0)"""
-            ),
-        )
+def single_column_move(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(table_id, column_id, from_pos, to_pos) where moving one column turns one order to the other.
+
+    Both sides are (table_id, column_id, position). If one column moved, it jumped over all
+    places that changed and every other changed column shifted by one the other way; both facts
+    are counts per table. Of two neighbours that changed places the later one moved up.
+    """
+    before = old.select("table_id", "column_id", F.col("position").alias("o"))
+    after = new.select("table_id", "column_id", F.col("position").alias("n"))
+    both = before.join(after, ["table_id", "column_id"], "full_outer").withColumn("by", F.col("n") - F.col("o"))
+    moved = F.col("by") != 0
+    facts = both.groupBy("table_id").agg(
+        F.count_if(F.col("by").isNull()).alias("other"),
+        F.count_if(moved).alias("changed"),
+        (F.max(F.when(moved, F.col("o"))) - F.min(F.when(moved, F.col("o")))).alias("span"),
+        F.count_if(F.col("by") == 1).alias("down"),
+        F.count_if(F.col("by") == -1).alias("up"),
+        F.min(F.when(moved, F.struct("by", "column_id", "o", "n"))).alias("most_up"),
+        F.max(F.when(moved, F.struct("by", "column_id", "o", "n"))).alias("most_down"),
+    ).where("other = 0 AND changed > 0 AND changed = span + 1")
+    jumped_up = (F.col("most_up.by") == -F.col("span")) & (F.col("down") == F.col("span"))
+    jumped_down = (F.col("most_down.by") == F.col("span")) & (F.col("up") == F.col("span"))
+    pick = F.when(jumped_up, F.col("most_up")).when(jumped_down, F.col("most_down"))
+    return facts.withColumn("m", pick).where("m IS NOT NULL").select(
+        "table_id", "m.column_id", F.col("m.o").alias("from_pos"), F.col("m.n").alias("to_pos")
+    )
+
+
+def column_lists(positions: DataFrame) -> DataFrame:
+    """(table_id, cols ARRAY) from (table_id, column_id, position): as long as a table is wide."""
+    return positions.groupBy("table_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "column_id"))), lambda s: s["column_id"]).alias("cols")
     )
-    return moved.where("_m IS NOT NULL").select("table_id", "_m.column_id", "_m.from_pos", "_m.to_pos")
 
 
 def reorder_distance(pairs: DataFrame, threshold: int = 2) -> DataFrame:

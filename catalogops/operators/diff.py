@@ -159,19 +159,20 @@ def diff_grants(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*who, F.explode(F.array_compact(steps)).alias("s")).select(*who, "s.*")
 
 
-def column_lists(positions: DataFrame) -> DataFrame:
-    """(table_id, cols ARRAY) from (table_id, column_id, position); a table's columns are few."""
-    return positions.groupBy("table_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "column_id"))), lambda s: s["column_id"]).alias("cols")
-    )
-
-
 def diff_column_order(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(table_id, old_cols, new_cols) where the same columns stand in another order."""
-    before = column_lists(old).withColumnRenamed("cols", "old_cols")
-    after = column_lists(new).withColumnRenamed("cols", "new_cols")
-    return before.join(after, "table_id").where(
-        (F.array_sort("old_cols") == F.array_sort("new_cols")) & (F.col("old_cols") != F.col("new_cols"))
+    """(table_id, moved) where the same columns stand in another order, and how many moved.
+
+    Both sides are (table_id, column_id, position); columns meet one by one, no list is built.
+    """
+    both = _sides(old.select("table_id", "column_id", "position"), new.select("table_id", "column_id", "position"), ["table_id", "column_id"])
+    return (
+        both.groupBy("table_id")
+        .agg(
+            F.count_if(F.col("o").isNull() | F.col("n").isNull()).alias("_other"),
+            F.count_if(F.col("o.position") != F.col("n.position")).alias("moved"),
+        )
+        .where("_other = 0 AND moved > 0")
+        .select("table_id", "moved")
     )
 
 
@@ -203,21 +204,25 @@ def expand_added(added: DataFrame, objects: DataFrame, levels: Sequence[Sequence
 
 def row_ops(old: DataFrame, new: DataFrame, key: str, kind: str, fields: Sequence[str]) -> DataFrame:
     """Ops (phase, op, target, detail) that turn one object table into another: adds (phase 0),
-    changed fields (1), drops (2)."""
-    changes = diff_keys(old, new, [key])
-    named = new.select(key, F.col("name").alias("_name"))
-    adds = changes.where("change = 'added'").join(named, key).select(
-        F.lit(0).alias("phase"), F.lit(f"add_{kind}").alias("op"), F.col(key).alias("target"), F.col("_name").alias("detail")
+    changed fields (1), drops (2). One join; an unchanged object gives no row."""
+    wanted = [key, "name", *fields]
+    both = _sides(old.select(*wanted), new.select(*wanted), [key])
+    row = lambda phase, op, detail: F.struct(
+        F.lit(phase).alias("phase"), F.lit(op).alias("op"), detail.cast("string").alias("detail")
+    )
+    kept = F.col("o").isNotNull() & F.col("n").isNotNull()
+    edit = lambda f: F.when(
+        kept & ~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")),
+        row(1, f"rename_{kind}" if f == "name" else f"set_{kind}_{f}", F.col(f"n.{f}")),
     )
-    edits = diff_fields(old, new, [key], ["name", *fields]).select(
-        F.lit(1).alias("phase"),
-        F.when(F.col("field") == "name", f"rename_{kind}").otherwise(F.concat(F.lit(f"set_{kind}_"), "field")).alias("op"),
-        F.col(key).alias("target"), F.col("new_value").alias("detail"),
+    ops = F.array(
+        F.when(F.col("o").isNull(), row(0, f"add_{kind}", F.col("n.name"))),
+        *[edit(f) for f in ("name", *fields)],
+        F.when(F.col("n").isNull(), row(2, f"drop_{kind}", F.lit(None))),
     )
-    drops = changes.where("change = 'dropped'").select(
-        F.lit(2).alias("phase"), F.lit(f"drop_{kind}").alias("op"), F.col(key).alias("target"), F.lit(None).cast("string").alias("detail")
+    return both.select(F.col(key).alias("target"), F.explode(F.array_compact(ops)).alias("c")).select(
+        "c.phase", "c.op", "target", "c.detail"
     )
-    return adds.unionByName(edits).unionByName(drops)
 
 
 def diff_to_ops(parts: Sequence[DataFrame]) -> DataFrame:
@@ -246,24 +251,18 @@ def diff_versions(snapshots: DataFrame, before: str | None, after: str, key: str
 def diff_tables(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Changed cells of two versions of a data table (keys, field, old_value, new_value).
 
-    Both sides meet once on the key; a 64-bit row hash lets unchanged rows go before any cell is
-    compared, and cells are compared exactly.
+    First only keys and a 128-bit row hash meet; whole rows are read again for the changed keys
+    alone. The written keys tell the optimizer their size, so a small set of them is broadcast
+    and wide rows never move.
     """
     fields = [c for c in old.columns if c not in keys]
-    hashed = lambda df, name: df.select(*keys, *fields).withColumn(name, F.xxhash64(*fields))
-    left = hashed(old, "_h").select(*keys, F.struct("_h", *fields).alias("o"))
-    right = hashed(new, "_h").select(*keys, F.struct("_h", *fields).alias("n"))
-    changed = left.join(right, list(keys)).where("o._h <> n._h")
-    cells = F.array(
-        *[
-            F.when(
-                ~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")),
-                F.struct(F.lit(f).alias("field"), F.col(f"o.{f}").cast("string").alias("old_value"), F.col(f"n.{f}").cast("string").alias("new_value")),
-            )
-            for f in fields
-        ]
+    mark = F.struct(F.xxhash64(*fields).alias("a"), F.xxhash64(F.lit(1), *fields).alias("b"))
+    left = old.select(*keys, mark.alias("_o"))
+    right = new.select(*keys, mark.alias("_n"))
+    changed = durable(left.join(right, list(keys)).where("_o <> _n").select(*keys), "changed")
+    return diff_fields(
+        old.join(changed, list(keys), "left_semi"), new.join(changed, list(keys), "left_semi"), keys, fields
     )
-    return changed.select(*keys, F.explode(F.array_compact(cells)).alias("c")).select(*keys, "c.*")
 
 
 def change_counts(cells: DataFrame) -> DataFrame:

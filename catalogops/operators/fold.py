@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.plans.durable import durable
-from catalogops.plans.ordered import BITS, last_before, running_sum
+from catalogops.plans.ordered import BITS, last_before, position_within, running_sum
+from catalogops.plans.skew import skew_join
 
 
 def lifetimes(events: DataFrame, keys: Sequence[str], *, bits: int = BITS) -> DataFrame:
@@ -222,12 +223,9 @@ def fold_column_order(log: DataFrame, *, bits: int = BITS) -> DataFrame:
     placed = columns.join(listed, who, "left").withColumn(
         "_l", F.when(F.col("listed.seq") > F.col("start_seq"), F.col("listed"))
     )
-    order = Window.partitionBy("table_id").orderBy(
-        F.desc_nulls_last("_l.seq"), F.desc_nulls_last("_l.front"), "start_seq"
-    )
-    return placed.select(
-        *who, (F.row_number().over(order) - 1).cast("long").alias("position")
-    )
+    order = [F.desc_nulls_last("_by"), F.desc_nulls_last("_front"), F.asc("start_seq")]
+    flat = placed.select(*who, "start_seq", F.col("_l.seq").alias("_by"), F.col("_l.front").alias("_front"))
+    return position_within(flat, ["table_id"], order, "position").select(*who, "position")
 
 
 def fold_constraints(log: DataFrame, *, bits: int = BITS) -> DataFrame:
@@ -254,9 +252,8 @@ def fold_constraints(log: DataFrame, *, bits: int = BITS) -> DataFrame:
     )
     sized = durable(running_sum(steps, ["table_id"], "seq", "step", "size", bits=bits), "constraints")
     emptied = sized.where("size = 0").groupBy("table_id").agg(F.max("seq").alias("emptied"))
-    # The emptied table has one row per table; few steps are left after it.
     needed = (
-        sized.join(emptied, "table_id", "left")
+        skew_join(sized, emptied, ["table_id"], "left")
         .where("emptied IS NULL OR seq > emptied")
         .select("table_id", "seq", "constraint_id", "insert_at", "step")
     )

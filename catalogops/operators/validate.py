@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.functions.opkinds import category_of, required_of
@@ -40,36 +40,31 @@ def is_valid(payload: str = "payload"):
     )
 
 
+def _managed(managed: Sequence[str], existing_catalogs: Sequence[str | None], name: str) -> Column:
+    category = category_of(F.col("op"))
+    kept = category.isNull() | category.isin(list(managed)) if managed else F.lit(True)
+    there = [c.strip() for c in existing_catalogs if c and c.strip()]
+    if there:
+        kept = kept & ~(F.col("op").endswith("add_catalog") & F.coalesce(F.trim(F.col(name)).isin(there), F.lit(False)))
+    return kept
+
+
 def filter_managed_scope(
     log: DataFrame, managed: Sequence[str] | None, existing_catalogs: Sequence[str | None] = (), name: str = "name"
 ) -> DataFrame:
     """Ops an environment manages: all when ``managed`` is empty, unknown kinds always; without
     the creation of catalogs that already exist there."""
-    category = category_of(F.col("op"))
-    kept = log
-    if managed:
-        kept = kept.where(category.isNull() | category.isin(list(managed)))
-    there = [c.strip() for c in existing_catalogs if c and c.strip()]
-    if there:
-        kept = kept.where(
-            ~(F.col("op").endswith("add_catalog") & F.coalesce(F.trim(F.col(name)).isin(there), F.lit(False)))
-        )
-    return kept
+    return log.where(_managed(managed or [], existing_catalogs, name))
 
 
 def managed_by_environment(log: DataFrame, managed: DataFrame, environments: Sequence[str]) -> DataFrame:
-    """``filter_managed_scope`` for several environments at once: (environment, op rows)."""
+    """``filter_managed_scope`` for several environments in one pass: op rows with ``environment``."""
     listed = {e: [] for e in environments}
-    # The configuration has at most environments x categories rows.
-    for row in managed.distinct().limit(len(environments) * 16).collect():
-        listed.setdefault(row.environment, []).append(row.managed_category)
-    parts = [
-        filter_managed_scope(log, cats).withColumn("environment", F.lit(e)) for e, cats in sorted(listed.items())
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    # Categories are a fixed list, so the configuration has few rows per environment.
+    for row in managed.where(F.col("environment").isin(list(environments))).distinct().collect():
+        listed[row.environment].append(row.managed_category)
+    keeping = F.array(*[F.when(_managed(cats, (), "op"), F.lit(e)) for e, cats in listed.items()])
+    return log.withColumn("environment", F.explode(F.array_compact(keeping)))
 
 
 def undo_ops(log: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.plans.durable import durable
+from catalogops.plans.skew import skew_join
 
 BITS = 20
 
@@ -132,3 +133,13 @@ def global_position(df: DataFrame, order: Sequence[str | Column], out: str) -> D
         )
         .select(*df.columns, out)
     )
+
+
+def position_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
+    """Add ``out``: 0-based place of the row inside its key, for any total order.
+
+    Places in the whole frame minus the first place of the key, so no key is one task's.
+    """
+    placed = global_position(df, [*keys, *order], "_at")
+    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    return skew_join(placed, first, keys).withColumn(out, F.col("_at") - F.col("_first")).select(*df.columns, out)

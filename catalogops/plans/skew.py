@@ -47,7 +47,9 @@ def skew_join(
     keys = list(keys)
     heavy = heavy_keys(large, keys) if heavy is None else heavy
     flag = F.broadcast(heavy.withColumn("_heavy", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in large.columns]), F.lit(salts)).cast("int")
+    # Spread by the row's own content, so a task that runs again sends rows the same way.
+    hashable = [f.name for f in large.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
     left = large.join(flag, keys, "left").withColumn(
         "_salt", F.when(F.col("_heavy"), spread).otherwise(F.lit(0))
     )

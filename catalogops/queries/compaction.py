@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogops.operators import compact, diff, fold, merge
+from catalogops.operators import compact, merge
 from catalogops.plans.fixtures import fixture
 from catalogops.queries.diff import ORDER_PAIR_SQL, order_pair, versions
-from catalogops.queries.fold import column_log
 from catalogops.queries.registry import query
 
 # Branches: one op in three is the base's (drops only there, so that not every target meets).
@@ -110,8 +109,8 @@ def net_reorder(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     old, new = order_pair(spark, sf_dir)
-    return diff.column_lists(old).withColumnRenamed("cols", "old_cols").join(
-        diff.column_lists(new).withColumnRenamed("cols", "new_cols"), "table_id"
+    return compact.column_lists(old).withColumnRenamed("cols", "old_cols").join(
+        compact.column_lists(new).withColumnRenamed("cols", "new_cols"), "table_id"
     )
 
 
@@ -123,7 +122,7 @@ def _pairs(spark, sf_dir):
     SELECT table_id, arg_min(column_id, to_pos) AS column_id, CAST(arg_min(from_pos, to_pos) AS BIGINT) AS from_pos, min(to_pos) AS to_pos FROM m GROUP BY 1""",
 )
 def single_column_move(spark, sf_dir):
-    return compact.single_column_move(_pairs(spark, sf_dir))
+    return compact.single_column_move(*order_pair(spark, sf_dir))
 
 
 @query(

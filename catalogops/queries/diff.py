@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalogops.operators import diff, fold
 from catalogops.plans.durable import durable
 from catalogops.plans.fixtures import fixture
+from catalogops.plans.ordered import position_within
 from catalogops.queries.fold import (
     COLUMNS_SQL, GRANTS_SQL, SPANS, column_log, grant_log, log_end, table_events, table_tags,
 )
@@ -152,15 +153,11 @@ def diff_grants(spark, sf_dir):
     return diff.diff_grants(fold.fold_grants(log.where(F.col("seq") <= end // 2)), fold.fold_grants(log))
 
 
-def orders_at(spark, sf_dir, at):
-    return fold.fold_column_order(column_log(spark, sf_dir).where(F.col("seq") <= at))
-
-
-# Two column orders over the same columns: the live order now, and the order of their adds
-# with one column in five moved, by reordering ids.
+# Two column orders over the same columns: the live order now, and an older one in which one table
+# in four has its first column second, and one in four stands by column id.
 ORDER_PAIR_SQL = "WITH " + COLUMNS_SQL.format(where="") + """,
 newo AS (SELECT table_id, list(column_id ORDER BY position) AS new_cols FROM placed GROUP BY 1),
-oldo AS (SELECT table_id, list(column_id ORDER BY CASE WHEN table_id % 4 = 0 THEN position WHEN table_id % 4 = 1 AND position = 0 THEN 1.5 WHEN table_id % 4 = 2 THEN column_id ELSE position END) AS old_cols FROM placed GROUP BY 1),
+oldo AS (SELECT table_id, list(column_id ORDER BY CASE WHEN table_id % 4 = 1 AND position = 0 THEN 1.5 WHEN table_id % 4 = 2 THEN column_id ELSE position END) AS old_cols FROM placed GROUP BY 1),
 pairs AS (SELECT table_id, old_cols, new_cols FROM oldo JOIN newo USING (table_id))
 """
 
@@ -168,21 +165,22 @@ pairs AS (SELECT table_id, old_cols, new_cols FROM oldo JOIN newo USING (table_i
 def order_pair(spark, sf_dir):
     new = durable(fold.fold_column_order(column_log(spark, sf_dir)), "order")
     place = (
-        F.when(F.col("table_id") % 4 == 0, F.col("position").cast("double"))
-        .when((F.col("table_id") % 4 == 1) & (F.col("position") == 0), F.lit(1.5))
+        F.when((F.col("table_id") % 4 == 1) & (F.col("position") == 0), F.lit(1.5))
         .when(F.col("table_id") % 4 == 2, F.col("column_id").cast("double"))
         .otherwise(F.col("position").cast("double"))
     )
-    return new.withColumn("position", place), new
+    moved = new.select("table_id", "column_id", place.alias("_place"))
+    old = position_within(moved, ["table_id"], ["_place"], "position").drop("_place")
+    return old, new
 
 
 @query(
     "D08_diff_column_order",
-    ORDER_PAIR_SQL + "SELECT table_id, array_to_string(old_cols, ',') AS old_order, array_to_string(new_cols, ',') AS new_order FROM pairs WHERE old_cols <> new_cols",
+    ORDER_PAIR_SQL + """, e AS (SELECT table_id, unnest(old_cols) AS o, unnest(new_cols) AS n FROM pairs)
+    SELECT table_id, count(*) FILTER (o <> n) AS moved FROM e GROUP BY 1 HAVING count(*) FILTER (o <> n) > 0""",
 )
 def diff_column_order(spark, sf_dir):
-    rows = diff.diff_column_order(*order_pair(spark, sf_dir))
-    return rows.select("table_id", F.array_join("old_cols", ",").alias("old_order"), F.array_join("new_cols", ",").alias("new_order"))
+    return diff.diff_column_order(*order_pair(spark, sf_dir))
 
 
 LEVELS = (("catalog",), ("schema",), ("table", "view"), ("column",))

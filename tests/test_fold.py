@@ -244,3 +244,24 @@ def test_digest_ignores_order(spark):
     c = spark.createDataFrame([(1, "x"), (2, None)], "id INT, name STRING")
     digest = lambda df: fold.state_digest(df).first().digest
     assert digest(a) == digest(b) != digest(c)
+
+
+def test_single_move_by_counts(spark):
+    """Every order of four columns, against taking each column out of both lists."""
+    from itertools import permutations
+
+    from catalogops.operators import compact
+
+    start = ["a", "b", "c", "d"]
+    old, new, want = [], [], set()
+    for t, order in enumerate(permutations(start)):
+        old += [(t, c, i) for i, c in enumerate(start)]
+        new += [(t, c, i) for i, c in enumerate(order)]
+        for i, c in enumerate(order):
+            rest = lambda cols: [x for x in cols if x != c]  # noqa: B023, E731
+            if list(order) != start and rest(start) == rest(order) and start.index(c) != i:
+                want.add((t, c, start.index(c), i))
+                break
+    side = lambda rows: spark.createDataFrame(rows, "table_id INT, column_id STRING, position LONG")
+    got = compact.single_column_move(side(old), side(new))
+    assert {tuple(r) for r in got.collect()} == want
