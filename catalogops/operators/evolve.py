@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogops.functions.casting import tried
 from catalogops.operators.quality import not_null_violations
 
 
@@ -26,7 +27,7 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def change_type(df: DataFrame, name: str, type_: str) -> DataFrame:
     """Values that do not cast become null; ``impact.lossy_casts`` counts them first."""
-    return df.withColumn(name, F.expr(f"try_cast(`{name}` AS {type_})"))
+    return df.withColumn(name, tried(F.col(name), df.schema[name].dataType.simpleString(), type_))
 
 
 def set_not_null(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -52,7 +53,7 @@ def evolve(df: DataFrame, ops: Sequence[Mapping], ids: Mapping[str, str] | None
     drop_column, rename_column (newName), change_column_type (newType), reorder_columns (order).
     """
     names = dict(ids) if ids else {c: c for c in df.columns}
-    columns = {i: [n, F.col(n)] for i, n in names.items()}
+    columns = {i: [n, F.col(n), df.schema[n].dataType.simpleString()] for i, n in names.items()}
     order = list(columns)
     for op in ops:
         kind, target = op["op"], op.get("column_id")
@@ -60,7 +61,7 @@ def evolve(df: DataFrame, ops: Sequence[Mapping], ids: Mapping[str, str] | None
             if not op.get("nullable", True) and op.get("default") is None:
                 raise ValueError(f"column {op['name']} is not null and needs a default")
             if target not in columns:
-                columns[target] = [op["name"], F.lit(op.get("default")).cast(op["type"])]
+                columns[target] = [op["name"], F.lit(op.get("default")).cast(op["type"]), op["type"]]
                 order.append(target)
         elif kind == "reorder_columns":
             listed = op["order"]
@@ -72,7 +73,8 @@ def evolve(df: DataFrame, ops: Sequence[Mapping], ids: Mapping[str, str] | None
             elif kind == "rename_column":
                 columns[target][0] = op["newName"]
             elif kind == "change_column_type":
-                columns[target][1] = columns[target][1].try_cast(op["newType"])
+                _, value, source = columns[target]
+                columns[target][1:] = [tried(value, source, op["newType"]), op["newType"].lower()]
     return df.select(*[columns[i][1].alias(columns[i][0]) for i in order])
 
 
@@ -82,8 +84,9 @@ def conform(df: DataFrame, declared: Sequence[tuple[str, str]], extras: str | No
     With ``extras`` the undeclared columns are kept in one VARIANT column of that name.
     """
     have = {c.lower(): c for c in df.columns}
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     columns = [
-        F.col(have[n.lower()]).try_cast(t).alias(n) if n.lower() in have else F.lit(None).cast(t).alias(n) for n, t in declared
+        tried(F.col(have[n.lower()]), types[have[n.lower()]], t).alias(n) if n.lower() in have else F.lit(None).cast(t).alias(n) for n, t in declared
     ]
     if extras:
         wanted = {n.lower() for n, _ in declared}
@@ -103,7 +106,8 @@ def conform_problems(df: DataFrame, declared: Sequence[tuple[str, str]]) -> Data
     for n, t in declared:
         if n.lower() in have:
             c = F.col(have[n.lower()])
-            aggs.append(F.count_if(c.isNotNull() & c.try_cast(t).isNull()).alias(f"bad_{n}"))
+            source = df.schema[have[n.lower()]].dataType.simpleString()
+            aggs.append(F.count_if(c.isNotNull() & tried(c, source, t).isNull()).alias(f"bad_{n}"))
             rows.append((n, "not_castable", F.col(f"bad_{n}")))
     counted = df.agg(F.count(F.lit(1)).alias("_rows"), *aggs)
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("problem"), n.alias("n")) for c, p, n in rows])

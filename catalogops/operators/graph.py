@@ -24,17 +24,17 @@ def _union(frames):
 
 
 class _Edges:
-    """Edges cut to a table once, with the hub nodes of each end known."""
+    """Edges cut to a table once; the hub nodes of an end are looked for once, when first needed."""
 
     def __init__(self, edges: DataFrame):
         self.rows = durable(edges, "edges")
         self.hubs = {}
-        for end in ("from_id", "to_id"):
-            heavy = durable(heavy_keys(self.rows, [end]), "hubs")
-            self.hubs[end] = None if heavy.isEmpty() else heavy
 
     def meet(self, rows: DataFrame, small: DataFrame, end: str, how: str = "inner") -> DataFrame:
         """``rows`` (these edges or fewer) joined on one end with few rows per node."""
+        if end not in self.hubs:
+            heavy = durable(heavy_keys(self.rows, [end]), "hubs")
+            self.hubs[end] = None if heavy.isEmpty() else heavy
         if self.hubs[end] is None:
             return rows.join(small, end, how)
         return skew_join(rows, small, [end], how, heavy=self.hubs[end])
@@ -174,17 +174,13 @@ def topo_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     depth = 0
     while size > 0:
         depth += 1
-        heads = open_edges.select(F.col("to_id").alias("node_id")).distinct()
-        entered.append(heads.withColumn("depth", F.lit(depth).cast("long")))
-        open_edges = durable(
-            graph.meet(open_edges, heads.select(F.col("node_id").alias("from_id")), "from_id", "left_semi"), "open"
-        )
+        entered.append(open_edges.select(F.col("to_id").alias("node_id"), F.lit(depth).cast("long").alias("depth")))
+        heads = open_edges.select(F.col("to_id").alias("from_id")).distinct()
+        open_edges = durable(graph.meet(open_edges, heads, "from_id", "left_semi"), "open")
         left = open_edges.count()
         if left == size:
             # Only what lies on or after a cycle is left.
-            entered.append(
-                open_edges.select(F.col("to_id").alias("node_id")).distinct().withColumn("depth", F.lit(-1).cast("long"))
-            )
+            entered.append(open_edges.select(F.col("to_id").alias("node_id"), F.lit(-1).cast("long").alias("depth")))
             break
         size = left
     base = nodes.select("node_id").distinct()

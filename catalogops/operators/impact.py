@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogops.functions.casting import tried
 from catalogops.functions.opkinds import destructive
 from catalogops.plans.skew import skew_join
 
@@ -79,8 +80,8 @@ def lossy_casts(df: DataFrame, casts: Mapping[str, str]) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     aggs, rows = [], []
     for i, (c, to) in enumerate(casts.items()):
-        there = F.expr(f"try_cast(`{c}` AS {to})")
-        back = F.expr(f"try_cast(try_cast(`{c}` AS {to}) AS {types[c]})")
+        there = tried(F.col(c), types[c], to)
+        back = there.try_cast(types[c])
         aggs += [
             F.count(c).alias(f"n{i}"),
             F.count_if(F.col(c).isNotNull() & there.isNull()).alias(f"f{i}"),

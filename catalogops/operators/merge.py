@@ -18,13 +18,19 @@ def rebase_conflicts(feature: DataFrame, base: DataFrame) -> DataFrame:
     return skew_join(feature, base.select("target").distinct(), ["target"], "left_semi")
 
 
-def rebase_plan(feature: DataFrame, base: DataFrame, branch: str = "branch") -> DataFrame:
+def rebase_plan(feature: DataFrame, base: DataFrame, branch: str | None = "branch") -> DataFrame:
     """Add ``state``: ops before the branch's first conflict are applied, that op is the conflict,
-    the rest is blocked. The first conflict is one aggregate per branch, not a running scan."""
-    touched = base.select("target").distinct().withColumn("_hit", F.lit(True))
-    marked = skew_join(feature, touched, ["target"], "left")
-    first = marked.where("_hit").groupBy(branch).agg(F.min("seq").alias("_first"))
-    return skew_join(feature, first, [branch], "left").withColumn(
+    the rest is blocked. The first conflict is one aggregate per branch, not a running scan.
+
+    With ``branch`` None all ops are one branch, whose first conflict is a single number.
+    """
+    hits = skew_join(feature, base.select("target").distinct(), ["target"], "left_semi")
+    if branch is None:
+        first = hits.agg(F.min("seq")).first()[0]
+        marked = feature.withColumn("_first", F.lit(first).cast("long"))
+    else:
+        marked = skew_join(feature, hits.groupBy(branch).agg(F.min("seq").alias("_first")), [branch], "left")
+    return marked.withColumn(
         "state",
         F.when(F.col("_first").isNull() | (F.col("seq") < F.col("_first")), "applied")
         .when(F.col("seq") == F.col("_first"), "conflict")
@@ -150,5 +156,4 @@ def rebase_ops(ops: DataFrame, snapshots: DataFrame, old_base: str, new_base: st
     ).first()
     low = ends.hi - 1 if base_only else ends.lo
     base = ops.where((key > low) & (key <= ends.hi))
-    feature = ops.where("version IS NULL").withColumn("branch", F.lit("feature"))
-    return rebase_plan(feature, base).drop("branch", "version")
+    return rebase_plan(ops.where("version IS NULL"), base, branch=None).drop("version")

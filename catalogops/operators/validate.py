@@ -73,13 +73,12 @@ def undo_ops(log: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = log.withColumn("_id", F.col("op_id").cast("string"))
     remaining = keyed.join(wanted, "_id", "left_anti").drop("_id")
     flagged = wanted.join(keyed.select("_id", F.lit(1).alias("_hit")).distinct(), "_id", "left")
-    removed = flagged.agg(
-        F.count("_hit").alias("removed_count"),
-        (F.count(F.lit(1)) - F.count("_hit")).alias("missing_count"),
+    counted = flagged.select(
+        F.coalesce("_hit", F.lit(0)).alias("removed"), F.when(F.col("_hit").isNull(), 1).otherwise(0).alias("missing"), F.lit(0).alias("left")
+    ).unionByName(remaining.select(F.lit(0).alias("removed"), F.lit(0).alias("missing"), F.lit(1).alias("left")))
+    return remaining, counted.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("removed", "removed_count"), ("missing", "missing_count"), ("left", "remaining_count"))]
     )
-    left = remaining.agg(F.count(F.lit(1)).alias("remaining_count"))
-    # Two one-row frames side by side.
-    return remaining, removed.withColumn("_one", F.lit(1)).join(left.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
 def normalize_op_ids(log: DataFrame, index: str) -> DataFrame:
