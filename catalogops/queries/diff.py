@@ -9,7 +9,7 @@ from catalogops.plans.durable import durable
 from catalogops.plans.fixtures import fixture
 from catalogops.plans.ordered import position_within
 from catalogops.queries.fold import (
-    COLUMNS_SQL, GRANTS_SQL, SPANS, column_log, grant_log, log_end, table_events, table_tags,
+    COLUMNS_SQL, GRANTS_SQL, column_log, grant_log, log_end, table_events, table_tags,
 )
 from catalogops.queries.registry import query
 

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from catalogops.operators import diff, fold, history, impact
 from catalogops.plans.fixtures import fixture, table
-from catalogops.queries.diff import LEVELS, _BOTH, _fields_sql, fx3_ops, versions
+from catalogops.queries.diff import LEVELS, _fields_sql, _tags_at_sql, fx3_ops, versions
 from catalogops.queries.fold import log_end, table_events, table_tags
 from catalogops.queries.registry import query
-from catalogops.queries.diff import _tags_at_sql
 
 _DEP = "d AS (SELECT * FROM [fx4_deployments])"
 

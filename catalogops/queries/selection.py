@@ -8,7 +8,6 @@ from catalogops.functions.opkinds import FIELDS
 from catalogops.functions.privileges import legal_values_sql
 from catalogops.operators import fold, naming, validate
 from catalogops.plans.fixtures import fixture
-from catalogops.queries.fold import GRANTS_SQL, grant_log
 from catalogops.queries.registry import query
 
 _REQUIRED = ", ".join(f"('{k}', '{f}')" for k, req, *_ in FIELDS for f in req.split())

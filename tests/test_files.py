@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from catalogops.operators import evolve, quality, secure
 from catalogops.sources import corpus, files
 
