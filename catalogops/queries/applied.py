@@ -248,7 +248,7 @@ def refresh_mv_incremental(spark, sf_dir):
 
 
 _MVS = """SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS mv_id, CAST(o_orderdate AS TIMESTAMP) AS last_refresh,
-CASE WHEN o_orderkey % 2 = 1 THEN 86400 * (o_orderkey % 3000) END AS every_seconds FROM «orders» WHERE o_orderkey % 100 = 3 OR o_orderkey % 100 = 6"""
+CASE WHEN o_orderkey % 2 = 1 THEN 86400 * (o_orderkey % 3000) END AS every_seconds FROM «orders» WHERE o_orderstatus = 'P'"""
 _CHANGED = "SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS node_id, CAST(o_orderdate AS TIMESTAMP) AS changed_at FROM «orders»"
 
 

@@ -36,7 +36,7 @@ def rebase_plan(spark, sf_dir):
     return merge.rebase_plan(*_branches(spark, sf_dir)).select("seq", "op_id", "branch", "state")
 
 
-_SET = "l AS (SELECT * FROM [fx1_oplog] WHERE seq % 4 <> 0), c AS (SELECT target FROM l GROUP BY 1 HAVING max(seq) FILTER (op = 'add_table') < max(seq) FILTER (op = 'drop_table'))"
+_SET = "l AS (SELECT * FROM [fx1_oplog]), c AS (SELECT target FROM l GROUP BY 1 HAVING max(seq) FILTER (op = 'add_table') < max(seq) FILTER (op = 'drop_table'))"
 
 
 def _adds():
@@ -45,7 +45,7 @@ def _adds():
 
 @query("M03_cancel_pairs", f"WITH {_SET} SELECT op_id, seq FROM l WHERE target NOT IN (SELECT target FROM c)")
 def cancel_pairs(spark, sf_dir):
-    log = fixture(spark, sf_dir, "fx1_oplog").where("seq % 4 <> 0")
+    log = fixture(spark, sf_dir, "fx1_oplog")
     return compact.cancel_pairs(log, "target", _adds(), F.col("op") == "drop_table").select("op_id", "seq")
 
 
@@ -214,7 +214,7 @@ ops AS (SELECT *, CASE WHEN seq % 3 = 0 AND op = 'drop_table' THEN concat('v0.',
 @query(
     "M16_rebase_snapshot",
     f"""WITH {_REBASE}, hit AS (SELECT DISTINCT target FROM ops WHERE version IN ('v0.2.0', 'v0.3.0')),
-    f AS (SELECT *, target IN (SELECT target FROM hit) AS c FROM ops WHERE version IS NULL AND target % 4 = 1), first AS (SELECT min(seq) AS s FROM f WHERE c)
+    f AS (SELECT *, target IN (SELECT target FROM hit) AS c FROM ops WHERE version IS NULL), first AS (SELECT min(seq) AS s FROM f WHERE c)
     SELECT op_id, seq, CASE WHEN s IS NULL OR seq < s THEN 'applied' WHEN seq = s THEN 'conflict' ELSE 'blocked' END AS state FROM f, first""",
 )
 def rebase_snapshot(spark, sf_dir):
@@ -223,6 +223,5 @@ def rebase_snapshot(spark, sf_dir):
     of_base = (F.col("seq") % 3 == 0) & (F.col("op") == "drop_table")
     fifth = F.floor(F.col("seq") * 5 / (end + 1)).cast("string")
     ops = log.withColumn("version", F.when(of_base, F.concat(F.lit("v0."), fifth, F.lit(".0"))))
-    ops = ops.where("version IS NOT NULL OR target % 4 = 1")
     snapshots = ops.where("version IS NOT NULL").select("version").distinct()
     return merge.rebase_ops(ops, snapshots, "v0.1.0", "v0.3.0").select("op_id", "seq", "state")

@@ -278,13 +278,13 @@ def drift_report(spark, sf_dir):
 
 @query(
     "D15_diff_two_level",
-    """WITH o AS (SELECT DISTINCT nation AS id FROM [fx3_old] WHERE bal < 5000), n AS (SELECT DISTINCT nation AS id FROM [fx3_new] WHERE id % 9 = 1)
+    """WITH o AS (SELECT DISTINCT nation AS id FROM [fx3_old] WHERE nation < 20), n AS (SELECT DISTINCT nation AS id FROM [fx3_new] WHERE nation > 3)
     SELECT coalesce(o.id, n.id) AS object_id, CASE WHEN o.id IS NULL THEN 'add_database' ELSE 'drop_database' END AS op
     FROM o FULL JOIN n ON n.id = o.id WHERE o.id IS NULL OR n.id IS NULL""",
 )
 def diff_two_level(spark, sf_dir):
     old, new = versions(spark, sf_dir)
-    before = old.where("bal < 5000").select(F.col("nation").alias("object_id")).distinct()
-    after = new.where("id % 9 = 1").select(F.col("nation").alias("object_id")).distinct()
+    before = old.where("nation < 20").select(F.col("nation").alias("object_id")).distinct()
+    after = new.where("nation > 3").select(F.col("nation").alias("object_id")).distinct()
     rows = diff.diff_keys(before, after, ["object_id"]).where("change <> 'kept'")
     return rows.select("object_id", F.when(F.col("change") == "added", "add_database").otherwise("drop_database").alias("op"))
