@@ -124,17 +124,14 @@ def edited(documents: DataFrame) -> DataFrame:
     The last half of the characters is replaced by the first as many of the next document.
     """
     none = F.lit(-(2**63))
-    rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     following = next_documents(rows)
     # How much of a text its neighbour needs is known before any text moves.
     need = rows.select("id", F.floor(F.length("text") / 2).alias("need")).groupBy("id").agg(F.max("need").alias("need"))
     wanted = durable(need.join(following, "id").select(F.col("id").alias("asker"), F.col("next_id").alias("id"), "need"), "wanted")
-    heads = (
-        rows.withColumn("kept", fingerprint(F.col("text")))
-        .join(wanted, "id")
-        .select(F.col("asker").alias("id"), F.struct(F.expr("substring(text, 1, int(need))").alias("head"), hash_set(F.col("kept")).alias("hashes")).alias("next"))
+    # Both joins take the same (id, text) by id, so whole texts are shuffled once; fingerprints are made after it.
+    heads = rows.join(wanted, "id").select(
+        F.col("asker").alias("id"), F.struct(F.expr("substring(text, 1, int(need))").alias("head"), hash_set(fingerprint(F.col("text"))).alias("hashes")).alias("next")
     )
     heads = heads.groupBy("id").agg(F.min("next").alias("next"))
     chars = F.length("text")
@@ -142,7 +139,8 @@ def edited(documents: DataFrame) -> DataFrame:
     made = rows.join(heads, "id").withColumn(
         "edited", F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 2)))"), F.substring(F.col("next.head"), F.lit(1), half))
     )
-    made = made.select("doc_id", chars.cast("long").alias("n_chars"), "edited", fingerprint(F.col("text")).alias("kept"), F.col("next.hashes").alias("next"))
+    doc_id = F.when(F.col("id") != none, F.col("id"))
+    made = made.select(doc_id.alias("doc_id"), chars.cast("long").alias("n_chars"), "edited", fingerprint(F.col("text")).alias("kept"), F.col("next.hashes").alias("next"))
     made = made.withColumn("edited_kept", fingerprint(F.col("edited")))
     own = hash_set(F.col("kept"))
     return made.select(

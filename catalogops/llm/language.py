@@ -35,7 +35,7 @@ CLASSES = 48
 BLOCK = 1024
 # Characters parsed together.
 SLICE = 1 << 20
-_FAILED = 1 << 30
+_BEGUN = 1 << 30
 
 
 @functools.cache
@@ -95,9 +95,12 @@ class Parser:
             symbols, _ = self._symbols([samples[name]])
             follow = suffix_automaton(symbols.tolist(), CLASSES)
             ahead = np.where(follow >= 0, (follow + base) * CLASSES, 0)
-            # A failed step ends the phrase and starts the next one with this very character.
-            again = np.where(follow[0] >= 0, (follow[0] + base) * CLASSES, base * CLASSES) | _FAILED
-            tables.append(np.where(follow >= 0, ahead, again[None, :]).astype(np.int32).ravel())
+            # A step that fails, or leaves the start, begins a phrase with this very character; one
+            # that the sample lacks is a phrase of its own.
+            again = np.where(follow[0] >= 0, (follow[0] + base) * CLASSES, base * CLASSES) | _BEGUN
+            ahead = np.where(follow >= 0, ahead, again[None, :])
+            ahead[0] = again
+            tables.append(ahead.astype(np.int32).ravel())
             self.start.append(base * CLASSES)
             base += len(follow)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
@@ -129,13 +132,13 @@ class Parser:
         owner, first, length = owner[order], (starts[owner] + nth * BLOCK)[order], length[order]
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
         state = np.repeat(np.array(self.start, np.int32)[:, None], len(owner), axis=1)
-        ended = np.ones((len(self.names), len(owner)), np.int32)
+        begun = np.zeros((len(self.names), len(owner)), np.int32)
         for step, m in enumerate(live):
             got = self.table.take(state[:, :m] + symbol[first[:m] + step].astype(np.int32))
-            ended[:, :m] += got >> 30
-            state[:, :m] = got & (_FAILED - 1)
+            begun[:, :m] += got >> 30
+            state[:, :m] = got & (_BEGUN - 1)
         for k in range(len(self.names)):
-            phrases[:, k] = np.bincount(owner, ended[k], minlength=len(texts))
+            phrases[:, k] = np.bincount(owner, begun[k], minlength=len(texts))
         return phrases, letters
 
 

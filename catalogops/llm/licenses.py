@@ -122,10 +122,8 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = PHRASES + NOTIC
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "spans", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("_")).drop("_")
 
 
-@query("op8_license_diagonals")
-def op8_license_diagonals(spark, sf_dir):
-    """Places and labels of license wording in every document."""
-    found = scan(table(spark, sf_dir, "documents"))
+def digests(found: DataFrame) -> DataFrame:
+    """Counts, places and labels of each scanned row."""
     base = F.filter("spans", lambda s: s["base"])
     labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     return found.select(
@@ -135,3 +133,9 @@ def op8_license_diagonals(spark, sf_dir):
         labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"),
         F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query("op8_license_diagonals")
+def op8_license_diagonals(spark, sf_dir):
+    """Places and labels of license wording in every document."""
+    return digests(scan(table(spark, sf_dir, "documents")))

@@ -38,7 +38,7 @@ from catalogops.plans.durable import durable
 TREES, BITS = 24, 64
 SHARD_ROWS, QUERY_ROWS = 1 << 15, 1 << 12
 SAMPLE = 4096
-ASCENT = 0.7
+ASCENT = 1.2
 K = 10
 
 

@@ -8,7 +8,7 @@ from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from catalogops.session import tune
 
@@ -58,5 +58,5 @@ def extended(df: DataFrame, **fields: str) -> StructType:
     """The schema of ``df`` with further fields, given as name=type; the frame's own is left alone."""
     schema = StructType(list(df.schema.fields))
     for name, kind in fields.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(name, DataType.fromDDL(kind))
     return schema
