@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ def tried(value: Column, source: str, to: str) -> Column:
     if source == "string":
         return F.when(value.rlike("^[^A-Za-z]*[0-9][^A-Za-z]*$"), cast)
     if source.startswith(NUMBERS) and not (bits == 63 and source in BOUNDS):
-        edge = float(2**bits)
-        return F.when((value.cast("double") > -edge - 1) & (value.cast("double") < edge), cast)
+        if source.startswith("decimal"):
+            # In its own type: a double cannot tell the last values of a BIGINT apart.
+            return F.when((value > F.lit(Decimal(-(2**bits) - 1))) & (value < F.lit(Decimal(2**bits))), cast)
+        edge, number = float(2**bits), value.cast("double")
+        return F.when(((number > -edge - 1) | (number == -edge)) & (number < edge), cast)
     return cast

@@ -255,8 +255,15 @@ def diff_tables(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     alone. The written keys tell the optimizer their size, so a small set of them is broadcast
     and wide rows never move.
     """
+    # A column of one side alone is null on the other.
+    for column in new.columns:
+        old = old if column in old.columns else old.withColumn(column, F.lit(None).cast(new.schema[column].dataType))
+    for column in old.columns:
+        new = new if column in new.columns else new.withColumn(column, F.lit(None).cast(old.schema[column].dataType))
     fields = [c for c in old.columns if c not in keys]
-    mark = F.struct(F.xxhash64(*fields).alias("a"), F.xxhash64(F.lit(1), *fields).alias("b"))
+    # The hash passes over nulls, so where they stand is hashed too.
+    nulls = [F.col(c).isNull() for c in fields]
+    mark = F.struct(F.xxhash64(*fields, *nulls).alias("a"), F.xxhash64(F.lit(1), *fields, *nulls).alias("b"))
     left = old.select(*keys, mark.alias("_o"))
     right = new.select(*keys, mark.alias("_n"))
     changed = durable(left.join(right, list(keys)).where("_o <> _n").select(*keys), "changed")

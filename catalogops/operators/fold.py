@@ -176,11 +176,12 @@ def as_map(entries: DataFrame, object_key: str) -> DataFrame:
 def fold_grants(log: DataFrame) -> DataFrame:
     """Live privileges from (seq, target_id, principal, op, privileges ARRAY).
 
-    add_grant replaces, revoke_grant without a list clears, with a list subtracts. A privilege
-    of the last add lives unless a later revoke lists it, so no revoke list is collected.
+    add_grant replaces, revoke_grant without a list (null or empty) clears, with a list subtracts. A
+    privilege of the last add lives unless a later revoke lists it, so no revoke list is collected.
     """
     who = ["target_id", "principal"]
-    resets = (F.col("op") == "add_grant") | F.col("privileges").isNull()
+    unlisted = F.coalesce(F.size("privileges"), F.lit(0)) <= 0
+    resets = (F.col("op") == "add_grant") | unlisted
     last = log.where(resets).groupBy(*who).agg(
         F.max(F.struct("seq", "op", "privileges")).alias("last")
     )
@@ -190,7 +191,7 @@ def fold_grants(log: DataFrame) -> DataFrame:
                 F.explode(F.array_distinct("last.privileges")).alias("privilege"))
     )
     revoked = (
-        log.where((F.col("op") == "revoke_grant") & F.col("privileges").isNotNull())
+        log.where((F.col("op") == "revoke_grant") & ~unlisted)
         .select(*who, "seq", F.explode("privileges").alias("privilege"))
         .groupBy(*who, "privilege")
         .agg(F.max("seq").alias("revoked_seq"))

@@ -7,6 +7,8 @@ salted in every round.
 
 from __future__ import annotations
 
+from itertools import count
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -130,7 +132,7 @@ def dependents_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return skew_join(edges, nodes.select(F.col("node_id").alias("from_id")).distinct(), ["from_id"], "left_semi")
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root_id, node_id, hops): everything that depends on each root, by fewest hops.
 
     ``roots`` is (root_id). For ancestors pass the edges turned round.
@@ -140,7 +142,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
         roots.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).cast("long").alias("hops")).distinct(), "reached"
     )
     reached = [frontier]
-    for hops in range(1, max_rounds + 1):
+    for hops in count(1):
         step = graph.meet(graph.rows, frontier.select("root_id", F.col("node_id").alias("from_id")), "from_id")
         met = step.select("root_id", F.col("to_id").alias("node_id")).distinct()
         frontier = durable(
@@ -151,8 +153,6 @@ def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
         if frontier.isEmpty():
             break
         reached.append(frontier)
-    else:
-        raise RuntimeError(f"closure not finished after {max_rounds} rounds")
     return _union(reached).where("hops > 0")
 
 

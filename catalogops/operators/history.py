@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalogops.functions.versions import parsed
 from catalogops.plans.durable import durable
-from catalogops.plans.ordered import BITS, last_before, rank_within
+from catalogops.plans.ordered import BITS, last_before, rank_within, running_sum
 from catalogops.plans.skew import skew_join
 
 
@@ -46,13 +46,18 @@ def previous_deployment(deployments: DataFrame, *, bits: int = BITS) -> DataFram
 
 
 def deployment_record(deployments: DataFrame, ops: DataFrame) -> DataFrame:
-    """(id, ops, successful, failed_index): counts and the 0-based place of the first failure."""
+    """(id, ops, successful, failed_index): counts and the 0-based place of the first failure.
+
+    Deployments without ops have 0 of them."""
     counted = ops.groupBy("deployment_id").agg(
         F.count(F.lit(1)).alias("ops"),
         F.count_if(F.col("status") == "success").alias("successful"),
         (F.min(F.when(F.col("status") == "failed", F.col("execution_order"))) - 1).cast("long").alias("failed_index"),
     )
-    return deployments.select("id").join(counted.withColumnRenamed("deployment_id", "id"), "id")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return deployments.select("id").join(counted.withColumnRenamed("deployment_id", "id"), "id", "left").select(
+        "id", none("ops"), none("successful"), "failed_index"
+    )
 
 
 def record_steps(ops: DataFrame, *, bits: int = BITS) -> DataFrame:
@@ -166,13 +171,32 @@ def cascade_drops(drops: DataFrame, objects: DataFrame, levels) -> DataFrame:
     return result.groupBy("dropped_id", "object_type").agg(F.sum("n").alias("n"))
 
 
-def deployment_stats(deployments: DataFrame, period: Column, accuracy: int = 100_000) -> DataFrame:
-    """Counts and times per environment and period, with totals by environment and over all."""
-    return deployments.withColumn("period", period).rollup("environment", "period").agg(
+def deployment_stats(deployments: DataFrame, period: Column) -> DataFrame:
+    """Counts and times per environment and period, with totals by environment and over all.
+
+    The 95th percentile is exact: values are counted first, and the counts of each group are summed
+    up in order of the value, in stretches, to the place asked for. Null times are left out of it.
+    """
+    rows = deployments.withColumn("period", period)
+    counted = rows.rollup("environment", "period").agg(
+        F.grouping_id().alias("_level"),
         F.count(F.lit(1)).alias("deployments"),
         F.count_if(F.col("status") == "success").alias("succeeded"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status") == "partial").alias("partial"),
         F.round(F.avg("execution_time_ms"), 4).alias("mean_ms"),
-        F.percentile_approx("execution_time_ms", 0.95, accuracy).alias("p95_ms"),
     )
+    key = lambda level: F.to_json(F.struct(level.alias("l"), F.col("environment"), F.col("period")), {"ignoreNullFields": "false"})
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType)
+    times = rows.where("execution_time_ms IS NOT NULL").groupBy("environment", "period", "execution_time_ms").agg(F.count(F.lit(1)).alias("_n"))
+    levels = [
+        times.select(key(F.lit(0)).alias("_key"), "execution_time_ms", "_n"),
+        times.withColumn("period", none("period")).select(key(F.lit(1)).alias("_key"), "execution_time_ms", "_n"),
+        times.withColumns({"environment": none("environment"), "period": none("period")}).select(key(F.lit(3)).alias("_key"), "execution_time_ms", "_n"),
+    ]
+    values = levels[0].union(levels[1]).union(levels[2]).groupBy("_key", "execution_time_ms").agg(F.sum("_n").alias("_n"))
+    summed = durable(running_sum(values, ["_key"], "execution_time_ms", "_n", "_upto"), "times")
+    total = summed.groupBy("_key").agg(F.sum("_n").alias("_all"))
+    place = F.ceil(F.col("_all").cast("decimal(38,0)") * F.lit("0.95").cast("decimal(3,2)"))
+    found = summed.join(total, "_key").where(F.col("_upto") >= place).groupBy("_key").agg(F.min("execution_time_ms").alias("p95_ms"))
+    return counted.withColumn("_key", key(F.col("_level").cast("int"))).join(found, "_key", "left").drop("_key", "_level")

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.functions.versions import order_key, parsed, shown
+from catalogops.functions.versions import parsed, shown
 from catalogops.plans.durable import durable
-from catalogops.plans.ordered import BITS, last_before, rank_within
+from catalogops.plans.ordered import BITS, last_before, position_within
 from catalogops.plans.skew import skew_join
 
 
@@ -64,32 +64,27 @@ def next_version(df: DataFrame, group: str, column: str = "version", bump: str =
     return top.select(group, F.when(F.col("v").isNull(), "v0.1.0").otherwise(bumped).alias("next_version"))
 
 
-def ranked_versions(versions: DataFrame, branch: str, *, bits: int = BITS) -> DataFrame:
+def ranked_versions(versions: DataFrame, branch: str) -> DataFrame:
     """Distinct valid versions (branch, key, version, rank) ranked from 1 inside their branch."""
     distinct = (
-        versions.select(branch, order_key(F.col("version")).alias("key"), "version")
+        versions.select(branch, parsed(F.col("version")).alias("key"), "version")
         .where("key IS NOT NULL")
         .groupBy(branch, "key")
         .agg(F.min("version").alias("version"))
     )
-    return rank_within(distinct, [branch], "key", "rank", bits=bits)
+    return position_within(distinct, [branch], ["key"], "_at").withColumn("rank", F.col("_at") + 1).drop("_at")
 
 
 def _rank_below(ends: DataFrame, ranked: DataFrame, branch: str, bits: int) -> DataFrame:
     """Each distinct end (branch, key, inclusive) with the rank of the last version before it,
     or at it when inclusive."""
-    # Version rows take even places; an end stands just after (inclusive) or just before its key.
-    side = F.when(F.col("inclusive"), 1).otherwise(-1)
-    marks = durable(
-        ranked.select(
-            branch, (F.col("key") * 2).alias("at"), "rank", F.lit(None).cast("long").alias("key"), F.lit(None).cast("boolean").alias("inclusive")
-        ).unionByName(
-            ends.select(branch, (F.col("key") * 2 + side).alias("at"), F.lit(None).cast("long").alias("rank"), "key", "inclusive").distinct()
-        ),
-        "marks",
+    # Places of versions and ends in one order; an end stands just before or (inclusive) after its key.
+    marks = ranked.select(branch, "key", F.lit(1).alias("side"), "rank").unionByName(
+        ends.select(branch, "key", F.when(F.col("inclusive"), 2).otherwise(0).alias("side"), F.lit(None).cast("long").alias("rank")).distinct()
     )
-    held = last_before(marks, [branch], "at", F.col("rank"), "below", bits=bits, levels=3)
-    return held.where("rank IS NULL").select(branch, "key", "inclusive", F.coalesce("below", F.lit(0)).alias("below"))
+    marks = durable(position_within(marks, [branch], ["key", "side"], "at"), "marks")
+    held = last_before(marks, [branch], "at", F.col("rank"), "below", bits=bits)
+    return held.where("rank IS NULL").select(branch, "key", (F.col("side") == 2).alias("inclusive"), F.coalesce("below", F.lit(0)).alias("below"))
 
 
 def _placed(pairs: DataFrame, ranked: DataFrame, branch: str, bits: int) -> DataFrame:
@@ -98,7 +93,7 @@ def _placed(pairs: DataFrame, ranked: DataFrame, branch: str, bits: int) -> Data
     wanted = durable(
         pairs.select(
             branch, "from_version", "to_version",
-            order_key(F.col("from_version")).alias("lo"), order_key(F.col("to_version")).alias("hi"),
+            parsed(F.col("from_version")).alias("lo"), parsed(F.col("to_version")).alias("hi"),
         ).where("lo IS NOT NULL AND hi IS NOT NULL").distinct(),
         "pairs",
     )
@@ -117,7 +112,7 @@ def versions_between(pairs: DataFrame, versions: DataFrame, branch: str = "branc
     Ends are placed among the ranked versions first; then each pair is joined by rank to just the
     versions it misses, so the work is the size of the answer.
     """
-    ranked = durable(ranked_versions(versions, branch, bits=bits), "ranked")
+    ranked = durable(ranked_versions(versions, branch), "ranked")
     each = _placed(pairs, ranked, branch, bits).withColumn(
         "rank", F.explode(F.sequence(F.col("after") + 1, F.col("until")))
     )
@@ -130,7 +125,7 @@ def stale_snapshots(snapshots: DataFrame, branch: str = "branch", *, bits: int =
     """(branch, version, current_base, should_be_base, missing) for snapshots (branch, version,
     previous) with versions between them and their base; ``missing`` is their number, the rows
     of ``versions_between`` are their names."""
-    ranked = durable(ranked_versions(snapshots, branch, bits=bits), "ranked")
+    ranked = durable(ranked_versions(snapshots, branch), "ranked")
     pairs = snapshots.where("previous IS NOT NULL").select(
         branch, F.col("previous").alias("from_version"), F.col("version").alias("to_version")
     )
@@ -150,10 +145,8 @@ def rebase_ops(ops: DataFrame, snapshots: DataFrame, old_base: str, new_base: st
     ``ops`` is (version, seq, op_id, target, ...): the ops each base version brought, and the
     feature's with a null version. ``base_only`` looks at the new base's own ops alone.
     """
-    key = order_key(F.col("version"))
-    ends = snapshots.select(
-        F.max(F.when(F.col("version") == old_base, key)).alias("lo"), F.max(F.when(F.col("version") == new_base, key)).alias("hi")
-    ).first()
-    low = ends.hi - 1 if base_only else ends.lo
-    base = ops.where((key > low) & (key <= ends.hi))
+    key, low, high = parsed(F.col("version")), parsed(F.lit(old_base)), parsed(F.lit(new_base))
+    known = snapshots.where(F.col("version").isin(old_base, new_base)).select("version").distinct().count()
+    within = (key == high) if base_only else (key > low) & (key <= high)
+    base = ops.where(within & F.lit(known == len({old_base, new_base})))
     return rebase_plan(ops.where("version IS NULL"), base, branch=None).drop("version")

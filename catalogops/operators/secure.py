@@ -6,6 +6,7 @@ so filters reach the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -14,10 +15,24 @@ from pyspark.sql import functions as F
 from catalogops.functions.privileges import BY_KIND, legal_privileges
 
 
+# Literals and quoted names are passed over; the second group is whoever runs the statement.
+_USER = re.compile(
+    r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`)|(\b(?:(?:current_user|session_user|user)\s*\(\s*\)|(?:current_user|session_user)\b(?!\s*\()))""",
+    re.IGNORECASE | re.DOTALL,
+)
+_GROUPS = re.compile(r"\b(?:is_account_group_member|is_member)\s*\(", re.IGNORECASE)
+
+
 def _for_user(expression: str, user: str) -> str:
-    """The expression with ``current_user()`` standing for the given user."""
+    """The expression with the functions for the current user standing for the given one.
+
+    Group membership cannot be told from a user's name, so it is refused, not evaluated for
+    whoever runs the job.
+    """
     literal = "'" + user.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return expression.replace("current_user()", literal)
+    if _GROUPS.search(_USER.sub(lambda m: "" if m[1] else literal, expression)):
+        raise ValueError("group membership is not known here")
+    return _USER.sub(lambda m: m[1] or literal, expression)
 
 
 def rules_of(rules: DataFrame, table_id) -> list[dict]:

@@ -148,9 +148,9 @@ def scoped_merge(spark, sf_dir):
 
 
 _V = r"'^v?([0-9]+)\.([0-9]+)\.([0-9]+)$'"
-_PARSED = f"""v AS (SELECT id, branch, version, CASE WHEN regexp_matches(version, {_V}) THEN CAST(regexp_extract(version, {_V}, 1) AS INT) END AS major,
-CASE WHEN regexp_matches(version, {_V}) THEN CAST(regexp_extract(version, {_V}, 2) AS INT) END AS minor,
-CASE WHEN regexp_matches(version, {_V}) THEN CAST(regexp_extract(version, {_V}, 3) AS INT) END AS patch FROM [fx7_versions])"""
+_PARSED = f"""v AS (SELECT id, branch, version, CASE WHEN regexp_matches(version, {_V}) THEN CAST(regexp_extract(version, {_V}, 1) AS BIGINT) END AS major,
+CASE WHEN regexp_matches(version, {_V}) THEN CAST(regexp_extract(version, {_V}, 2) AS BIGINT) END AS minor,
+CASE WHEN regexp_matches(version, {_V}) THEN CAST(regexp_extract(version, {_V}, 3) AS BIGINT) END AS patch FROM [fx7_versions])"""
 
 
 @query("M12_parse_versions", f"WITH {_PARSED} SELECT id, version, major, minor, patch FROM v")
@@ -176,10 +176,10 @@ s AS (SELECT id, branch, version, key, lag(version) OVER (PARTITION BY branch OR
 
 def _chain(spark, sf_dir):
     """Snapshots with the previously made one of their branch as base."""
-    from catalogops.functions.versions import order_key
+    from catalogops.functions.versions import parsed
     from catalogops.plans.ordered import last_before
 
-    valid = fixture(spark, sf_dir, "fx7_versions").where(order_key(F.col("version")).isNotNull())
+    valid = fixture(spark, sf_dir, "fx7_versions").where(parsed(F.col("version")).isNotNull())
     return last_before(valid, ["branch"], "id", F.col("version"), "previous")
 
 

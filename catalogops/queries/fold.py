@@ -137,7 +137,7 @@ def fold_map(spark, sf_dir):
 
 GRANTS_SQL = """
 WITH g AS (SELECT * FROM [fx1g_grantlog] {where}),
-reset AS (SELECT target_id, principal, max(seq) AS at FROM g WHERE op = 'add_grant' OR privileges IS NULL GROUP BY 1, 2),
+reset AS (SELECT target_id, principal, max(seq) AS at FROM g WHERE op = 'add_grant' OR privileges IS NULL OR privileges = '' GROUP BY 1, 2),
 base AS (SELECT g.target_id, g.principal, g.seq, unnest(string_split(g.privileges, ',')) AS privilege
   FROM g JOIN reset r ON r.target_id = g.target_id AND r.principal = g.principal AND r.at = g.seq WHERE g.op = 'add_grant' AND g.privileges <> ''),
 gone AS (SELECT target_id, principal, seq, unnest(string_split(privileges, ',')) AS privilege FROM g WHERE op = 'revoke_grant' AND privileges <> '')

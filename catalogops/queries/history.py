@@ -48,8 +48,8 @@ def previous_deployment(spark, sf_dir):
 
 @query(
     "H04_deployment_record",
-    """SELECT d.id, count(*) AS ops, count(*) FILTER (o.status = 'success') AS successful, min(execution_order) FILTER (o.status = 'failed') - 1 AS failed_index
-    FROM [fx4_deployments] d JOIN [fx4_ops] o ON o.deployment_id = d.id GROUP BY 1""",
+    """SELECT d.id, count(o.deployment_id) AS ops, count(*) FILTER (o.status = 'success') AS successful, min(execution_order) FILTER (o.status = 'failed') - 1 AS failed_index
+    FROM [fx4_deployments] d LEFT JOIN [fx4_ops] o ON o.deployment_id = d.id GROUP BY 1""",
 )
 def deployment_record(spark, sf_dir):
     return history.deployment_record(deployments(spark, sf_dir), deployment_ops(spark, sf_dir))

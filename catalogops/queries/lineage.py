@@ -10,7 +10,7 @@ from catalogops.plans.fixtures import fixture, spark_text
 from catalogops.queries.registry import query
 from catalogops.queries.selection import NAMES_SQL
 
-_LEVEL_SQL = "CASE WHEN op LIKE '%catalog%' THEN 0 WHEN op LIKE '%schema%' THEN 1 WHEN op LIKE '%add_table%' THEN 2 ELSE 3 END"
+_LEVEL_SQL = "CASE WHEN op = 'add_table' THEN 2 ELSE 3 END"
 
 # What the patterns find in the stored views, from how the views are made.
 _REFS_SQL = """refs AS (SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS view_id, unnest(list_concat([concat(lower(r_name), '.', lower(n_name), '.t_', CAST(c_custkey AS STRING)),

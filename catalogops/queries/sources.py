@@ -80,11 +80,13 @@ def read_env_config(spark, sf_dir):
 
 @query(
     "S04_read_information_schema",
-    "SELECT schema_name, table_name, table_type FROM [fx2_discovered] WHERE catalog_name = 'europe' AND schema_name = 'france'",
+    "SELECT schema_name, table_name, table_type FROM [fx2_discovered] WHERE (catalog_name, schema_name) = (SELECT (min(catalog_name), min_by(schema_name, (catalog_name, schema_name))) FROM [fx2_discovered])",
 )
 def read_information_schema(spark, sf_dir):
+    found = fixture(spark, sf_dir, "fx2_discovered")
+    catalog, schema = found.agg(F.min(F.struct("catalog_name", "schema_name"))).first()[0]
     return files.read_information_schema(
-        fixture(spark, sf_dir, "fx2_discovered"), ["schema_name", "table_name", "table_type"], ["schema_name", "table_name"], catalog="europe", schema="france"
+        found, ["schema_name", "table_name", "table_type"], ["schema_name", "table_name"], catalog=catalog, schema=schema
     )
 
 

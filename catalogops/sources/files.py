@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.functions.versions import order_key
+from catalogops.functions.versions import parsed
 from catalogops.operators.validate import is_valid, op_errors
 
 OP = (
@@ -37,7 +37,10 @@ def read_changelog(spark: SparkSession, path: str, multi_line: bool = True) -> D
     """
     docs = spark.read.schema(CHANGELOG).json(path, multiLine=multi_line)
     return docs.select(F.col("_metadata.file_path").alias("file"), "sinceSnapshot", F.posexplode("ops").alias("index", "o")).select(
-        F.col("o.id").alias("op_id"), "index", "o.ts", "o.provider", "o.op", "o.target", "o.payload", "o.scope", "file"
+        F.col("o.id").alias("op_id"), "index", "o.ts",
+        # Kinds are written with their provider in front; operators know them without.
+        F.coalesce("o.provider", F.nullif(F.regexp_extract("o.op", r"^([^.]+)\.", 1), F.lit(""))).alias("provider"),
+        F.regexp_replace("o.op", r"^[^.]*\.", "").alias("op"), "o.target", "o.payload", "o.scope", "file"
     )
 
 
@@ -100,7 +103,7 @@ def write_snapshot(state: DataFrame, path: str, version: str) -> None:
 def read_latest_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows of the greatest version; the partition filter prunes the others."""
     every = spark.read.schema(schema).option("basePath", path).parquet(path)
-    latest = every.select("version").distinct().agg(F.max_by("version", order_key(F.col("version")))).first()[0]
+    latest = every.select("version").distinct().agg(F.max_by("version", parsed(F.col("version")))).first()[0]
     return every.where(F.col("version") == latest)
 
 

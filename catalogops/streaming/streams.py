@@ -55,7 +55,7 @@ def latest_of(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _before_shuffle(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keep per Arrow batch only the last reset of a principal and the last of equal revokes."""
     for part in parts:
-        reset = (part["op"] == "add_grant") | part["privileges"].isna()
+        reset = (part["op"] == "add_grant") | part["privileges"].isna() | (part["privileges"] == "")
         listed = part["privileges"].where(~reset, "")
         part = part.assign(_r=reset, _l=listed).sort_values("seq")
         yield part.drop_duplicates(["target_id", "principal", "_r", "_l"], keep="last").drop(columns=["_r", "_l"])
@@ -76,7 +76,7 @@ class GrantState(StatefulProcessor):
         seq, listed = self.reset.get() if self.reset.exists() else (-1, "")
         for part in rows:
             for row in part.itertuples(index=False):
-                if row.op == "add_grant" or row.privileges is None:
+                if row.op == "add_grant" or not row.privileges:
                     if row.seq > seq:
                         seq, listed = int(row.seq), (row.privileges or "") if row.op == "add_grant" else ""
                 else:
