@@ -8,7 +8,8 @@ the text's last register. Two texts agree on a register with their probability J
 Registers are banded into buckets. In a bucket all meet its least member (the hub) first. A pair
 goes on if its sketches agree on ``SIFT`` of the registers or more and is then verified on the
 whole shingle sets. Members linked to the hub leave the bucket; buckets with few left give all
-their pairs, the others choose a new hub. By the triangle inequality of the Jaccard distance, a
+their pairs, the others are dealt anew, by each further band their members share (a similar pair
+shares a dozen bands), and choose hubs again. By the triangle inequality of the Jaccard distance, a
 member that left can only be linked to one that stayed if the latter is within two thresholds of
 the hub; those pairs are compared too. So no pair that shares a bucket is passed over, and no
 bucket gives all its pairs.
@@ -215,9 +216,13 @@ def deduplicated(documents: DataFrame) -> DataFrame:
 def _links(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
     """(a, b) of nodes whose shingle sets are as similar as asked, among all that share a bucket."""
     spark = shown.sparkSession
-    rows = shown.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    left = durable(rows.join(shared, "bucket").select("bucket", "node", "hub"), "buckets")
+    rows = shown.select("node", F.posexplode("bands").alias("band", "bucket"))
+
+    def shared(members: DataFrame) -> DataFrame:
+        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+        return durable(members.join(counted, "bucket").select("bucket", "band", "node", "hub", "n"), "buckets")
+
+    left = shared(rows)
     sketch = shown.select("node", "sketch")
 
     def sifted(pairs: DataFrame) -> DataFrame:
@@ -282,9 +287,15 @@ def _links(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
         rest = left.where("node <> hub").join(near.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
         if not first:
             rest = rest.where(f"n > {small_bucket}")
-        rest = rest.select("bucket", "node")
-        again = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-        left = durable(rest.join(again, "bucket").select("bucket", "node", "hub", "n"), "buckets")
+        rest = shared(rest.select("bucket", "band", "node"))
+        again = rest.where(f"n > {small_bucket}").select("bucket", "band", "node").join(
+            rows.select("node", F.col("band").alias("next"), F.col("bucket").alias("with")), "node"
+        ).where("next > band")
+        left = shared(
+            rest.where(f"n <= {small_bucket}").select("bucket", "band", "node")
+            .union(again.select(F.xxhash64("bucket", "with").alias("bucket"), F.col("next").alias("band"), "node"))
+        )
+        links = durable(links, "links")
         first = False
     return durable(links.distinct(), "links")
 
