@@ -7,12 +7,14 @@ the text's last register. Two texts agree on a register with their probability J
 
 Registers are banded into buckets. In a bucket all meet its least member (the hub) first. A pair
 goes on if its sketches agree on ``SIFT`` of the registers or more and is then verified on the
-whole shingle sets. Members linked to the hub leave the bucket; buckets with few left give all
-their pairs, the others are dealt anew, by each further band their members share (a similar pair
-shares a dozen bands), and choose hubs again. By the triangle inequality of the Jaccard distance, a
-member that left can only be linked to one that stayed if the latter is within two thresholds of
-the hub; those pairs are compared too. So no pair that shares a bucket is passed over, and no
-bucket gives all its pairs.
+whole shingle sets; linked documents join one class, and only pairs between classes matter from
+then on. A bucket of one class is done. Where all but ``SMALL_BUCKET`` members are of one class,
+those few meet all members of other classes, which is a bounded number of pairs for each member. In
+the others one hub from outside the largest class meets the rest, and their members are dealt anew
+by longer keys of more registers, of which each has a fixed number at each level, whatever the
+number of buckets it was in. So rows grow with the documents, and no member is left out for the size
+of its bucket. Only texts that still share a key of 20 registers with many of other classes, without
+being alike, meet them all.
 
 Nulls, ties, repeats: rows of equal shingle sets are one node before any pairing, whatever their
 number, and so are equal texts without a word, the empty text included. A null text is alike to
@@ -23,6 +25,7 @@ Other columns are not read. No rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 # Sketches that agree on less than this share are no candidates: at similarity 0.8 that is ten
-# standard deviations off, at 0.6 (the widest pair the triangle inequality asks for) almost five.
+# standard deviations off.
 SIFT = 0.4
 SMALL_BUCKET = 10
+# At level n a key folds n * ROWS registers, and there are so many keys that a pair of similarity
+# 0.8 shares MEETINGS of them on average: it shares none with a chance of e^-12.
+LEVELS, MEETINGS = 5, 12
 
 
 def _weighted(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -142,6 +148,28 @@ def _set_batches(size: int):
     return run
 
 
+def _dealt(level: int):
+    """The keys of each sketch at a level of dealing."""
+    length = level * ROWS
+    many = int(np.ceil(MEETINGS / SIMILARITY**length))
+    draw = np.random.default_rng(level)
+    chosen = np.stack([draw.choice(REGISTERS, length, replace=False) for _ in range(many)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.uint64)
+                keys = np.zeros((len(sketch), many), np.uint64) + np.arange(many, dtype=np.uint64) + np.uint64(level << 32)
+                for step in range(length):
+                    keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sketch[:, chosen[:, step]])
+                ends = np.arange(0, keys.size + 1, many, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(ends, keys.ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "keys"])
+
+    return run
+
+
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches agree on enough registers."""
     for batch in batches:
@@ -191,8 +219,7 @@ def near_duplicates(
         .select(F.col("row").alias("node"), "doc_id", "text_key", "bands", "sketch"),
         "shown",
     )
-    links = _links(columns, shown, shingle, similarity, small_bucket)
-    roots = connected_components(links)
+    roots = _roots(columns, shown, shingle, similarity, small_bucket)
     named = nodes.join(roots, "node", "left").select("set_key", "node", "least", F.coalesce("root", "node").alias("root"))
     members = sketches.select("row", "doc_id", "text_key", "set_key").join(named.select("set_key", "root"), "set_key").drop("set_key")
     members = durable(members, "members")
@@ -213,91 +240,88 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     return told.select(*documents.columns).union(documents.where(F.col("text").isNull()))
 
 
-def _links(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
-    """(a, b) of nodes whose shingle sets are as similar as asked, among all that share a bucket."""
+def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
+    """(node, root) of every node alike to another; root is the least node of the class."""
     spark = shown.sparkSession
-    rows = shown.select("node", F.posexplode("bands").alias("band", "bucket"))
-
-    def shared(members: DataFrame) -> DataFrame:
-        counted = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-        return durable(members.join(counted, "bucket").select("bucket", "band", "node", "hub", "n"), "buckets")
-
-    left = shared(rows)
+    rows = shown.select("node", F.explode("bands").alias("bucket"))
     sketch = shown.select("node", "sketch")
+    known: list[DataFrame] = []
+    compared: list[DataFrame] = []
+
+    def among(frames: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.union, frames, spark.createDataFrame([], schema))
 
     def sifted(pairs: DataFrame) -> DataFrame:
         return durable(
             pairs.distinct()
             .join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
             .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-            .mapInArrow(_sift, "a long, b long"),
+            .mapInArrow(_sift, "a long, b long")
+            .join(among(compared, "a long, b long"), ["a", "b"], "left_anti"),
             "sifted",
         )
 
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    sets = None
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        asked = ends(pairs).distinct()
-        known = sets
-        fresh = asked if known is None else asked.join(known, "node", "left_anti")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are as similar as asked, by their whole shingle sets."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        fresh = asked.join(among(known, "node long, shingles binary"), "node", "left_anti")
         wanted = shown.join(fresh, "node", "left_semi").select("node", "doc_id", "text_key")
         # Copies of a text share its key but not its id, so they do not meet in one task.
         none = F.coalesce("doc_id", F.lit(-(2**63)))
         texts = columns.select(none.alias("id"), "text_key", "text").join(wanted.select("node", none.alias("id"), "text_key"), ["id", "text_key"])
-        made = durable(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_set_batches(shingle), "node long, shingles binary"), "sets")
-        sets = made if known is None else known.union(made)
+        known.append(durable(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_set_batches(shingle), "node long, shingles binary"), "sets"))
+        sets = among(known, "node long, shingles binary")
+        compared.append(pairs)
         return durable(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-            .mapInArrow(_similarity, "a long, b long, similarity double"),
-            "verified",
+            .mapInArrow(_similarity, "a long, b long, similarity double")
+            .where(F.col("similarity") >= similarity).select("a", "b"),
+            "links",
         )
 
-    links = spark.createDataFrame([], "a long, b long")
-    done = spark.createDataFrame([], "a long, b long")
-    first = True
-    while first or not left.isEmpty():
-        hubs = left.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        if first:
-            pairs = sifted(hubs)
-        else:
-            many = left.where(f"n > {small_bucket}")
-            few = left.where(f"n <= {small_bucket}").select("bucket", "node")
-            within = few.select("bucket", F.col("node").alias("a")).join(few.select("bucket", F.col("node").alias("b")), "bucket").where("a < b").select("a", "b")
-            hubs = many.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-            pairs = sifted(hubs.union(within).distinct().join(done, ["a", "b"], "left_anti"))
-        compared = verified(pairs)
-        near = compared.where(F.col("similarity") >= similarity).select("a", "b")
-        links = links.union(near)
-        # Two that met the same hub, one linked and one not: all others are too far apart by the hub.
-        away = 1 - F.col("similarity")
-        linked = compared.where(F.col("similarity") >= similarity).select("a", F.col("b").alias("x"), away.alias("dx"))
-        stayed = compared.where((F.col("similarity") < similarity) & (away <= 2 * (1 - similarity) + 1e-9)).select("a", F.col("b").alias("y"), away.alias("dy"))
-        across = (
-            linked.join(stayed, "a").where(F.col("dx") >= F.col("dy") - (1 - similarity) - 1e-9)
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
-        done = durable(done.union(pairs).distinct(), "done")
-        across = sifted(across.join(done, ["a", "b"], "left_anti"))
-        if not across.isEmpty():
-            done = durable(done.union(across).distinct(), "done")
-            links = links.union(verified(across).where(F.col("similarity") >= similarity).select("a", "b"))
-        rest = left.where("node <> hub").join(near.select(F.col("a").alias("hub"), F.col("b").alias("node")), ["hub", "node"], "left_anti")
-        if not first:
-            rest = rest.where(f"n > {small_bucket}")
-        rest = shared(rest.select("bucket", "band", "node"))
-        again = rest.where(f"n > {small_bucket}").select("bucket", "band", "node").join(
-            rows.select("node", F.col("band").alias("next"), F.col("bucket").alias("with")), "node"
-        ).where("next > band")
-        left = shared(
-            rest.where(f"n <= {small_bucket}").select("bucket", "band", "node")
-            .union(again.select(F.xxhash64("bucket", "with").alias("bucket"), F.col("next").alias("band"), "node"))
-        )
-        links = durable(links, "links")
-        first = False
-    return durable(links.distinct(), "links")
+    def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """The roots once the links are known as well; only links between classes are looked at."""
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+            F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")
+        ).where("a <> b")
+        moved = connected_components(between)
+        old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        return durable(old.union(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
+    def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of buckets that hold several classes, with the bucket's largest class (main).
+
+        ``hub`` is the least member outside it, and ``others`` says how many those are.
+        """
+        named = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        classes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        largest = classes.groupBy("bucket").agg(
+            F.sum("n").alias("all"), F.max(F.struct("n", F.col("root").alias("main"))).alias("top"), F.count(F.lit(1)).alias("classes")
+        ).where("classes > 1").select("bucket", F.col("top.main").alias("main"), (F.col("all") - F.col("top.n")).alias("others"))
+        live = named.join(largest, "bucket")
+        hubs = live.where("root <> main").groupBy("bucket").agg(F.min("node").alias("hub"))
+        return durable(live.join(hubs, "bucket"), "buckets")
+
+    first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    members = durable(rows.join(first, "bucket").select("bucket", "node", "hub"), "buckets")
+    links = linked(sifted(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+    roots = merged(spark.createDataFrame([], "node long, root long"), links)
+    members = mixed(members.drop("hub"), roots)
+    level = 1
+    while not members.isEmpty():
+        last = level == LEVELS
+        few, many = members.where(F.lit(last) | (F.col("others") <= small_bucket)), members.where(F.lit(not last) & (F.col("others") > small_bucket))
+        outer = few.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("own"))
+        pairs = few.join(outer, "bucket").where("root <> own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+        met = many.join(many.where("node = hub").select("bucket", F.col("root").alias("own")), "bucket").where("root <> own")
+        pairs = pairs.union(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+        roots = merged(roots, linked(sifted(pairs)))
+        level += 1
+        dealt = sketch.join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_dealt(level), "node long, keys array<long>")
+        members = mixed(dealt.select("node", F.explode("keys").alias("bucket")), roots)
+    return roots
 
 
 @query("op1_minhash_neardup")
