@@ -273,6 +273,20 @@ def test_plan_is_best_fit_by_count():
             assert packing.best_fit_plan(dict(Counter(lengths)), capacity)[1] == len(bins)
 
 
+def test_packing_ids_are_the_tokenizers_own():
+    import public_tokenizers
+
+    own = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    assert own.ranked is not None
+    draw = np.random.default_rng(5)
+    signs = [*"abZé語ß1२³'’.,-_ \t\n\r\x1c\x1f\x85\xa0\u2003\u2028\u3000\u180e\ufeff\u0301\0😀", " ", " ", "  ", "'s", "'LL", "the"]
+    texts = ["".join(draw.choice(signs, draw.integers(0, 40))) for _ in range(3000)]
+    texts += ["", "a" * 200_000, " " * 200_000, "x" + "\n" * 3000 + "y", "a <|endoftext|> b", "no<|endoftext|>"]
+    for text in texts:
+        whole = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole
+
+
 def test_bpe_is_the_rank_files_own(spark, odd):
     public, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
     path = public.path("byte_bpe_multi_50k.tiktoken")
