@@ -156,16 +156,22 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def learn(documents: DataFrame) -> tuple[tuple[str, str], ...]:
     """(language, sample text) of every language of the rows that may be learned from.
 
-    At most ``SAMPLE_ROWS`` rows a language, taken by a hash of their text, and at most ``ROW_CHARS``
-    characters of each, until ``SAMPLE_CHARS`` are reached.
+    At most ``SAMPLE_ROWS`` distinct passages a language, taken by their hash, until ``SAMPLE_CHARS``
+    are reached. A text gives one passage of at most ``ROW_CHARS`` characters, from a place in the
+    whole text that its hash tells, so openings that texts share do not stand for them all. Copies
+    are one passage before any are taken, whatever their number.
     """
-    place = Window.partitionBy("lang").orderBy("place", "part")
-    rows = (
+    spots = F.greatest(F.length("text") - ROW_CHARS, F.lit(0)) + 1
+    passages = (
         documents.where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", F.xxhash64("text").alias("place"), F.substring("text", 1, ROW_CHARS).alias("part"))
-        .withColumn("n", F.row_number().over(place)).where(F.col("n") <= SAMPLE_ROWS)
-        .orderBy("lang", "n").collect()
+        .select("lang", F.substring("text", (F.pmod(F.xxhash64("text"), spots) + 1).cast("int"), F.lit(ROW_CHARS)).alias("part"))
+        .where(F.col("part").rlike(r"\p{L}"))
+        .select("lang", F.xxhash64("part").alias("place"), "part")
     )
+    place = Window.partitionBy("lang").orderBy("place")
+    taken = passages.select("lang", "place").distinct().withColumn("n", F.row_number().over(place)).where(F.col("n") <= SAMPLE_ROWS)
+    # At most SAMPLE_ROWS rows a language; a minimum combines before the shuffle, so copies are no hot spot.
+    rows = passages.join(F.broadcast(taken), ["lang", "place"]).groupBy("lang", "n").agg(F.min("part").alias("part")).orderBy("lang", "n").collect()
     samples: dict[str, str] = {}
     for row in rows:
         have = samples.setdefault(row["lang"], "")

@@ -203,6 +203,22 @@ def test_language_on_held_out_rows(spark, documents, odd, empty):
     assert {r["lang_pred"] for r in language.identify(odd, ()).collect()} == {"und"}
 
 
+def test_language_samples_are_of_distinct_texts(spark):
+    """Copies in hundreds with the least hashes, and an opening that all texts share, leave room for the others."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    short = [" ".join(word() for _ in range(25)) for _ in range(250)]
+    opening = " ".join(word() for _ in range(200))
+    texts = spark.createDataFrame([(t,) for t in short], "text string").selectExpr("text", "xxhash64(text) h").orderBy("h").collect()
+    own = [r["text"] for r in texts] + [r["text"] for r in texts[:3] for _ in range(400)]
+    rows = [(t, "copies") for t in own] + [(f"{opening} {' '.join(word() for _ in range(400))}", "opening") for _ in range(60)]
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 5)
+    frame = spark.createDataFrame([(next(ids), text, lang) for text, lang in rows], "doc_id long, text string, lang string")
+    samples = dict(language.learn(frame))
+    assert {lang: len(sample) for lang, sample in samples.items()} == {"copies": language.SAMPLE_CHARS, "opening": language.SAMPLE_CHARS}
+    assert sum(t in samples["copies"] for t in short) >= language.SAMPLE_CHARS // 180
+
+
 def test_neighbours_beside_brute_force(spark):
     given = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
     ids, vectors = np.array([r["vec_id"] for r in given]), np.array([r["embedding"] for r in given], np.float64)
