@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash sketches, banding and exact verification.
 
-Each document is the set of its word shingles, weighted by ``1 + ln(count)``. ProbMinHash gives
-every shingle a Poisson process that reaches the registers one after another, faster for heavier
-shingles; a register keeps the first to arrive, and a shingle stops as soon as its time is past
-the text's last register. Two texts agree on a register with their probability Jaccard.
+Each document is the set of its word shingles, all of one weight, however often a text repeats one.
+ProbMinHash gives every shingle a Poisson process that reaches the registers one after another; a
+register keeps the first to arrive, and a shingle stops as soon as its time is past the text's last
+register. With equal weights two texts agree on a register with their plain Jaccard similarity,
+which is what is verified.
 
 Registers are banded into buckets. In a bucket all meet its least member (the hub) first. A pair
 goes on if its sketches agree on ``SIFT`` of the registers or more and is then verified on the
@@ -50,8 +51,8 @@ SMALL_BUCKET = 10
 LEVELS, MEETINGS = 5, 12
 
 
-def _weighted(data: np.ndarray, offsets: np.ndarray, size: int):
-    """Distinct shingles of each text in order of (text, hash): text number, hash, count."""
+def _distinct(data: np.ndarray, offsets: np.ndarray, size: int):
+    """Distinct shingles of each text in order of (text, hash): text number, hash."""
     run = words(data, offsets)
     hashes, doc = grams(run.hash, run.doc, size)
     order = np.lexsort((hashes, doc))
@@ -59,8 +60,7 @@ def _weighted(data: np.ndarray, offsets: np.ndarray, size: int):
     new = np.empty(len(hashes), bool)
     new[:1] = True
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], hashes[at], np.diff(np.r_[at, len(hashes)])
+    return doc[new], hashes[new]
 
 
 def _exponential(seed: np.ndarray, step: int) -> np.ndarray:
@@ -102,9 +102,9 @@ def _sketch_batches(size: int):
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in slices(offsets):
                 n, at = hi - lo, offsets[lo : hi + 1] - offsets[lo]
-                doc, hashes, count = _weighted(data[offsets[lo] : offsets[hi]], at, size)
+                doc, hashes = _distinct(data[offsets[lo] : offsets[hi]], at, size)
                 shingles = np.bincount(doc, minlength=n)
-                first = prob_minhash(doc, hashes, 1 + np.log(count), n)
+                first = prob_minhash(doc, hashes, np.ones(len(hashes)), n)
                 # The set's own key: two sums over its shingles, and how many there are.
                 keys = np.zeros((n, 2), np.uint64)
                 np.add.at(keys[:, 0], doc, mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)))
@@ -140,7 +140,7 @@ def _set_batches(size: int):
             data, offsets = text_bytes(batch.column("text"))
             for lo, hi in slices(offsets):
                 at = offsets[lo : hi + 1] - offsets[lo]
-                doc, hashes, _ = _weighted(data[offsets[lo] : offsets[hi]], at, size)
+                doc, hashes = _distinct(data[offsets[lo] : offsets[hi]], at, size)
                 ends = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(sets, pa.binary())], schema=schema)

@@ -105,6 +105,19 @@ def test_near_duplicates_of_a_group_of_edits(spark):
     assert partition([r["doc_id"] for r in got], [r["class_id"] for r in got]) == want
 
 
+def test_near_duplicates_that_repeat_passages(spark):
+    """Sets are alike whatever a text repeats: one text repeats its first half, the other its second."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(6):
+        one, two = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(2))
+        rows += [(2 * i, " ".join([one] * 200 + [two])), (2 * i + 1, " ".join([one] + [two] * 200))]
+    want = partition([r[0] for r in rows], classes([r[1] for r in rows]))
+    assert len(want) == 6
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert partition([r["doc_id"] for r in got], [r["class_id"] for r in got]) == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and sum(r["keeper"] for r in got) == len({r[1] for r in ODD})
