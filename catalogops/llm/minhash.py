@@ -11,11 +11,13 @@ goes on if its sketches agree on ``SIFT`` of the registers or more and is then v
 whole shingle sets; linked documents join one class, and only pairs between classes matter from
 then on. A bucket of one class is done. Where all but ``SMALL_BUCKET`` members are of one class,
 those few meet all members of other classes, which is a bounded number of pairs for each member. In
-the others one hub from outside the largest class meets the rest, and their members are dealt anew
-by longer keys of more registers, of which each has a fixed number at each level, whatever the
-number of buckets it was in. So rows grow with the documents, and no member is left out for the size
-of its bucket. Only texts that still share a key of 20 registers with many of other classes, without
-being alike, meet them all.
+the others one hub from outside the largest class meets the rest, and what is still mixed after that
+is finished by an exact prefix join of its members' whole shingle sets: with all shingles in one
+order, the rarest first, two sets that are similar enough share a shingle among the first few of
+both, and how early it comes bounds what they can share at all. Every such pair of two classes is
+looked at, so no member is left out for the size of its bucket. The pairs that meet grow with the
+square of a group only where its members share a shingle that is rare enough for the start of their
+sets, and are still of different classes.
 
 Nulls, ties, repeats: rows of equal shingle sets are one node before any pairing, whatever their
 number, and so are equal texts without a word, the empty text included. A null text is alike to
@@ -46,9 +48,9 @@ REGISTERS = BANDS * ROWS
 # standard deviations off.
 SIFT = 0.4
 SMALL_BUCKET = 10
-# At level n a key folds n * ROWS registers, and there are so many keys that a pair of similarity
-# 0.8 shares MEETINGS of them on average: it shares none with a chance of e^-12.
-LEVELS, MEETINGS = 5, 12
+# Shingles are counted in so many cells to tell the rare from the common. Any order is right; this
+# table is of a fixed size and travels with the tasks.
+CELLS = 1 << 18
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -148,28 +150,48 @@ def _set_batches(size: int):
     return run
 
 
-def _dealt(level: int):
-    """The keys of each sketch at a level of dealing."""
-    length = level * ROWS
-    many = int(np.ceil(MEETINGS / SIMILARITY**length))
-    draw = np.random.default_rng(level)
-    chosen = np.stack([draw.choice(REGISTERS, length, replace=False) for _ in range(many)])
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often the task's sets have a shingle of each cell."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        joined = b"".join(batch.column("shingles").to_pylist())
+        total += np.bincount(_cells(np.frombuffer(joined, np.uint64)), minlength=CELLS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+
+def _prefixes(counts: np.ndarray, similarity: float):
+    """The shingles of each set, rarest first, among which any similar set has one too.
+
+    A set of n shingles shares at least ``similarity * n`` with a similar one, so their first common
+    shingle in an order of all shingles has no fewer than these from its place on.
+    """
+    names = ["node", "bucket", "place", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.uint64)
-                keys = np.zeros((len(sketch), many), np.uint64) + np.arange(many, dtype=np.uint64) + np.uint64(level << 32)
-                for step in range(length):
-                    keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sketch[:, chosen[:, step]])
-                ends = np.arange(0, keys.size + 1, many, dtype=np.int32)
-                lists = pa.ListArray.from_arrays(ends, keys.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "keys"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+                first = [x[np.lexsort((x, counts[_cells(x)]))][: _reach(len(x), similarity)] for x in sets]
+                reach = [len(x) for x in first]
+                buckets = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
+                places = np.concatenate([np.arange(n) for n in reach]) if reach else np.zeros(0, np.int64)
+                columns = [np.repeat(part.column("node").to_numpy(), reach), buckets, places, np.repeat([len(x) for x in sets], reach)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
     return run
 
 
+def _reach(size: int, similarity: float) -> int:
+    """How many shingles of a set may come up to the first that a similar set shares; never too few by rounding."""
+    return min(size, int(size - np.ceil(similarity * size - 1e-6)) + 1)
+
+
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches agree on enough registers."""
     for batch in batches:
@@ -261,16 +283,19 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
             "sifted",
         )
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are as similar as asked, by their whole shingle sets."""
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def whole(asked: DataFrame) -> DataFrame:
+        """(node, shingles) of all nodes asked for so far; each text is read for it once."""
         fresh = asked.join(among(known, "node long, shingles binary"), "node", "left_anti")
         wanted = shown.join(fresh, "node", "left_semi").select("node", "doc_id", "text_key")
         # Copies of a text share its key but not its id, so they do not meet in one task.
         none = F.coalesce("doc_id", F.lit(-(2**63)))
         texts = columns.select(none.alias("id"), "text_key", "text").join(wanted.select("node", none.alias("id"), "text_key"), ["id", "text_key"])
         known.append(durable(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_set_batches(shingle), "node long, shingles binary"), "sets"))
-        sets = among(known, "node long, shingles binary")
+        return among(known, "node long, shingles binary")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are as similar as asked, by their whole shingle sets."""
+        sets = whole(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         compared.append(pairs)
         return durable(
             pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
@@ -295,7 +320,7 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
 
         ``hub`` is the least member outside it, and ``others`` says how many those are.
         """
-        named = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        named = members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
         classes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
         largest = classes.groupBy("bucket").agg(
             F.sum("n").alias("all"), F.max(F.struct("n", F.col("root").alias("main"))).alias("top"), F.count(F.lit(1)).alias("classes")
@@ -309,19 +334,29 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
     links = linked(sifted(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     roots = merged(spark.createDataFrame([], "node long, root long"), links)
     members = mixed(members.drop("hub"), roots)
-    level = 1
-    while not members.isEmpty():
-        last = level == LEVELS
-        few, many = members.where(F.lit(last) | (F.col("others") <= small_bucket)), members.where(F.lit(not last) & (F.col("others") > small_bucket))
-        outer = few.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("own"))
-        pairs = few.join(outer, "bucket").where("root <> own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        met = many.join(many.where("node = hub").select("bucket", F.col("root").alias("own")), "bucket").where("root <> own")
-        pairs = pairs.union(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
-        roots = merged(roots, linked(sifted(pairs)))
-        level += 1
-        dealt = sketch.join(many.select("node").distinct(), "node", "left_semi").mapInArrow(_dealt(level), "node long, keys array<long>")
-        members = mixed(dealt.select("node", F.explode("keys").alias("bucket")), roots)
-    return roots
+    if members.isEmpty():
+        return roots
+    few, many = members.where(F.col("others") <= small_bucket), members.where(F.col("others") > small_bucket)
+    outer = few.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("own"))
+    pairs = few.join(outer, "bucket").where("root <> own").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    met = many.join(many.where("node = hub").select("bucket", F.col("root").alias("own")), "bucket").where("root <> own")
+    pairs = pairs.union(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
+    roots = merged(roots, linked(sifted(pairs)))
+    left = durable(mixed(many.select("bucket", "node"), roots).select("node").distinct(), "left")
+    if left.isEmpty():
+        return roots
+    sets = whole(left).join(left, "node", "left_semi")
+    counts = np.zeros(CELLS, np.int64)
+    for row in sets.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[row["cell"]] = row["n"]
+    prefixes = mixed(sets.mapInArrow(_prefixes(counts, similarity), "node long, bucket long, place long, size long"), roots)
+    outer = prefixes.where("root <> main").select(
+        "bucket", F.col("node").alias("x"), F.col("root").alias("own"), F.col("place").alias("x_place"), F.col("size").alias("x_size")
+    )
+    # If this is the first shingle they share, they share no more than what follows it in either.
+    most = F.least(F.col("size") - F.col("place"), F.col("x_size") - F.col("x_place"))
+    pairs = prefixes.join(outer, "bucket").where("root <> own").where(most * (1 + similarity) >= (F.col("size") + F.col("x_size")) * similarity - 1e-6)
+    return merged(roots, linked(sifted(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))))
 
 
 @query("op1_minhash_neardup")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catalogops.llm import bpe, chat, components, fingerprints, language, licenses, minhash, neighbours, packing, quality, urls
@@ -105,6 +106,31 @@ def test_near_duplicates_of_a_group_of_edits(spark):
     assert partition([r["doc_id"] for r in got], [r["class_id"] for r in got]) == want
 
 
+def test_near_duplicates_in_a_family_of_templates(spark):
+    """Texts of one template share every bucket without being alike; pairs just alike, whose sketches agree least."""
+    rng = random.Random(8)
+    words = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    template, size = words(181), 5
+    # Any two of the family share 177 of 223 shingles, a pair 178 of 222.
+    text = lambda both: " ".join(template + both + words(22))
+    family, pairs = [text(words(1)) for _ in range(400)], []
+    for _ in range(4000):
+        both = words(1)
+        pairs += [text(both), text(both)]
+    data, offsets = minhash.text_bytes(pa.array(pairs))
+    doc, hashes = minhash._distinct(data, offsets, size)
+    sketches = minhash.prob_minhash(doc, hashes, np.ones(len(hashes)), len(pairs)).reshape(-1, 2, minhash.REGISTERS)
+    shared = np.isin(sketches[:, 0], hashes[doc == 0]) & np.isin(sketches[:, 0], hashes[doc == 2])
+    agree = sketches[:, 0] == sketches[:, 1]
+    agree = np.where((agree & ~shared).any(axis=1), minhash.REGISTERS, agree.sum(axis=1))
+    for i in np.argsort(agree, kind="stable")[:20]:
+        family += pairs[2 * i : 2 * i + 2]
+    want = partition(range(len(family)), classes(family))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(family)), "doc_id long, text string"), small_bucket=0).collect()
+    assert Counter(map(len, want)) == {1: 400, 2: 20}
+    assert partition([r["doc_id"] for r in got], [r["class_id"] for r in got]) == want
+
+
 def test_near_duplicates_that_repeat_passages(spark):
     """Sets are alike whatever a text repeats: one text repeats its first half, the other its second."""
     rng = random.Random(7)
