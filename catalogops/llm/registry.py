@@ -17,6 +17,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = (
     "minhash", "quality", "neighbours", "packing", "bpe", "urls", "chat", "licenses", "language", "fingerprints",
+    "negatives", "slots", "periodic",
 )
 
 
@@ -60,3 +61,14 @@ def extended(df: DataFrame, **fields: str) -> StructType:
     for name, kind in fields.items():
         schema = schema.add(name, DataType.fromDDL(kind))
     return schema
+
+
+def free(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with underscores appended to those that a given column has (case is ignored)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
