@@ -65,20 +65,24 @@ def planned(weights: np.ndarray, shards: int) -> np.ndarray:
 def grown(old: np.ndarray, weights: np.ndarray, shards: int) -> np.ndarray:
     """The map with new shards up to ``shards``; slots move only into those.
 
-    Each move takes, from the shard with most bytes, the slot that comes nearest to what the emptiest
-    new shard lacks of an equal share, while that leaves the giver no less than the taker.
+    Each move takes from the shard with most bytes, for the emptiest new one, the largest slot that is
+    no more than the one has over an equal share and the other lacks; where none is, the smallest, as
+    long as the giver keeps no less than the taker has.
     """
     out, had = old.copy(), int(old.max(initial=-1)) + 1
     size = np.bincount(out, weights, minlength=shards).astype(np.int64)
+    share = size.sum() / shards
     while had < shards:
-        taker = had + int(np.argmin(size[had:]))
-        giver = int(np.argmax(size[:had]))
-        own = np.flatnonzero(out == giver)
-        own = own[(weights[own] > 0) & (size[giver] - weights[own] >= size[taker] + weights[own])]
-        if len(own) == 0:
-            break
-        lacks = size.sum() / shards - size[taker]
-        slot = own[np.argmin(np.abs(np.minimum(lacks, (size[giver] - size[taker]) / 2) - weights[own]))]
+        taker, giver = had + int(np.argmin(size[had:])), int(np.argmax(size[:had]))
+        own = np.flatnonzero((out == giver) & (weights > 0))
+        fits = own[weights[own] <= min(size[giver] - share, share - size[taker])]
+        if len(fits):
+            slot = fits[np.argmax(weights[fits])]
+        else:
+            own = own[size[giver] - weights[own] >= size[taker] + weights[own]]
+            if len(own) == 0 or size[giver] <= share:
+                break
+            slot = own[np.argmin(weights[own])]
         out[slot] = taker
         size[giver] -= weights[slot]
         size[taker] += weights[slot]
