@@ -213,10 +213,11 @@ def hard_negatives(
     asked = rows.where(anchor)
     shards = max(1, -(-rows.count() // shard_rows))
     blocks = max(1, -(-asked.count() // anchor_rows))
-    number = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    # Both sides' numbers are of one type: equal numbers of different types hash apart.
+    number = lambda n, *salt: F.pmod(F.xxhash64("vec_id", *salt), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # A salt of its own for the blocks, since shards and blocks come from one hash.
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))
+    block = number(blocks, F.lit("block"))
     left = rows.select("*", number(shards).alias("shard")).select("*", every(blocks).alias("block"))
 
     def meet(right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:

@@ -4,7 +4,8 @@ Every tree gives each vector a long string of sign bits of random projections; n
 long prefixes. The table is cut into shards of about ``SHARD_ROWS`` rows by a hash of the id, and in
 a shard each tree is the sorted array of its strings. A query descends every tree to its longest
 matching prefix; then all trees ascend together, one bit at a time, until their prefix ranges hold
-``ASCENT`` times the shard's rows in all (ranges of different trees overlap). Whatever lies in a
+``ASCENT`` times the shard's rows in all (ranges of different trees overlap), and further if those are
+fewer than ``k`` different candidates, up to the root, where all rows are. Whatever lies in a
 range is measured exactly, and the nearest of each shard are merged.
 
 Ranges are taken whole, so vectors that are equal, and so have equal strings, are found together
@@ -17,9 +18,9 @@ recall takes a large share of all rows; ``ASCENT`` is set for that.
 
 Nulls, ties, repeats: vectors that are null, empty, all zero or hold null or non-finite components
 are neither queries nor candidates, nor are rows without id. Vectors meet only those of their own
-length. Ties go to the smaller id. A query's own id is never its neighbour; rows that repeat an id
-with the same vector are one. Fewer candidates than ``k`` are all returned if found. No rows give no
-rows. Other columns are not read.
+length. Ties go to the smaller id. A query's own id is never its neighbour; an id with several
+vectors is one candidate, as near as the nearest of them. Fewer candidates than ``k`` are all
+returned. No rows give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -118,29 +119,47 @@ def forest_search(ids: np.ndarray, vectors: np.ndarray, strings: np.ndarray, q_i
         own = np.flatnonzero(depth == level)
         for tree in range(trees):
             bounds[:, tree, own] = ranges(ordered[:, tree], q_strings[own, tree], int(level))
+    once = len(np.unique(ids)) == len(ids)
     found = []
     for i in range(len(q_ids)):
-        near = np.zeros(len(ids), bool)
-        for tree in range(trees):
-            near[order[bounds[0, tree, i] : bounds[1, tree, i], tree]] = True
-        near &= ids != q_ids[i]
-        at = np.flatnonzero(near)
+        at = _reached(ids, order, bounds[:, :, i], q_ids[i])
+        while depth[i] > 0 and (len(at) if once else len(np.unique(ids[at]))) < k:
+            # Ranges overlap, so they may hold fewer rows than ``want``: go on up, to all rows if need be.
+            depth[i] -= 1
+            for tree in range(trees):
+                bounds[:, tree, i] = np.ravel(ranges(ordered[:, tree], q_strings[i : i + 1, tree], int(depth[i])))
+            at = _reached(ids, order, bounds[:, :, i], q_ids[i])
         score = np.sqrt(((vectors[at] - q_vectors[i]) ** 2).sum(axis=1))
-        if len(at) > k:
+        if once and len(at) > k:
             within = score <= np.partition(score, k - 1)[k - 1]
             at, score = at[within], score[within]
-        best = np.lexsort((ids[at], score))[:k]
+        best = np.lexsort((ids[at], score))
+        if not once:
+            best = best[np.sort(np.unique(ids[at[best]], return_index=True)[1])]
+        best = best[:k]
         found.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at[best]], "score": score[best]}))
     return pd.concat(found, ignore_index=True)
 
 
-def search(indexed: DataFrame, queries: DataFrame, k: int = K, ascent: float = ASCENT) -> DataFrame:
+def _reached(ids: np.ndarray, order: np.ndarray, bounds: np.ndarray, own: int) -> np.ndarray:
+    """Distinct rows in one query's ranges of all trees, without those of its own id."""
+    near = np.zeros(len(ids), bool)
+    for tree in range(order.shape[1]):
+        near[order[bounds[0, tree] : bounds[1, tree], tree]] = True
+    near &= ids != own
+    return np.flatnonzero(near)
+
+
+def search(
+    indexed: DataFrame, queries: DataFrame, k: int = K, ascent: float = ASCENT, *, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS
+) -> DataFrame:
     """query_id, rank, vec_id, score; both frames are rows of ``index``."""
     rows = durable(indexed.dropDuplicates(["vec_id", "embedding"]), "forest")
     asked = durable(queries.dropDuplicates(["vec_id", "embedding"]), "asked")
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    number = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n))
+    shards = max(1, -(-rows.count() // shard_rows))
+    blocks = max(1, -(-asked.count() // query_rows))
+    # Both sides' numbers are of one type: equal numbers of different types hash apart.
+    number = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("*", number(shards).alias("shard")).select("*", every(blocks).alias("block"))
     right = asked.select("*", number(blocks).alias("block")).select("*", every(shards).alias("shard"))
@@ -155,8 +174,9 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K, ascent: float = A
         return forest_search(*arrays(shard), *arrays(block), k=k, ascent=ascent)
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    # An id with several vectors counts with the nearest.
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id"]) if shards > 1 else found
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

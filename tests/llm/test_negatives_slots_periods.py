@@ -137,8 +137,18 @@ def brute_negatives(rows, anchors):
     return sorted(out)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Partitions as on a cluster: small results are not gathered into one."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("kind", ["near", "equal", "spread", "few", "one label"])
-def test_hard_negatives_are_those_of_all_pairs(spark, kind):
+def test_hard_negatives_are_those_of_all_pairs(spark, many_partitions, kind):
     rng = np.random.default_rng(len(kind))
     n, size = (7, 5) if kind == "few" else (400, 24)
     middle = rng.normal(size=(6, size)) * 40
