@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from catalogops.llm.pretokens import Encoder
-from catalogops.llm.registry import extended, query, table
+from catalogops.llm.registry import extended, free, query, table
 
 # Characters encoded before their ids are handed on.
 SLICE = 1 << 20
@@ -110,8 +110,12 @@ def codec(path: str) -> Codec:
 
 
 def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """The columns of ``documents`` and the ids of each whole text; ``path`` is readable by every worker."""
+    """The columns of ``documents`` and the ids of each whole text; ``path`` is readable by every worker.
+
+    Where a given column is called ``out``, underscores are appended to ours.
+    """
     names = list(documents.columns)
+    (out,) = free([out], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -132,8 +136,12 @@ def encode(documents: DataFrame, path: str, text: str = "text", out: str = "ids"
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The columns of ``encoded`` and the bytes its ids stand for; null ids give no bytes."""
+    """The columns of ``encoded`` and the bytes its ids stand for; null ids give no bytes.
+
+    Where a given column is called ``out``, underscores are appended to ours.
+    """
     names = list(encoded.columns)
+    (out,) = free([out], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -6,9 +6,11 @@ automaton until it has no next state. Similar text parses into few long phrases.
 logarithm of the sample's length, over the letters read, estimate the cross entropy; the language
 with the least wins.
 
-Texts are lower-cased and mapped to letter classes; whatever is no letter is one space. Long texts
-are parsed in blocks of ``BLOCK`` characters side by side (every block is read), so that all texts
-and languages of a batch advance together by one character a step.
+Texts are lower-cased; whatever is no letter is one space. Each language knows all letters of its own
+sample, and any other is one that it lacks, so the size of an automaton depends on one sample and
+not on the number of languages or scripts. Long texts are parsed in blocks of ``BLOCK`` characters
+side by side (every block is read), so that all texts of a batch advance together by one character a
+step.
 
 Nulls, ties, repeats: a null text, or one without a letter, is ``und`` with score 0. Ties go to the
 language that sorts first. With nothing to learn from, every text is ``und``. Rows without an id
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalogops.llm.registry import extended, held_out, query, remainder, table
+from catalogops.llm.registry import extended, free, held_out, query, remainder, table
 
 # Characters of labelled text learned per language, rows they come from, and the most from one row.
 SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 32_000, 200, 800
-CLASSES = 48
+# A language with more letters has its automaton's steps in a sorted list instead of a table.
+DENSE_LETTERS = 126
 BLOCK = 1024
 # Characters parsed together.
 SLICE = 1 << 20
-_BEGUN = 1 << 30
+_BEGUN = 1 << 62
 
 
 @functools.cache
@@ -44,15 +46,14 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
-    """(states, classes) table of next states of the suffix automaton, -1 for none; state 0 starts."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Next states of each state of the suffix automaton by symbol; state 0 starts."""
     size = 2 * len(symbols) + 1
-    follow = np.full((size, classes), -1, np.int32)
     link, length = [-1] * size, [0] * size
-    rows = [dict() for _ in range(1)]
-    last, count = 0, 1
+    rows: list[dict[int, int]] = [{}]
+    last = 0
     for symbol in symbols:
-        new, count = count, count + 1
+        new = len(rows)
         rows.append({})
         length[new] = length[last] + 1
         at = last
@@ -66,7 +67,7 @@ def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
             if length[at] + 1 == length[to]:
                 link[new] = to
             else:
-                clone, count = count, count + 1
+                clone = len(rows)
                 rows.append(dict(rows[to]))
                 length[clone], link[clone] = length[at] + 1, link[to]
                 while at != -1 and rows[at].get(symbol) == to:
@@ -74,54 +75,73 @@ def suffix_automaton(symbols: list[int], classes: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = clone
         last = new
-    for state, row in enumerate(rows):
-        for symbol, to in row.items():
-            follow[state, symbol] = to
-    return follow[:count]
+    return rows
+
+
+class Automaton:
+    """One language's steps: from a state by a symbol to a state, marked if a phrase begins with the symbol.
+
+    Symbols are 0 for what is no letter, 1 for a letter that the sample lacks, then its own letters.
+    A step that fails, or leaves the start, begins a phrase with this very character; one that the
+    sample lacks is a phrase of its own.
+    """
+
+    def __init__(self, sample: str):
+        lowered = sample.lower()
+        known = sorted({c for c in lowered if c.isalpha()})
+        self.classes = _letters().astype(np.uint16)
+        self.classes[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
+        self.width = 2 + len(known)
+        code, doc = _codes([lowered])
+        rows = suffix_automaton(self.classes[code].tolist())
+        again = np.full(self.width, _BEGUN, np.int64)
+        again[list(rows[0])] = np.array(list(rows[0].values()), np.int64) * self.width | _BEGUN
+        state = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        symbol = np.array([c for r in rows for c in r], np.int64)
+        to = np.array([t for r in rows for t in r.values()], np.int64) * self.width
+        to[state == 0] |= _BEGUN
+        self.again, self.keys = again, None
+        if len(known) <= DENSE_LETTERS:
+            self.table = np.tile(again, len(rows))
+            self.table[state * self.width + symbol] = to
+        else:
+            order = np.argsort(state * self.width + symbol)
+            self.keys, self.to = (state * self.width + symbol)[order], to[order]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """States times the width, with ``_BEGUN`` set where a phrase begins."""
+        at = state + symbol
+        if self.keys is None:
+            return self.table.take(at)
+        place = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[place] == at, self.to[place], self.again[symbol])
+
+
+def _codes(lowered: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, runs of non-letters as one, and the text of each."""
+    code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    doc = np.repeat(np.arange(len(lowered)), [len(t) for t in lowered])
+    letter = _letters()[code]
+    keep = np.ones(len(code), bool)
+    keep[1:] = letter[1:] | letter[:-1] | (doc[1:] != doc[:-1])
+    return code[keep], doc[keep]
 
 
 class Parser:
-    """Automata of all languages in one table, and the parse of many texts at a time."""
+    """Automata of all languages, and the parse of many texts at a time."""
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        letters = Counter(c for text in samples.values() for c in text.lower() if c.isalpha())
-        known = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: CLASSES - 2]]
-        self.classes = np.where(_letters(), 1, 0).astype(np.uint8)
-        self.classes[[ord(c) for c in known]] = np.arange(2, 2 + len(known))
-        tables, self.start, base = [], [], 0
         self.price = np.array([math.log(max(len(samples[n]), 2)) for n in self.names])
-        for name in self.names:
-            symbols, _ = self._symbols([samples[name]])
-            follow = suffix_automaton(symbols.tolist(), CLASSES)
-            ahead = np.where(follow >= 0, (follow + base) * CLASSES, 0)
-            # A step that fails, or leaves the start, begins a phrase with this very character; one
-            # that the sample lacks is a phrase of its own.
-            again = np.where(follow[0] >= 0, (follow[0] + base) * CLASSES, base * CLASSES) | _BEGUN
-            ahead = np.where(follow >= 0, ahead, again[None, :])
-            ahead[0] = again
-            tables.append(ahead.astype(np.int32).ravel())
-            self.start.append(base * CLASSES)
-            base += len(follow)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-
-    def _symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letter classes of all texts end to end, runs of non-letters as one 0, and the text of each."""
-        lowered = [t.lower() for t in texts]
-        code = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-        doc = np.repeat(np.arange(len(texts)), [len(t) for t in lowered])
-        symbol = self.classes[code]
-        keep = np.ones(len(symbol), bool)
-        keep[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0) | (doc[1:] != doc[:-1])
-        return symbol[keep], doc[keep]
+        self.automata = [Automaton(samples[n]) for n in self.names]
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each (text, language), and the letters of each text."""
-        symbol, doc = self._symbols(texts)
+        code, doc = _codes([t.lower() for t in texts])
         n = np.bincount(doc, minlength=len(texts))
-        letters = np.bincount(doc[symbol != 0], minlength=len(texts))
+        letters = np.bincount(doc[_letters()[code]], minlength=len(texts))
         phrases = np.zeros((len(texts), len(self.names)), np.int64)
-        if not len(symbol) or not self.names:
+        if not len(code):
             return phrases, letters
         starts = np.r_[0, np.cumsum(n)[:-1]]
         blocks = -(-n // BLOCK)
@@ -131,14 +151,14 @@ class Parser:
         order = np.argsort(-length, kind="stable")
         owner, first, length = owner[order], (starts[owner] + nth * BLOCK)[order], length[order]
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
-        state = np.repeat(np.array(self.start, np.int32)[:, None], len(owner), axis=1)
-        begun = np.zeros((len(self.names), len(owner)), np.int32)
-        for step, m in enumerate(live):
-            got = self.table.take(state[:, :m] + symbol[first[:m] + step].astype(np.int32))
-            begun[:, :m] += got >> 30
-            state[:, :m] = got & (_BEGUN - 1)
-        for k in range(len(self.names)):
-            phrases[:, k] = np.bincount(owner, begun[k], minlength=len(texts))
+        for k, automaton in enumerate(self.automata):
+            symbol = automaton.classes[code].astype(np.int64)
+            state, begun = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+            for step, m in enumerate(live):
+                got = automaton.step(state[:m], symbol[first[:m] + step])
+                begun[:m] += got >> 62
+                state[:m] = got & (_BEGUN - 1)
+            phrases[:, k] = np.bincount(owner, begun, minlength=len(texts))
         return phrases, letters
 
 
@@ -183,9 +203,10 @@ def learn(documents: DataFrame) -> tuple[tuple[str, str], ...]:
 def identify(documents: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame:
     """The columns of ``documents`` and lang_pred, lang_score, phrase_rate (of the winner, per letter).
 
-    The samples are of a fixed size for each language and travel with the tasks.
+    New columns that a given one has the name of get an underscore appended. The samples are of a fixed size for each language and travel with the tasks.
     """
     names = list(documents.columns)
+    made = free(["lang_pred", "lang_score", "phrase_rate"], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(samples)
@@ -214,10 +235,10 @@ def identify(documents: DataFrame, samples: tuple[tuple[str, str], ...]) -> Data
                 lo = hi
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
-                names=[*names, "lang_pred", "lang_score", "phrase_rate"],
+                names=[*names, *made],
             )
 
-    schema = extended(documents, lang_pred="string", lang_score="double", phrase_rate="double")
+    schema = extended(documents, **dict(zip(made, ("string", "double", "double"), strict=True)))
     return documents.mapInArrow(run, schema)
 
 

@@ -6,7 +6,9 @@ register keeps the first to arrive, and a shingle stops as soon as its time is p
 register. With equal weights two texts agree on a register with their plain Jaccard similarity,
 which is what is verified.
 
-Registers are banded into buckets. In a bucket all meet its least member (the hub) first. A pair
+Registers are banded into buckets. In a bucket all meet its most central member (the hub) first, the
+one whose buckets are the largest together: of many copies with edits, that is one with few of them,
+which is alike to more than any other, and it is the hub of most buckets. A pair
 goes on if its sketches agree on ``SIFT`` of the registers or more and is then verified on the
 whole shingle sets; linked documents join one class, and only pairs between classes matter from
 then on. A bucket of one class is done. Where all but ``SMALL_BUCKET`` members are of one class,
@@ -36,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.llm.components import connected_components
-from catalogops.llm.registry import query, table
+from catalogops.llm.registry import free, query, table
 from catalogops.llm.textbytes import grams, mix, slices, text_bytes, words
 from catalogops.plans.durable import durable
+from catalogops.plans.skew import skew_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -97,7 +100,7 @@ def prob_minhash(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, texts:
 
 
 def _sketch_batches(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +125,13 @@ def _sketch_batches(size: int):
                     for i, k in enumerate(text_key.to_pylist())
                 ]
                 has = shingles > 0
+                ends = np.r_[0, np.cumsum(shingles)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, n), text_key, pa.array(set_key, pa.binary()),
                         pa.ListArray.from_arrays(np.r_[0, np.cumsum(has * BANDS)].astype(np.int32), folded[has].ravel().view(np.int64)),
                         pa.array([low[i].tobytes() if has[i] else b"" for i in range(n)], pa.binary()),
+                        pa.array([hashes[ends[i] : ends[i + 1]].tobytes() for i in range(n)], pa.binary()),
                     ],
                     schema=schema,
                 )
@@ -134,22 +139,6 @@ def _sketch_batches(size: int):
     return run
 
 
-def _set_batches(size: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in slices(offsets):
-                at = offsets[lo : hi + 1] - offsets[lo]
-                doc, hashes = _distinct(data[offsets[lo] : offsets[hi]], at, size)
-                ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-                sets = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(sets, pa.binary())], schema=schema)
-
-    return run
-
-
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) % np.uint64(CELLS)).astype(np.int64)
 
@@ -229,45 +218,46 @@ def near_duplicates(
     text_key = F.md5(F.col("text").cast("binary"))
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key.alias("text_key"))
     sketches = durable(
-        columns.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key string, set_key binary, bands array<long>, sketch binary")
+        columns.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key string, set_key binary, bands array<long>, sketch binary, shingles binary")
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("set_key", F.coalesce("set_key", F.encode(F.concat(F.lit("row:"), F.col("row").cast("string")), "utf-8"))),
         "sketches",
     )
     # One node for each distinct shingle set; a minimum combines before the shuffle.
-    nodes = durable(sketches.groupBy("set_key").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "nodes")
+    nodes = durable(sketches.groupBy("set_key").agg(F.min("row").alias("node")), "nodes")
     shown = durable(
         sketches.where(F.size("bands") > 0).join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-        .select(F.col("row").alias("node"), "doc_id", "text_key", "bands", "sketch"),
+        .select(F.col("row").alias("node"), "bands", "sketch"),
         "shown",
     )
-    roots = _roots(columns, shown, shingle, similarity, small_bucket)
-    named = nodes.join(roots, "node", "left").select("set_key", "node", "least", F.coalesce("root", "node").alias("root"))
-    members = sketches.select("row", "doc_id", "text_key", "set_key").join(named.select("set_key", "root"), "set_key").drop("set_key")
-    members = durable(members, "members")
+    sets = sketches.select(F.col("row").alias("node"), "shingles")
+    roots = _roots(sets, shown, similarity, small_bucket)
+    named = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
+    members = durable(skew_join(sketches.select("row", "doc_id", "text_key", "set_key"), named, ["set_key"]).drop("set_key"), "members")
     classes = members.groupBy("root").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("kept"),
     )
-    return members.join(classes, "root").select("doc_id", "text_key", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keeper"))
+    told = skew_join(members, classes, ["root"])
+    return told.select("doc_id", "text_key", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keeper"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay: one of each class, and every null text."""
-    extra = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_key": F.md5(F.col("text").cast("binary"))}
-    kept = near_duplicates(documents.select("doc_id", "text")).where("keeper AND text_key IS NOT NULL")
-    kept = kept.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text_key").alias("_key"))
-    # The keeper may be one of several rows that repeat id and text.
-    told = documents.where(F.col("text").isNotNull()).withColumns(extra).join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    number, key = free(["number", "key"], documents.columns)
+    extra = {number: F.col("doc_id").cast("long"), key: F.md5(F.col("text").cast("binary"))}
+    kept = near_duplicates(documents.select("doc_id", "text")).where("keeper AND text_key IS NOT NULL").select("doc_id", "text_key")
+    # The keeper may be one of several rows that repeat id and text, null ids included; they combine before the join.
+    told = documents.where(F.col("text").isNotNull()).withColumns(extra).dropDuplicates([number, key])
+    told = told.join(kept.toDF("_kept_id", "_kept_key"), F.col(number).eqNullSafe(F.col("_kept_id")) & (F.col(key) == F.col("_kept_key")), "left_semi")
     return told.select(*documents.columns).union(documents.where(F.col("text").isNull()))
 
 
-def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
+def _roots(sets: DataFrame, shown: DataFrame, similarity: float, small_bucket: int) -> DataFrame:
     """(node, root) of every node alike to another; root is the least node of the class."""
     spark = shown.sparkSession
     rows = shown.select("node", F.explode("bands").alias("bucket"))
     sketch = shown.select("node", "sketch")
-    known: list[DataFrame] = []
     compared: list[DataFrame] = []
 
     def among(frames: list[DataFrame], schema: str) -> DataFrame:
@@ -284,22 +274,16 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
         )
 
     def whole(asked: DataFrame) -> DataFrame:
-        """(node, shingles) of all nodes asked for so far; each text is read for it once."""
-        fresh = asked.join(among(known, "node long, shingles binary"), "node", "left_anti")
-        wanted = shown.join(fresh, "node", "left_semi").select("node", "doc_id", "text_key")
-        # Copies of a text share its key but not its id, so they do not meet in one task.
-        none = F.coalesce("doc_id", F.lit(-(2**63)))
-        texts = columns.select(none.alias("id"), "text_key", "text").join(wanted.select("node", none.alias("id"), "text_key"), ["id", "text_key"])
-        known.append(durable(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_set_batches(shingle), "node long, shingles binary"), "sets"))
-        return among(known, "node long, shingles binary")
+        """(node, shingles) of the nodes asked for."""
+        return durable(sets.join(asked, "node", "left_semi"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are as similar as asked, by their whole shingle sets."""
-        sets = whole(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+        asked = whole(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
         compared.append(pairs)
         return durable(
-            pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
+            pairs.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("shingles_a")), "a")
+            .join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("shingles_b")), "b")
             .mapInArrow(_similarity, "a long, b long, similarity double")
             .where(F.col("similarity") >= similarity).select("a", "b"),
             "links",
@@ -318,7 +302,7 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
     def mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
         """Members of buckets that hold several classes, with the bucket's largest class (main).
 
-        ``hub`` is the least member outside it, and ``others`` says how many those are.
+        ``hub`` is the most central member outside it, and ``others`` says how many those are.
         """
         named = members.join(roots, "node", "left").select(*members.columns, F.coalesce("root", "node").alias("root"))
         classes = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -326,14 +310,16 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
             F.sum("n").alias("all"), F.max(F.struct("n", F.col("root").alias("main"))).alias("top"), F.count(F.lit(1)).alias("classes")
         ).where("classes > 1").select("bucket", F.col("top.main").alias("main"), (F.col("all") - F.col("top.n")).alias("others"))
         live = named.join(largest, "bucket")
-        hubs = live.where("root <> main").groupBy("bucket").agg(F.min("node").alias("hub"))
-        return durable(live.join(hubs, "bucket"), "buckets")
-
-    first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = durable(rows.join(first, "bucket").select("bucket", "node", "hub"), "buckets")
-    links = linked(sifted(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+        return durable(live.join(_hubs(live.where("root <> main")), "bucket"), "buckets")
+
+    # Bucket sizes are counted by sums, and a node is as central as its buckets are large together.
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = durable(rows.join(shared, "bucket"), "shared")
+    members = durable(held.drop("n").join(held.groupBy("node").agg(F.sum("n").alias("central")), "node").select("bucket", "node", "central"), "members")
+    first = members.join(_hubs(members), "bucket").where("node <> hub")
+    links = linked(sifted(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))))
     roots = merged(spark.createDataFrame([], "node long, root long"), links)
-    members = mixed(members.drop("hub"), roots)
+    members = mixed(members, roots)
     if members.isEmpty():
         return roots
     few, many = members.where(F.col("others") <= small_bucket), members.where(F.col("others") > small_bucket)
@@ -342,14 +328,15 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
     met = many.join(many.where("node = hub").select("bucket", F.col("root").alias("own")), "bucket").where("root <> own")
     pairs = pairs.union(met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")))
     roots = merged(roots, linked(sifted(pairs)))
-    left = durable(mixed(many.select("bucket", "node"), roots).select("node").distinct(), "left")
+    left = durable(mixed(many.select("bucket", "node", "central"), roots).select("node", "central").distinct(), "left")
     if left.isEmpty():
         return roots
-    sets = whole(left).join(left, "node", "left_semi")
+    asked = whole(left.select("node"))
     counts = np.zeros(CELLS, np.int64)
-    for row in sets.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in asked.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["cell"]] = row["n"]
-    prefixes = mixed(sets.mapInArrow(_prefixes(counts, similarity), "node long, bucket long, place long, size long"), roots)
+    prefixes = asked.mapInArrow(_prefixes(counts, similarity), "node long, bucket long, place long, size long").join(left, "node")
+    prefixes = mixed(prefixes, roots)
     outer = prefixes.where("root <> main").select(
         "bucket", F.col("node").alias("x"), F.col("root").alias("own"), F.col("place").alias("x_place"), F.col("size").alias("x_size")
     )
@@ -359,6 +346,12 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
     return merged(roots, linked(sifted(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))))
 
 
+def _hubs(members: DataFrame) -> DataFrame:
+    """(bucket, hub): the most central member of each bucket, the least among equals; a maximum combines before the shuffle."""
+    best = F.max(F.struct("central", (-F.col("node")).alias("least")))
+    return members.groupBy("bucket").agg(best.alias("best")).select("bucket", (-F.col("best.least")).alias("hub"))
+
+
 @query("op1_minhash_neardup")
 def op1_minhash_neardup(spark, sf_dir):
     """Near-duplicate class of every document."""

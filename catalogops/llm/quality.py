@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.llm.registry import extended, held_out, query, remainder, table
+from catalogops.llm.registry import extended, free, held_out, query, remainder, table
 from catalogops.llm.textbytes import IS_LOWER, IS_SPACE, IS_UPPER, IS_WORD, LOWER, grams, mix, runs, slices, text_bytes
 from catalogops.plans.durable import durable
 
@@ -74,6 +74,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("feature", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64()), ("label", pa.int32()), ("place", pa.int64()), ("indicators", pa.binary())])
     counts = np.zeros((2, 1 << BITS), np.int64)
     none = lambda n, kind: pa.nulls(n, kind)
+    # Rows that repeat an id give one row to fit from each task.
+    given: set[int] = set()
     for batch in batches:
         label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
         sampled = batch.column("sampled").to_numpy(zero_copy_only=False)
@@ -83,7 +85,11 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for c in (0, 1):
                 np.add.at(counts[c], feature[own == c], 1)
             at = np.searchsorted(doc, np.arange(hi - lo + 1))
-            picked = [i for i in range(hi - lo) if sampled[lo + i]]
+            picked = []
+            for i in np.flatnonzero(sampled[lo:hi]).tolist():
+                if int(place[lo + i]) not in given:
+                    given.add(int(place[lo + i]))
+                    picked.append(i)
             if picked:
                 k = len(picked)
                 yield pa.RecordBatch.from_arrays(
@@ -143,7 +149,7 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weight of each feature, and the bias, on the log-odds scale; at most ``sample`` rows are fitted.
 
-    Only rows whose id is not in the held-out fifth are learned from.
+    Of rows that repeat an id, one is fitted (the least by its indicators), and all are counted. Only rows whose id is not in the held-out fifth are learned from.
     """
     spark = documents.sparkSession
     known = (
@@ -184,8 +190,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
         used = np.flatnonzero(weights[:-1])
         return pd.DataFrame({"feature": np.r_[used, -1], "weight": np.r_[weights[used] * ratio[used] * slope, weights[-1] * slope + shift]})
 
-    # The sample is bounded by ``sample`` rows, so one task may hold it.
-    found = learned.where("feature IS NULL").select("label", "place", "indicators", F.lit(0).alias("all")).groupBy("all").applyInPandas(model, "feature long, weight double").toPandas()
+    # One row an id, so at most ``sample`` rows, and one task may hold them.
+    fitted = learned.where("feature IS NULL").groupBy("place").agg(F.min(F.struct("label", "indicators")).alias("one"))
+    found = fitted.select("one.label", "place", "one.indicators", F.lit(0).alias("all")).groupBy("all").applyInPandas(model, "feature long, weight double").toPandas()
     weights = np.zeros(1 << BITS)
     if len(found) == 0:
         return weights, float(np.log(share[1] / share[0]))
@@ -195,9 +202,13 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
 
 
 def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The columns of ``documents`` and quality_score, a probability; the model has a fixed size."""
+    """The columns of ``documents`` and quality_score, a probability; the model has a fixed size.
+
+    If a given column has that name, underscores are appended to ours.
+    """
     weights, bias = model[0].astype(np.float32), model[1]
-    names = [c for c in documents.columns]
+    names = list(documents.columns)
+    made = free(["quality_score"], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +216,9 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             for lo, hi, doc, feature in _per_slice(batch):
                 margin[lo:hi] += np.bincount(doc, weights[feature], minlength=hi - lo)
             value = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(value)], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(value)], names=[*names, *made])
 
-    schema = extended(documents, quality_score="double")
+    schema = extended(documents, **{made[0]: "double"})
     return documents.mapInArrow(run, schema)
 
 
