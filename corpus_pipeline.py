@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogops.llm import language, minhash, packing, quality
-from catalogops.llm.registry import table
+from catalogops.llm.registry import free, table
 from catalogops.plans.durable import durable
 from catalogops.session import tune
 
@@ -19,13 +19,15 @@ from catalogops.session import tune
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a learned language explains; those without any letter go."""
     found = language.identify(docs, language.learn(docs))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    (lang_pred,) = free(["lang_pred"], docs.columns)
+    return found.where(F.col(lang_pred) != "und").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``THRESHOLD`` or more."""
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = free(["quality_score"], docs.columns)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
