@@ -37,7 +37,8 @@ DENSE_LETTERS = 126
 BLOCK = 1024
 # Characters parsed together.
 SLICE = 1 << 20
-_BEGUN = 1 << 62
+# Marks a step that begins a phrase, in a table and in a list.
+_BEGUN, _BEGUN_LISTED = 30, 62
 
 
 @functools.cache
@@ -94,14 +95,18 @@ class Automaton:
         self.width = 2 + len(known)
         code, doc = _codes([lowered])
         rows = suffix_automaton(self.classes[code].tolist())
-        again = np.full(self.width, _BEGUN, np.int64)
-        again[list(rows[0])] = np.array(list(rows[0].values()), np.int64) * self.width | _BEGUN
+        # A table of the sample's states is small enough for 32 bits.
+        dense = len(known) <= DENSE_LETTERS and len(rows) * self.width < 1 << _BEGUN
+        self.bit, kind = (_BEGUN, np.int32) if dense else (_BEGUN_LISTED, np.int64)
+        begun = kind(1 << self.bit)
+        again = np.full(self.width, begun, kind)
+        again[list(rows[0])] = np.array(list(rows[0].values()), kind) * kind(self.width) | begun
         state = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         symbol = np.array([c for r in rows for c in r], np.int64)
-        to = np.array([t for r in rows for t in r.values()], np.int64) * self.width
-        to[state == 0] |= _BEGUN
+        to = np.array([t for r in rows for t in r.values()], kind) * kind(self.width)
+        to[state == 0] |= begun
         self.again, self.keys = again, None
-        if len(known) <= DENSE_LETTERS:
+        if dense:
             self.table = np.tile(again, len(rows))
             self.table[state * self.width + symbol] = to
         else:
@@ -109,7 +114,7 @@ class Automaton:
             self.keys, self.to = (state * self.width + symbol)[order], to[order]
 
     def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """States times the width, with ``_BEGUN`` set where a phrase begins."""
+        """States times the width, with ``bit`` set where a phrase begins."""
         at = state + symbol
         if self.keys is None:
             return self.table.take(at)
@@ -152,12 +157,13 @@ class Parser:
         owner, first, length = owner[order], (starts[owner] + nth * BLOCK)[order], length[order]
         live = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
         for k, automaton in enumerate(self.automata):
-            symbol = automaton.classes[code].astype(np.int64)
-            state, begun = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+            symbol = automaton.classes[code].astype(automaton.again.dtype)
+            state, begun = np.zeros(len(owner), symbol.dtype), np.zeros(len(owner), symbol.dtype)
+            low = symbol.dtype.type((1 << automaton.bit) - 1)
             for step, m in enumerate(live):
                 got = automaton.step(state[:m], symbol[first[:m] + step])
-                begun[:m] += got >> 62
-                state[:m] = got & (_BEGUN - 1)
+                begun[:m] += got >> automaton.bit
+                state[:m] = got & low
             phrases[:, k] = np.bincount(owner, begun, minlength=len(texts))
         return phrases, letters
 

@@ -100,7 +100,7 @@ def prob_minhash(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, texts:
 
 
 def _sketch_batches(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,13 +125,12 @@ def _sketch_batches(size: int):
                     for i, k in enumerate(text_key.to_pylist())
                 ]
                 has = shingles > 0
-                ends = np.r_[0, np.cumsum(shingles)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, n), text_key, pa.array(set_key, pa.binary()),
                         pa.ListArray.from_arrays(np.r_[0, np.cumsum(has * BANDS)].astype(np.int32), folded[has].ravel().view(np.int64)),
                         pa.array([low[i].tobytes() if has[i] else b"" for i in range(n)], pa.binary()),
-                        pa.array([hashes[ends[i] : ends[i + 1]].tobytes() for i in range(n)], pa.binary()),
+                        batch.column("text").slice(lo, n),
                     ],
                     schema=schema,
                 )
@@ -139,6 +138,22 @@ def _sketch_batches(size: int):
     return run
 
 
+def _set_batches(size: int):
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for lo, hi in slices(offsets):
+                at = offsets[lo : hi + 1] - offsets[lo]
+                doc, hashes = _distinct(data[offsets[lo] : offsets[hi]], at, size)
+                ends = np.searchsorted(doc, np.arange(hi - lo + 1))
+                sets = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(sets, pa.binary())], schema=schema)
+
+    return run
+
+
 def _cells(hashes: np.ndarray) -> np.ndarray:
     return (mix(hashes) % np.uint64(CELLS)).astype(np.int64)
 
@@ -218,7 +233,7 @@ def near_duplicates(
     text_key = F.md5(F.col("text").cast("binary"))
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key.alias("text_key"))
     sketches = durable(
-        columns.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key string, set_key binary, bands array<long>, sketch binary, shingles binary")
+        columns.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key string, set_key binary, bands array<long>, sketch binary, text string")
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("set_key", F.coalesce("set_key", F.encode(F.concat(F.lit("row:"), F.col("row").cast("string")), "utf-8"))),
         "sketches",
@@ -230,8 +245,8 @@ def near_duplicates(
         .select(F.col("row").alias("node"), "bands", "sketch"),
         "shown",
     )
-    sets = sketches.select(F.col("row").alias("node"), "shingles")
-    roots = _roots(sets, shown, similarity, small_bucket)
+    texts = sketches.select(F.col("row").alias("node"), "text")
+    roots = _roots(texts, shown, shingle, similarity, small_bucket)
     named = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     members = durable(skew_join(sketches.select("row", "doc_id", "text_key", "set_key"), named, ["set_key"]).drop("set_key"), "members")
     classes = members.groupBy("root").agg(
@@ -253,7 +268,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     return told.select(*documents.columns).union(documents.where(F.col("text").isNull()))
 
 
-def _roots(sets: DataFrame, shown: DataFrame, similarity: float, small_bucket: int) -> DataFrame:
+def _roots(texts: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
     """(node, root) of every node alike to another; root is the least node of the class."""
     spark = shown.sparkSession
     rows = shown.select("node", F.explode("bands").alias("bucket"))
@@ -275,7 +290,7 @@ def _roots(sets: DataFrame, shown: DataFrame, similarity: float, small_bucket: i
 
     def whole(asked: DataFrame) -> DataFrame:
         """(node, shingles) of the nodes asked for."""
-        return durable(sets.join(asked, "node", "left_semi"), "sets")
+        return durable(texts.join(asked, "node", "left_semi").mapInArrow(_set_batches(shingle), "node long, shingles binary"), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are as similar as asked, by their whole shingle sets."""
