@@ -112,6 +112,36 @@ def live(spans: DataFrame) -> DataFrame:
     return spans.where("end_seq IS NULL").drop("end_seq")
 
 
+def in_lives(log: DataFrame, spans: DataFrame, key: str, *, bits: int = BITS) -> DataFrame:
+    """The rows of ``log`` (key, seq, ...) that fall in a life of their target, with ``life`` (its start) and ``life_end``.
+
+    ``spans`` is (key, start_seq, end_seq). Starts and rows are one stream in which each row takes the
+    last start before it, so a target that owns most of the log is cut into stretches like any other.
+    """
+    shape = log.select(F.struct(*log.columns).alias("_row")).schema["_row"].dataType
+    opened = spans.select(
+        key, F.col("start_seq").alias("seq"), F.struct("start_seq", "end_seq").alias("_life"), F.lit(None).cast(shape).alias("_row")
+    )
+    rows = log.where(F.col(key).isNotNull()).select(
+        key, "seq", F.lit(None).cast(opened.schema["_life"].dataType).alias("_life"), F.struct(*log.columns).alias("_row")
+    )
+    within = last_before(opened.unionByName(rows), [key], "seq", F.col("_life"), "_within", bits=bits)
+    return within.where("_row IS NOT NULL AND _within IS NOT NULL AND (_within.end_seq IS NULL OR seq < _within.end_seq)").select(
+        "_row.*", F.col("_within.start_seq").alias("life"), F.col("_within.end_seq").alias("life_end")
+    )
+
+
+def in_current_lives(log: DataFrame, spans: DataFrame | None, key: str, *, bits: int = BITS) -> DataFrame:
+    """The rows that act on what the target is now: after the start of the life it still has.
+
+    What a dropped target held is gone, and a target added again starts with nothing, so these rows
+    alone make its state. Without ``spans`` every target has always been there.
+    """
+    if spans is None:
+        return log
+    return in_lives(log, spans.where("end_seq IS NULL"), key, bits=bits).drop("life", "life_end")
+
+
 def latest_values(
     log: DataFrame,
     keys: Sequence[str],
@@ -173,12 +203,15 @@ def as_map(entries: DataFrame, object_key: str) -> DataFrame:
     )
 
 
-def fold_grants(log: DataFrame) -> DataFrame:
+def fold_grants(log: DataFrame, targets: DataFrame | None = None, *, bits: int = BITS) -> DataFrame:
     """Live privileges from (seq, target_id, principal, op, privileges ARRAY).
 
+    ``targets`` is the lifetimes (target_id, start_seq, end_seq) of what is granted on.
+
     add_grant replaces, revoke_grant without a list (null or empty) clears, with a list subtracts. A
     privilege of the last add lives unless a later revoke lists it, so no revoke list is collected.
     """
+    log = in_current_lives(log, targets, "target_id", bits=bits)
     who = ["target_id", "principal"]
     unlisted = F.coalesce(F.size("privileges"), F.lit(0)) <= 0
     resets = (F.col("op") == "add_grant") | unlisted
@@ -203,13 +236,17 @@ def fold_grants(log: DataFrame) -> DataFrame:
     )
 
 
-def fold_column_order(log: DataFrame, *, bits: int = BITS) -> DataFrame:
+def fold_column_order(log: DataFrame, tables: DataFrame | None = None, *, bits: int = BITS) -> DataFrame:
     """Position of every live column from (seq, table_id, column_id, op, listed ARRAY).
 
+    ``tables`` is the lifetimes (table_id, start_seq, end_seq) of the tables: a table dropped and
+    added again has the columns, and the orders, of its present life only.
+
     A reorder puts the listed columns first and leaves the others in their old order, so a
     column stands by the last reorder that lists it, later reorders first, then by its place
     in that list; columns never listed follow in the order they were added.
     """
+    log = in_current_lives(log, tables, "table_id", bits=bits)
     who = ["table_id", "column_id"]
     events = log.where(F.col("op").isin("add_column", "drop_column")).select(
         *who, "seq", F.when(F.col("op") == "add_column", "add").otherwise("drop").alias("kind")
@@ -229,14 +266,17 @@ def fold_column_order(log: DataFrame, *, bits: int = BITS) -> DataFrame:
     return position_within(flat, ["table_id"], order, "position").select(*who, "position")
 
 
-def fold_constraints(log: DataFrame, *, bits: int = BITS) -> DataFrame:
+def fold_constraints(log: DataFrame, tables: DataFrame | None = None, *, bits: int = BITS) -> DataFrame:
     """Constraint lists from (seq, table_id, constraint_id, op, insert_at).
 
+    ``tables`` is the lifetimes (table_id, start_seq, end_seq) of the tables; a list starts empty in each.
+
     Where a constraint stands depends on the list at the moment it was inserted, so one
     table's list is replayed in order. Only what can matter is replayed: effective adds and
     drops (bucketed lifetimes) since the table's list was last empty. Rows stream through a
     task in batches and only the live list is held.
     """
+    log = in_current_lives(log, tables, "table_id", bits=bits)
     who = ["table_id", "constraint_id"]
     events = log.select(
         *who, "seq", F.when(F.col("op") == "add_constraint", "add").otherwise("drop").alias("kind"),
@@ -293,38 +333,50 @@ def fold_constraints(log: DataFrame, *, bits: int = BITS) -> DataFrame:
     )
 
 
-def fold_rules(log: DataFrame, *, bits: int = BITS) -> DataFrame:
-    """Live row filters and column masks from (seq, table_id, rule_id, kind, op, column_id,
-    enabled, expression); updates overwrite the fields they carry."""
-    who = ["table_id", "rule_id", "kind"]
+RULE_FIELDS = ("name", "enabled", "expression", "description")
+
+
+def rule_lives(log: DataFrame, tables: DataFrame | None = None, *, bits: int = BITS) -> DataFrame:
+    """Lives of row filters and column masks inside their table's present life, with what they were added as."""
+    log = in_current_lives(log, tables, "table_id", bits=bits)
     events = log.where(F.col("op").isin("add", "remove")).select(
-        *who[:2], F.col("kind").alias("rule_kind"), "seq",
-        F.when(F.col("op") == "add", "add").otherwise("drop").alias("kind"),
-        "column_id", "enabled", "expression",
-    )
-    alive = live(lifetimes(events, ["table_id", "rule_id", "rule_kind"], bits=bits)).withColumnRenamed(
-        "rule_kind", "kind"
-    )
-    changed = log.where("op = 'update'").groupBy(*who).agg(
-        F.max(F.when(F.col("enabled").isNotNull(), F.struct("seq", "enabled"))).alias("_e"),
-        F.max(F.when(F.col("expression").isNotNull(), F.struct("seq", "expression"))).alias("_x"),
-    )
-    newer = lambda last, field: F.coalesce(
-        F.when(F.col(f"{last}.seq") > F.col("start_seq"), F.col(f"{last}.{field}")), F.col(field)
-    )
-    return alive.join(changed, who, "left").select(
-        *who, "column_id", newer("_e", "enabled").alias("enabled"), newer("_x", "expression").alias("expression")
+        "table_id", "rule_id", F.col("kind").alias("rule_kind"), "seq",
+        F.when(F.col("op") == "add", "add").otherwise("drop").alias("kind"), "column_id", *[f for f in RULE_FIELDS if f in log.columns],
     )
+    return lifetimes(events, ["table_id", "rule_id", "rule_kind"], bits=bits).withColumnRenamed("rule_kind", "kind")
 
 
-def mask_links(rules: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(table_id, column_id, rule_id): the mask a column points at, the newest live one."""
-    return (
-        rules.where("kind = 'column_mask'")
-        .join(seqs, ["table_id", "rule_id", "kind"])
-        .groupBy("table_id", "column_id")
-        .agg(F.max_by("rule_id", "start_seq").alias("rule_id"))
+def fold_rules(log: DataFrame, tables: DataFrame | None = None, *, bits: int = BITS) -> DataFrame:
+    """Live row filters and column masks from (seq, table_id, rule_id, kind, op, column_id, present ARRAY,
+    name, enabled, expression, description).
+
+    An update overwrites the fields that ``present`` names, with null if that is what it carries; a log
+    without that column carries what is not null. Fields that the log lacks are left out. ``tables`` is
+    the lifetimes (table_id, start_seq, end_seq) of the tables.
+    """
+    who = ["table_id", "rule_id", "kind"]
+    fields = [f for f in RULE_FIELDS if f in log.columns]
+    carried = lambda f: F.array_contains("present", f) if "present" in log.columns else F.col(f).isNotNull()
+    alive = live(rule_lives(log, tables, bits=bits))
+    last = [F.max(F.when(carried(f), F.struct("seq", F.col(f).alias("value")))).alias(f"_{f}") for f in fields]
+    changed = log.where("op = 'update'").groupBy(*who).agg(*last)
+    # An update of an earlier life is older than the present one's start.
+    newer = lambda f: F.when(F.col(f"_{f}.seq") > F.col("start_seq"), F.col(f"_{f}.value")).otherwise(F.col(f)).alias(f)
+    return alive.join(changed, who, "left").select(*who, "column_id", *[newer(f) for f in fields])
+
+
+def mask_links(lives: DataFrame) -> DataFrame:
+    """(table_id, column_id, rule_id): the mask each column points at, from ``rule_lives``.
+
+    Adding a mask points its column at it, and removing any mask of the column clears that, so the
+    last of these decides.
+    """
+    masks = lives.where("kind = 'column_mask'")
+    turns = masks.select("table_id", "column_id", F.col("start_seq").alias("seq"), "rule_id").unionByName(
+        masks.where("end_seq IS NOT NULL").select("table_id", "column_id", F.col("end_seq").alias("seq"), F.lit(None).cast(lives.schema["rule_id"].dataType).alias("rule_id"))
     )
+    last = turns.groupBy("table_id", "column_id").agg(F.max(F.struct("seq", "rule_id")).alias("last"))
+    return last.where("last.rule_id IS NOT NULL").select("table_id", "column_id", "last.rule_id")
 
 
 def states_at(events: DataFrame, tags: DataFrame, points: Sequence[int], *, bits: int = BITS) -> DataFrame:
@@ -384,13 +436,15 @@ def snapshot_plus_delta(alive, held, events, tags, at_seq: int, *, bits: int = B
 def state_digest(state: DataFrame) -> DataFrame:
     """One order-free SHA-256 digest of a whole frame: (rows, digest).
 
-    Each row is hashed over its columns by name; the hashes are added as numbers in four
-    parts, which combines before the shuffle, and the sums are hashed.
+    Each row is hashed over its columns by name, every value behind its length, so that no text can
+    look like another cell or like a null; the hashes are added as numbers in four parts, which
+    combines before the shuffle, and the sums are hashed.
     """
-    cells = [
-        F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(state.columns)
-    ]
-    hashed = state.select(F.sha2(F.concat_ws("|", *cells), 256).alias("h"))
+    def cell(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.concat(F.lit(f"{name}="), F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("null")))
+
+    hashed = state.select(F.sha2(F.concat_ws("|", *[cell(c) for c in sorted(state.columns)]), 256).alias("h"))
     part = lambda i: F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
     sums = hashed.agg(
         F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in range(4)]

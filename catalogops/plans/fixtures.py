@@ -69,12 +69,22 @@ FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM «even
 """
 
 TEXTS["fx1r_rulelog"] = """
-SELECT event_id AS seq, user_id AS table_id, k % 10 AS rule_id, CASE WHEN k % 2 = 0 THEN 'row_filter' ELSE 'column_mask' END AS kind,
-  CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'update' END AS op,
-  k % 5 AS column_id, k % 3 <> 0 AS enabled, concat('v > ', CAST(k AS STRING)) AS expression
-FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM «events») WHERE event_type IN ('signup', 'error', 'view')
+SELECT seq, table_id, rule_id, kind, op, column_id, present, CASE WHEN k % 8 = 0 THEN NULL ELSE concat('r_', CAST(k AS STRING)) END AS name,
+  CASE WHEN k % 9 = 0 THEN NULL ELSE k % 3 <> 0 END AS enabled, concat('v > ', CAST(k AS STRING)) AS expression,
+  CASE WHEN k % 4 = 0 THEN NULL ELSE concat('d ', CAST(k AS STRING)) END AS description
+FROM (SELECT event_id AS seq, user_id AS table_id, k, k % 10 AS rule_id, CASE WHEN k % 2 = 0 THEN 'row_filter' ELSE 'column_mask' END AS kind,
+    CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'update' END AS op, k % 5 AS column_id,
+    CASE WHEN event_type = 'signup' THEN 'name,enabled,expression,description' ELSE concat_ws(',', CASE WHEN k % 3 = 1 THEN 'name' END,
+      CASE WHEN k % 2 = 0 THEN 'enabled' END, CASE WHEN k % 5 < 2 THEN 'expression' END, CASE WHEN k % 7 < 3 THEN 'description' END) END AS present
+  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM «events») WHERE event_type IN ('signup', 'error', 'view'))
+"""
+# Adds and drops of the targets that the grant, column, constraint and rule logs act on; most are there from the start.
+TEXTS["fx1t_targetlog"] = """
+SELECT event_id AS seq, user_id AS target, event_type AS source, CASE WHEN k < 50 THEN 'add' ELSE 'drop' END AS kind
+FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM «events»)
+WHERE event_type IN ('view', 'click') AND (k < 50 OR k >= 88)
+UNION ALL SELECT DISTINCT CAST(-1 AS BIGINT), user_id, 'start', 'add' FROM «events» WHERE user_id % 10 <> 3
 """
-
 TEXTS["fx2_objects"] = """
 SELECT 'catalog' AS object_type, concat('cat_', CAST(r_regionkey AS STRING)) AS object_id, CAST(NULL AS STRING) AS parent_id, lower(r_name) AS name FROM «region»
 UNION ALL SELECT 'schema', concat('sch_', CAST(n_nationkey AS STRING)), concat('cat_', CAST(n_regionkey AS STRING)), lower(n_name) FROM «nation»

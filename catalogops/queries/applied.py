@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalogops.functions.privileges import legal_values_sql
 from catalogops.operators import evolve, fold, secure, views
 from catalogops.plans.fixtures import fixture, spark_text, table
-from catalogops.queries.fold import GRANTS_SQL, grant_log
+from catalogops.queries.fold import grants_at, grants_sql
 from catalogops.queries.registry import query
 from catalogops.session import fresh_path
 
@@ -47,7 +47,7 @@ def mask_documents(spark, sf_dir):
 
 
 # The first principal and target, in order, that may and may not read.
-_READERS = f"g AS ({GRANTS_SQL.format(where='')}), t AS (SELECT min(target_id) AS target_id FROM g WHERE principal = 'p1' AND privilege = 'SELECT')"
+_READERS = f"g AS ({grants_sql()}), t AS (SELECT min(target_id) AS target_id FROM g WHERE principal = 'p1' AND privilege = 'SELECT')"
 
 
 @query(
@@ -56,7 +56,7 @@ _READERS = f"g AS ({GRANTS_SQL.format(where='')}), t AS (SELECT min(target_id) A
     AND EXISTS (SELECT 1 FROM g JOIN t ON t.target_id = g.target_id WHERE g.principal = 'p1' AND g.privilege = 'SELECT')""",
 )
 def secure_view(spark, sf_dir):
-    grants = fold.fold_grants(grant_log(spark, sf_dir))
+    grants = grants_at(spark, sf_dir)
     target = grants.where("principal = 'p1' AND privilege = 'SELECT'").agg(F.min("target_id")).first()[0]
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     return secure.secure_view(customer, ["c_nationkey < 12"], {"c_name": "concat(left(c_name, 1), '***')"}, grants, "p1", target)
@@ -64,14 +64,14 @@ def secure_view(spark, sf_dir):
 
 @query(
     "R04_access_matrix",
-    f"""WITH legal(object_type, privilege) AS (VALUES {legal_values_sql()}), g AS ({GRANTS_SQL.format(where='')}),
+    f"""WITH legal(object_type, privilege) AS (VALUES {legal_values_sql()}), g AS ({grants_sql()}),
     k AS (SELECT target_id, principal, CASE target_id % 2 WHEN 0 THEN 'table' ELSE 'view' END AS object_type, CASE privilege WHEN 'MODIFY' THEN 'ALL PRIVILEGES' ELSE privilege END AS privilege FROM g),
     x AS (SELECT * FROM k WHERE privilege <> 'ALL PRIVILEGES' UNION SELECT k.target_id, k.principal, k.object_type, l.privilege FROM k JOIN legal l ON l.object_type = k.object_type
       WHERE k.privilege = 'ALL PRIVILEGES' AND l.privilege <> 'ALL PRIVILEGES')
     SELECT principal, object_type, privilege, count(*) AS n FROM x GROUP BY 1, 2, 3""",
 )
 def access_matrix(spark, sf_dir):
-    grants = fold.fold_grants(grant_log(spark, sf_dir)).select(
+    grants = grants_at(spark, sf_dir).select(
         "target_id", "principal", F.when(F.col("target_id") % 2 == 0, "table").otherwise("view").alias("object_type"),
         F.when(F.col("privilege") == "MODIFY", "ALL PRIVILEGES").otherwise(F.col("privilege")).alias("privilege"),
     )

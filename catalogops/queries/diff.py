@@ -9,7 +9,7 @@ from catalogops.plans.durable import durable
 from catalogops.plans.fixtures import fixture
 from catalogops.plans.ordered import position_within
 from catalogops.queries.fold import (
-    COLUMNS_SQL, GRANTS_SQL, column_log, grant_log, log_end, table_events, table_tags,
+    COLUMNS_SQL, column_log, grants_at, grants_sql, log_end, table_events, table_tags,
 )
 from catalogops.queries.registry import query
 
@@ -135,7 +135,7 @@ def diff_constraints(spark, sf_dir):
     return diff.diff_constraints(live_constraints(spark, sf_dir, end // 2), live_constraints(spark, sf_dir, end))
 
 
-_GRANT_SIDES = f"""o AS ({GRANTS_SQL.format(where=f'WHERE seq <= {_END} // 2')}), n AS ({GRANTS_SQL.format(where='')})"""
+_GRANT_SIDES = f"""o AS ({grants_sql(f'{_END} // 2')}), n AS ({grants_sql()})"""
 
 
 @query(
@@ -148,9 +148,7 @@ _GRANT_SIDES = f"""o AS ({GRANTS_SQL.format(where=f'WHERE seq <= {_END} // 2')})
     UNION ALL SELECT w.target_id, w.principal, 'add_grant', delta, privileges FROM won w JOIN finals f ON f.target_id = w.target_id AND f.principal = w.principal""",
 )
 def diff_grants(spark, sf_dir):
-    log = grant_log(spark, sf_dir)
-    end = log_end(spark, sf_dir)
-    return diff.diff_grants(fold.fold_grants(log.where(F.col("seq") <= end // 2)), fold.fold_grants(log))
+    return diff.diff_grants(grants_at(spark, sf_dir, log_end(spark, sf_dir) // 2), grants_at(spark, sf_dir))
 
 
 # Two column orders over the same columns: the live order now, and an older one in which one table
@@ -247,10 +245,9 @@ def diff_tables(spark, sf_dir):
     return diff.change_counts(diff.diff_tables(*versions(spark, sf_dir), ["id"]))
 
 
-@query("D13_changed_cells", _BOTH + _fields_sql(["name", "comment", "nation"]))
+@query("D13_changed_cells", _BOTH + _fields_sql(["name", "comment", "nation", "bal"]))
 def changed_cells(spark, sf_dir):
-    old, new = versions(spark, sf_dir)
-    return diff.diff_tables(old.drop("bal"), new.drop("bal"), ["id"]).withColumnRenamed("id", "object_id")
+    return diff.diff_tables(*versions(spark, sf_dir), ["id"]).withColumnRenamed("id", "object_id")
 
 
 _DISCOVERED = "SELECT id + 5000000 AS id, name, comment FROM [fx3_new] WHERE name NOT LIKE '%_x'"

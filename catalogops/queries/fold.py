@@ -135,6 +135,22 @@ def fold_map(spark, sf_dir):
     return tags.select("object_id", F.lit("tag").alias("kind"), "key", "value")
 
 
+def target_lives(spark, sf_dir, source, key, at=None):
+    """Lifetimes of the targets as the ``source`` events of the target log tell them, up to ``at``."""
+    log = fixture(spark, sf_dir, "fx1t_targetlog").where(F.col("source").isin("start", source))
+    if at is not None:
+        log = log.where(F.col("seq") <= at)
+    return fold.lifetimes(log.select(F.col("target").alias(key), "seq", "kind"), [key])
+
+
+def lived_sql(source, key, at=None):
+    """DuckDB: the condition that a row falls in its target's present life."""
+    upto = f" AND seq <= {at}" if at else ""
+    turns = f"SELECT *, lag(kind) OVER (PARTITION BY target ORDER BY seq) AS before FROM [fx1t_targetlog] WHERE source IN ('start', '{source}'){upto}"
+    lives = f"SELECT target, max(seq) AS start_seq FROM ({turns}) WHERE kind <> coalesce(before, 'drop') GROUP BY 1 HAVING arg_max(kind, seq) = 'add'"
+    return f"seq > (SELECT life.start_seq FROM ({lives}) life WHERE life.target = {key})"
+
+
 GRANTS_SQL = """
 WITH g AS (SELECT * FROM [fx1g_grantlog] {where}),
 reset AS (SELECT target_id, principal, max(seq) AS at FROM g WHERE op = 'add_grant' OR privileges IS NULL OR privileges = '' GROUP BY 1, 2),
@@ -152,9 +168,19 @@ def grant_log(spark, sf_dir):
     return log.withColumn("privileges", F.when(F.col("privileges").isNotNull(), listed))
 
 
-@query("F06_fold_grants", GRANTS_SQL.format(where=""))
+def grants_sql(at=None):
+    return GRANTS_SQL.format(where="WHERE " + (f"seq <= {at} AND " if at else "") + lived_sql("view", "target_id", at))
+
+
+def grants_at(spark, sf_dir, at=None):
+    """Live grants on the targets that are there, at a point of the log or its end."""
+    log = grant_log(spark, sf_dir)
+    return fold.fold_grants(log if at is None else log.where(F.col("seq") <= at), target_lives(spark, sf_dir, "view", "target_id", at))
+
+
+@query("F06_fold_grants", grants_sql())
 def fold_grants(spark, sf_dir):
-    return fold.fold_grants(grant_log(spark, sf_dir))
+    return grants_at(spark, sf_dir)
 
 
 def column_log(spark, sf_dir):
@@ -179,15 +205,16 @@ placed AS (SELECT k.table_id, k.column_id, row_number() OVER (PARTITION BY k.tab
 
 @query(
     "F07_fold_column_order",
-    "WITH " + COLUMNS_SQL.format(where="") + "SELECT table_id, column_id AS member_id, position FROM placed",
+    "WITH " + COLUMNS_SQL.format(where="WHERE " + lived_sql("view", "table_id")) + "SELECT table_id, column_id AS member_id, position FROM placed",
 )
 def fold_column_order(spark, sf_dir):
-    return fold.fold_column_order(column_log(spark, sf_dir)).withColumnRenamed("column_id", "member_id")
+    return fold.fold_column_order(column_log(spark, sf_dir), target_lives(spark, sf_dir, "view", "table_id")).withColumnRenamed("column_id", "member_id")
 
 
 @query(
     "F08_fold_constraints",
-    """WITH RECURSIVE o AS (SELECT table_id, constraint_id AS id, op, insert_at AS k, row_number() OVER (PARTITION BY table_id ORDER BY seq) AS rn FROM [fx1k_constraintlog]),
+    "WITH RECURSIVE o AS (SELECT table_id, constraint_id AS id, op, insert_at AS k, row_number() OVER (PARTITION BY table_id ORDER BY seq) AS rn FROM [fx1k_constraintlog] WHERE "
+    + lived_sql("view", "table_id") + """),
     r AS (SELECT DISTINCT table_id, CAST(0 AS BIGINT) AS rn, CAST([] AS INT[]) AS l FROM o
       UNION ALL SELECT r.table_id, o.rn, CASE WHEN o.op = 'drop_constraint' THEN list_filter(r.l, lambda x: x <> o.id) WHEN list_contains(r.l, o.id) THEN r.l
         WHEN o.k IS NULL THEN list_append(r.l, o.id) ELSE list_concat(list_concat(r.l[1:o.k], [o.id]), r.l[o.k + 1:]) END
@@ -196,22 +223,38 @@ def fold_column_order(spark, sf_dir):
     SELECT table_id, unnest(l) AS member_id, unnest(range(len(l))) AS position FROM ends""",
 )
 def fold_constraints(spark, sf_dir):
-    return fold.fold_constraints(fixture(spark, sf_dir, "fx1k_constraintlog"))
+    return fold.fold_constraints(fixture(spark, sf_dir, "fx1k_constraintlog"), target_lives(spark, sf_dir, "view", "table_id"))
 
 
-@query(
-    "F09_fold_rules",
-    """WITH r AS (SELECT * FROM [fx1r_rulelog]),
+_RULES = f"""WITH r AS (SELECT * FROM [fx1r_rulelog] WHERE {lived_sql('click', 'table_id')}),
     ev AS (SELECT *, CASE op WHEN 'add' THEN 'add' ELSE 'drop' END AS k FROM r WHERE op IN ('add', 'remove')),
     turns AS (SELECT * FROM (SELECT *, lag(k) OVER (PARTITION BY table_id, rule_id, kind ORDER BY seq) AS before FROM ev) WHERE k <> coalesce(before, 'drop')),
-    alive AS (SELECT * FROM (SELECT *, lead(seq) OVER (PARTITION BY table_id, rule_id, kind ORDER BY seq) AS end_seq FROM turns) WHERE k = 'add' AND end_seq IS NULL),
-    upd AS (SELECT a.table_id, a.rule_id, a.kind, arg_max(u.enabled, u.seq) AS enabled, arg_max(u.expression, u.seq) AS expression
-      FROM alive a JOIN r u ON u.table_id = a.table_id AND u.rule_id = a.rule_id AND u.kind = a.kind AND u.op = 'update' AND u.seq > a.seq GROUP BY 1, 2, 3)
-    SELECT a.table_id, a.rule_id, a.kind, a.column_id, coalesce(u.enabled, a.enabled) AS enabled, coalesce(u.expression, a.expression) AS expression
-    FROM alive a LEFT JOIN upd u ON u.table_id = a.table_id AND u.rule_id = a.rule_id AND u.kind = a.kind""",
-)
+    alive AS (SELECT * FROM (SELECT *, lead(seq) OVER (PARTITION BY table_id, rule_id, kind ORDER BY seq) AS end_seq FROM turns) WHERE k = 'add' AND end_seq IS NULL)"""
+
+
+def _last_rule_field(field):
+    """The field of the last row since the rule was added that carries it, a null as any other value."""
+    return f"""(SELECT u.{field} FROM r u WHERE u.table_id = a.table_id AND u.rule_id = a.rule_id AND u.kind = a.kind AND u.seq >= a.seq
+      AND (u.seq = a.seq OR u.op = 'update' AND list_contains(string_split(u.present, ','), '{field}')) ORDER BY u.seq DESC LIMIT 1) AS {field}"""
+
+
+def rule_log(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx1r_rulelog").withColumn("present", F.split("present", ","))
+
+
+@query("F09_fold_rules", _RULES + " SELECT a.table_id, a.rule_id, a.kind, a.column_id, " + ", ".join(map(_last_rule_field, fold.RULE_FIELDS)) + " FROM alive a")
 def fold_rules(spark, sf_dir):
-    return fold.fold_rules(fixture(spark, sf_dir, "fx1r_rulelog"))
+    return fold.fold_rules(rule_log(spark, sf_dir), target_lives(spark, sf_dir, "click", "table_id"))
+
+
+@query(
+    "F09_mask_links",
+    _RULES + """, changes AS (SELECT t.table_id, CASE WHEN t.k = 'add' THEN t.column_id ELSE lag(t.column_id) OVER (PARTITION BY t.table_id, t.rule_id ORDER BY t.seq) END AS column_id,
+      t.seq, CASE WHEN t.k = 'add' THEN t.rule_id END AS rule_id FROM turns t WHERE t.kind = 'column_mask')
+    SELECT * FROM (SELECT table_id, column_id, arg_max_null(rule_id, seq) AS rule_id FROM changes GROUP BY 1, 2) WHERE rule_id IS NOT NULL""",
+)
+def mask_links(spark, sf_dir):
+    return fold.mask_links(fold.rule_lives(rule_log(spark, sf_dir), target_lives(spark, sf_dir, "click", "table_id")))
 
 
 def log_end(spark, sf_dir) -> int:
@@ -250,9 +293,9 @@ def snapshot_plus_delta(spark, sf_dir):
 
 
 def _digest_sql(name):
-    cells = ", ".join(
-        f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '\\N')" for c in ["comment", "id", "name", "nation"]
-    )
+    # Text as Spark writes it: a double always has a fraction or an exponent.
+    text = {c: f"CAST({c} AS VARCHAR)" for c in ["bal", "comment", "id", "name", "nation"]}
+    cells = ", ".join(f"'{c}=' || coalesce(length({t}) || ':' || {t}, 'null')" for c, t in text.items())
     part = ", ".join(
         f"coalesce(sum(CAST(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS UBIGINT) AS HUGEINT)), 0) AS s{i}" for i in range(4)
     )
@@ -263,7 +306,7 @@ def _digest_sql(name):
 @query("F12_state_digest", _digest_sql("old") + " UNION ALL " + _digest_sql("new"))
 def state_digest(spark, sf_dir):
     each = [
-        fold.state_digest(fixture(spark, sf_dir, f"fx3_{v}").drop("bal")).select(F.lit(v).alias("version"), "rows", "digest")
+        fold.state_digest(fixture(spark, sf_dir, f"fx3_{v}")).select(F.lit(v).alias("version"), "rows", "digest")
         for v in ("old", "new")
     ]
     return each[0].unionByName(each[1])
