@@ -235,6 +235,29 @@ SELECT concat('col_', CAST(o_orderkey AS STRING)) AS column_id, CASE WHEN o_orde
 """
 
 
+def _hierarchy(schemas: str, nation: str, tables: str, columns: str, rename: str, comment: str) -> str:
+    """Objects of one of two states of a hierarchy: regions, nations, customers, suppliers and orders."""
+    held = f"SELECT c_custkey, c_name, c_mktsegment, {nation} AS nat FROM «customer» WHERE {tables}"
+    under = schemas.replace("n_nationkey", "nat")
+    return f"""
+SELECT 'catalog' AS object_type, concat('cat_', CAST(r_regionkey AS STRING)) AS object_id, CAST(NULL AS STRING) AS parent_id, lower(r_name) AS name, CAST(NULL AS STRING) AS comment FROM «region»
+UNION ALL SELECT 'schema', concat('sch_', CAST(n_nationkey AS STRING)), concat('cat_', CAST(n_regionkey AS STRING)), concat(lower(n_name), '{rename}'), 'a nation' FROM «nation» WHERE {schemas}
+UNION ALL SELECT 'table', concat('tbl_', CAST(c_custkey AS STRING)), concat('sch_', CAST(nat AS STRING)),
+  CASE WHEN c_custkey % 11 = 5 THEN concat('t_', CAST(c_custkey AS STRING), '{rename}') ELSE concat('t_', CAST(c_custkey AS STRING)) END,
+  CASE WHEN c_custkey % 7 = 3 THEN {comment} ELSE c_mktsegment END FROM ({held}) WHERE {under}
+UNION ALL SELECT 'view', concat('vw_', CAST(s_suppkey AS STRING)), concat('sch_', CAST(s_nationkey AS STRING)), concat('v_', CAST(s_suppkey AS STRING)), NULL
+  FROM «supplier» WHERE {schemas.replace('n_nationkey', 's_nationkey')}
+UNION ALL SELECT 'column', concat('col_', CAST(o_orderkey AS STRING)), concat('tbl_', CAST(o_custkey AS STRING)), concat('c_', CAST(o_orderkey AS STRING)), NULL
+  FROM «orders» JOIN ({held}) ON c_custkey = o_custkey WHERE {under} AND {columns}
+"""
+
+
+TEXTS["fx3w_old"] = _hierarchy("n_nationkey % 9 <> 4", "c_nationkey", "c_custkey % 10 <> 3", "o_orderkey % 17 <> 5", "", "c_mktsegment")
+TEXTS["fx3w_new"] = _hierarchy(
+    "n_nationkey % 9 <> 7", "CASE WHEN c_custkey % 29 = 4 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END", "c_custkey % 10 <> 6", "o_orderkey % 13 <> 2", "_x", "NULL"
+)
+
+
 def _expand(text: str) -> str:
     return re.sub(r"\[(fx\w+)\]", lambda m: f"({_expand(TEXTS[m[1]])})", text)
 
