@@ -2,26 +2,78 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.plans.ordered import BITS, rank_within
+from catalogops.operators.fold import lifetimes
+from catalogops.plans.durable import durable
+from catalogops.plans.ordered import BITS, last_before, rank_within
 from catalogops.plans.skew import skew_join
 
 
-def cancelled(ops: DataFrame, key: str, creates: Column, drops: Column) -> DataFrame:
-    """Keys created and later dropped in one set: the last create is older than the last drop."""
-    return (
-        ops.groupBy(key)
-        .agg(F.max(F.when(creates, F.col("seq"))).alias("_c"), F.max(F.when(drops, F.col("seq"))).alias("_d"))
-        .where("_c < _d")
-        .select(key)
+def cancelled_lives(ops: DataFrame, key: str, creates: Column, drops: Column, *, bits: int = BITS) -> DataFrame:
+    """Lives (key, start_seq, end_seq) that begin with a create and end with a drop inside the set.
+
+    A drop of what was there before the set ends no such life, so it is not cancelled.
+    """
+    events = ops.where(F.coalesce(creates | drops, F.lit(False)) & F.col(key).isNotNull()).select(
+        key, "seq", F.when(creates, "add").otherwise("drop").alias("kind")
     )
+    return lifetimes(events, [key], bits=bits).where("end_seq IS NOT NULL")
 
 
-def cancel_pairs(ops: DataFrame, key: str, creates: Column, drops: Column) -> DataFrame:
-    """Without any op of an object created and then dropped in the set; dropped-then-created stays."""
-    return skew_join(ops, cancelled(ops, key, creates, drops), [key], "left_anti")
+def outside(ops: DataFrame, spans: DataFrame, key: str, *, bits: int = BITS) -> DataFrame:
+    """The ops that are in none of the spans (key, start_seq, end_seq) of their key, ends included.
+
+    Spans of one key do not overlap, so the last one begun decides; a null key is in none.
+    """
+    # A span begins just before the op of its first seq.
+    shape = ops.select(F.struct(*ops.columns).alias("_row")).schema["_row"].dataType
+    begun = spans.select(key, (2 * F.col("start_seq") - 1).alias("_at"), F.col("end_seq").alias("_end"), F.lit(None).cast(shape).alias("_row"))
+    rows = ops.where(F.col(key).isNotNull()).select(
+        key, (2 * F.col("seq")).alias("_at"), F.lit(None).cast(spans.schema["end_seq"].dataType).alias("_end"), F.struct(*ops.columns).alias("_row")
+    )
+    seen = last_before(begun.unionByName(rows), [key], "_at", F.col("_end"), "_until", bits=bits)
+    kept = seen.where("_row IS NOT NULL AND (_until IS NULL OR _row.seq > _until)").select("_row.*")
+    return kept.unionByName(ops.where(F.col(key).isNull()))
+
+
+def cancel_pairs(ops: DataFrame, key: str, creates: Column, drops: Column, *, bits: int = BITS) -> DataFrame:
+    """Without the ops of lives that begin and end in the set: each create, its drop and all between.
+
+    What comes before or after stays, such as the drop of an older object of the same id, or a new
+    create.
+    """
+    return outside(ops, cancelled_lives(ops, key, creates, drops, bits=bits), key, bits=bits)
+
+
+def cancel_below(log: DataFrame, levels: Sequence[str], creates: Column, drops: Column, *, bits: int = BITS) -> DataFrame:
+    """``cancel_pairs`` over a hierarchy log (seq, level, id, parent_id, ...), outermost level first.
+
+    An op goes if its object, or any container above it, is in a cancelled life at that moment: what
+    was made inside a container that the set made and dropped is gone with it. Each id keeps one
+    parent, the least that the log names.
+    """
+    spans = {}
+    above = {}
+    for level in levels:
+        rows = log.where(F.col("level") == level)
+        spans[level] = durable(cancelled_lives(rows, "id", creates, drops, bits=bits), "cancelled")
+        above[level] = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("parent_id").alias("_up"))
+    result = None
+    for depth, level in enumerate(levels):
+        rows = outside(log.where(F.col("level") == level), spans[level], "id", bits=bits)
+        rows = rows.join(above[level], "id", "left") if depth else rows
+        for upper in reversed(levels[:depth]):
+            rows = outside(rows, spans[upper].withColumnRenamed("id", "_up"), "_up", bits=bits)
+            if upper != levels[0]:
+                parents = above[upper].toDF("_up", "_next")
+                rows = skew_join(rows, parents, ["_up"], "left").drop("_up").withColumnRenamed("_next", "_up")
+        rows = rows.select(*log.columns)
+        result = rows if result is None else result.unionByName(rows)
+    return result
 
 
 def batch_by_target(ops: DataFrame, creates: Column) -> DataFrame:
@@ -95,11 +147,19 @@ def net_tags(ops: DataFrame, object_key: str) -> DataFrame:
     )
 
 
-def net_reorder(ops: DataFrame) -> DataFrame:
-    """(table_id, first_list, last_list): of many reorders of a table only the last one counts."""
-    return ops.groupBy("table_id").agg(
+def net_reorder(ops: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(table_id, first_list, last_list): of many reorders of a table only the last one counts.
+
+    With ``before``, (table_id, column_id, position) as it was before any of the ops, also that order:
+    old_list, in order (a table has few columns).
+    """
+    net = ops.groupBy("table_id").agg(
         F.min_by("order_list", "seq").alias("first_list"), F.max_by("order_list", "seq").alias("last_list")
     )
+    if before is None:
+        return net
+    lists = column_lists(before).select("table_id", F.array_join("cols", ",").alias("old_list"))
+    return net.join(lists, "table_id", "left")
 
 
 def single_column_move(old: DataFrame, new: DataFrame) -> DataFrame:

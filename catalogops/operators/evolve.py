@@ -91,7 +91,9 @@ def conform(df: DataFrame, declared: Sequence[tuple[str, str]], extras: str | No
     if extras:
         wanted = {n.lower() for n, _ in declared}
         rest = [c for c in df.columns if c.lower() not in wanted]
-        kept = F.parse_json(F.to_json(F.struct(*rest))) if rest else F.lit(None).cast("variant")
+        # Written to the microsecond, as they are held.
+        formats = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+        kept = F.parse_json(F.to_json(F.struct(*rest), formats)) if rest else F.lit(None).cast("variant")
         columns.append(kept.alias(extras))
     return df.select(*columns)
 

@@ -65,7 +65,11 @@ def not_null_violations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def pk_timeseries(df: DataFrame, key: str, ts: str, *, bits: int = BITS) -> DataFrame:
-    """Per key of a time series: rows, duplicate instants, and the gaps between instants in micros."""
+    """Per key of a time series: rows, duplicate instants, and the gaps between instants in micros.
+
+    A row without its time, or without its key, breaks the key too: ``null_times`` counts the former of
+    each key, and the rows without a key are the row whose key is null.
+    """
     instants = durable(
         df.groupBy(key, ts).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("at", F.unix_micros(F.col(ts).cast("timestamp"))),
@@ -73,11 +77,12 @@ def pk_timeseries(df: DataFrame, key: str, ts: str, *, bits: int = BITS) -> Data
     )
     before = last_before(instants.where(f"{key} IS NOT NULL AND at IS NOT NULL"), [key], "at", F.col("at"), "previous", bits=bits, levels=2)
     gap = F.col("at") - F.col("previous")
-    return before.groupBy(key).agg(
-        F.sum("n").alias("rows"),
-        F.count_if(F.col("n") > 1).alias("duplicate_instants"),
-        F.min(gap).alias("min_gap"),
-        F.max(gap).alias("max_gap"),
+    gaps = before.groupBy(key).agg(
+        F.count_if(F.col("n") > 1).alias("duplicate_instants"), F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap")
+    )
+    missing = F.sum(F.when(F.col(ts).isNull(), F.col("n")).otherwise(0))
+    return instants.groupBy(key).agg(F.sum("n").alias("rows"), missing.alias("null_times")).join(gaps, key, "left").select(
+        key, "rows", "null_times", F.coalesce("duplicate_instants", F.lit(0)).alias("duplicate_instants"), "min_gap", "max_gap"
     )
 
 

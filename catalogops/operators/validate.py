@@ -87,17 +87,16 @@ def normalize_op_ids(log: DataFrame, index: str) -> DataFrame:
 
 
 def op_signature(log: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add ``signature``: kind, target and the payload with its keys in order at every depth."""
-    shown = lambda v: F.when(
-        v.rlike(r"^\s*[\[{]"), F.coalesce(F.to_json(F.try_parse_json(v)), v)
-    ).otherwise(F.coalesce(v, F.lit("\\N")))
-    entries = F.array_sort(F.map_entries(F.from_json(payload, "MAP<STRING,STRING>")))
-    canonical = F.concat_ws(
-        ",", F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), shown(e["value"])))
-    )
-    return log.withColumn(
-        "signature", F.sha2(F.concat_ws("|", "op", F.col("target").cast("string"), canonical), 256)
-    )
+    """Add ``signature``: kind, target and the payload as JSON with its keys in order at every depth.
+
+    Each part stands behind its length, and a null behind none, so no two ops that differ in a part
+    are alike. A payload that is no JSON counts as it is written.
+    """
+    # A variant holds the keys of an object in order.
+    canonical = F.coalesce(F.concat(F.lit("j"), F.to_json(F.try_parse_json(payload))), F.concat(F.lit("t"), F.col(payload)))
+    part = lambda value: F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("null"))
+    parts = [part(F.col("op")), part(F.col("target").cast("string")), part(canonical)]
+    return log.withColumn("signature", F.sha2(F.concat_ws("|", *parts), 256))
 
 
 def without(log: DataFrame, keys: Sequence[str], dropped: DataFrame) -> DataFrame:

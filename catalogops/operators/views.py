@@ -81,8 +81,9 @@ def refresh_mv_incremental(
     """
     spark = source.sparkSession
     last = _committed(spark, target).agg(F.max(F.struct("version", "mark")).alias("l")).first().l
-    fresh = source.where(F.col(order) > last.mark)
-    end = fresh.agg(F.max(order)).first()[0]
+    end = source.where(F.col(order) > last.mark).agg(F.max(order)).first()[0]
+    # Rows that come in between the two reads are beyond the mark that is committed, so they wait for the next.
+    fresh = source.where((F.col(order) > last.mark) & (F.col(order) <= F.lit(end)))
     news = fresh.groupBy(*keys).agg(*[c.alias(n) for n, c in partial.items()])
     stored = current_mv(spark, target, news.schema)
     if end is None:

@@ -40,9 +40,9 @@ def apply_column_masks(spark, sf_dir):
     )
 
 
-@query("R02_mask_documents", r"SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS text, lang FROM documents")
+@query("R02_mask_documents", r"SELECT * REPLACE (regexp_replace(text, '[0-9]', '#', 'g') AS text) FROM documents")
 def mask_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents")
     return secure.apply_column_masks(docs, {"text": "regexp_replace(text, '[0-9]', '#')"})
 
 
@@ -153,12 +153,13 @@ _DECLARED = [("event_id", "BIGINT"), ("user_id", "INT"), ("event_type", "STRING"
 @query(
     "E08_conform",
     """SELECT event_id, CAST(user_id AS INT) AS user_id, event_type, CAST(trunc(value) AS INT) AS value, NULL::VARCHAR AS country,
-    CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events""",
+    CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k, epoch_us(CAST(ts AS TIMESTAMP)) AS micros FROM events""",
 )
 def conform(spark, sf_dir):
-    rows = evolve.conform(table(spark, sf_dir, "events").drop("ts"), _DECLARED, extras="rest")
-    props = F.variant_get("rest", "$.props", "string")
-    return rows.withColumn("k", F.get_json_object(props, "$.k").cast("int")).drop("rest")
+    rows = evolve.conform(table(spark, sf_dir, "events"), _DECLARED, extras="rest")
+    rest = lambda name: F.variant_get("rest", f"$.{name}", "string")
+    told = rows.withColumns({"k": F.get_json_object(rest("props"), "$.k").cast("int"), "micros": F.unix_micros(rest("ts").cast("timestamp"))})
+    return told.drop("rest")
 
 
 @query(
@@ -248,7 +249,7 @@ def refresh_mv_incremental(spark, sf_dir):
 
 
 _MVS = """SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS mv_id, CAST(o_orderdate AS TIMESTAMP) AS last_refresh,
-CASE WHEN o_orderkey % 2 = 1 THEN 86400 * (o_orderkey % 3000) END AS every_seconds FROM «orders» WHERE o_orderstatus = 'P'"""
+CASE WHEN o_orderkey % 2 = 1 THEN 86400 * (o_orderkey % 3000) END AS every_seconds FROM «orders»"""
 _CHANGED = "SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS node_id, CAST(o_orderdate AS TIMESTAMP) AS changed_at FROM «orders»"
 
 

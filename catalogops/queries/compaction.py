@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogops.operators import compact, merge
+from catalogops.operators import compact, fold, merge
 from catalogops.plans.fixtures import fixture
+from catalogops.plans.skew import skew_join
 from catalogops.queries.diff import ORDER_PAIR_SQL, order_pair, versions
+from catalogops.queries.fold import SPANS
 from catalogops.queries.registry import query
 
-# Branches: one op in three is the base's (drops only there, so that not every target meets).
-_SPLIT = """l AS (SELECT * FROM [fx1_oplog]),
-base AS (SELECT * FROM l WHERE seq % 3 = 0 AND seq > 500 AND op = 'drop_table'),
-feature AS (SELECT *, target % 7 AS branch FROM l WHERE seq % 3 <> 0)"""
+# Branches: one op in three is the base's. Targets are the parts of an object that the ops name, so that not all meet.
+_PARTS = "SELECT * REPLACE (target * 100 + CAST(tag_value AS BIGINT) AS target) FROM [fx1_oplog]"
+_SPLIT = f"""l AS ({_PARTS}),
+base AS (SELECT * FROM l WHERE seq % 3 = 0),
+feature AS (SELECT *, target // 100 % 7 AS branch FROM l WHERE seq % 3 <> 0)"""
+
+
+def _parts(spark, sf_dir):
+    return fixture(spark, sf_dir, "fx1_oplog").withColumn("target", F.col("target") * 100 + F.col("tag_value").cast("long"))
 
 
 def _branches(spark, sf_dir):
-    log = fixture(spark, sf_dir, "fx1_oplog")
-    base = log.where("seq % 3 = 0 AND seq > 500 AND op = 'drop_table'")
-    return log.where("seq % 3 <> 0").withColumn("branch", F.col("target") % 7), base
+    log = _parts(spark, sf_dir)
+    return log.where("seq % 3 <> 0").withColumn("branch", F.floor(F.col("target") / 100) % 7), log.where("seq % 3 = 0")
 
 
 @query("M01_rebase_conflicts", f"WITH {_SPLIT} SELECT op_id, seq FROM feature WHERE target IN (SELECT target FROM base)")
@@ -36,19 +42,40 @@ def rebase_plan(spark, sf_dir):
     return merge.rebase_plan(*_branches(spark, sf_dir)).select("seq", "op_id", "branch", "state")
 
 
-_SET = "l AS (SELECT * FROM [fx1_oplog]), c AS (SELECT target FROM l GROUP BY 1 HAVING max(seq) FILTER (op = 'add_table') < max(seq) FILTER (op = 'drop_table'))"
-
-
 def _adds():
     return F.col("op") == "add_table"
 
 
-@query("M03_cancel_pairs", f"WITH {_SET} SELECT op_id, seq FROM l WHERE target NOT IN (SELECT target FROM c)")
+@query(
+    "M03_cancel_pairs",
+    f"""WITH {SPANS} SELECT op_id, seq FROM [fx1_oplog] l
+    WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.object_id = l.target AND l.seq BETWEEN s.start_seq AND s.end_seq)""",
+)
 def cancel_pairs(spark, sf_dir):
     log = fixture(spark, sf_dir, "fx1_oplog")
     return compact.cancel_pairs(log, "target", _adds(), F.col("op") == "drop_table").select("op_id", "seq")
 
 
+_LEVELS = ("catalog", "schema", "table")
+
+
+@query(
+    "M03_cancel_below",
+    """WITH h AS (SELECT * FROM [fx1h_hierlog]),
+    turns AS (SELECT * FROM (SELECT *, lag(op) OVER (PARTITION BY level, id ORDER BY seq) AS before FROM h) WHERE op <> coalesce(before, 'drop')),
+    spans AS (SELECT level, id, seq AS a, b FROM (SELECT *, lead(seq) OVER (PARTITION BY level, id ORDER BY seq) AS b FROM turns) WHERE op = 'add' AND b IS NOT NULL),
+    up AS (SELECT level, id, min(parent_id) AS parent FROM h GROUP BY 1, 2),
+    path AS (SELECT h.*, p.parent AS p1, q.parent AS p2 FROM h JOIN up p ON p.level = h.level AND p.id = h.id
+      LEFT JOIN up q ON q.level = CASE h.level WHEN 'table' THEN 'schema' WHEN 'schema' THEN 'catalog' END AND q.id = p.parent)
+    SELECT seq, level, id, op FROM path x WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.level = x.level AND s.id = x.id AND x.seq BETWEEN a AND b)
+      AND NOT EXISTS (SELECT 1 FROM spans s WHERE s.level = CASE x.level WHEN 'table' THEN 'schema' WHEN 'schema' THEN 'catalog' END AND s.id = x.p1 AND x.seq BETWEEN a AND b)
+      AND NOT EXISTS (SELECT 1 FROM spans s WHERE x.level = 'table' AND s.level = 'catalog' AND s.id = x.p2 AND x.seq BETWEEN a AND b)""",
+)
+def cancel_below(spark, sf_dir):
+    log = fixture(spark, sf_dir, "fx1h_hierlog")
+    return compact.cancel_below(log, _LEVELS, F.col("op") == "add", F.col("op") == "drop").select("seq", "level", "id", "op")
+
+
 @query(
     "M04_batch_by_target",
     """SELECT target, bool_or(op = 'add_table') AS is_new, arg_max(op_id, seq) FILTER (op = 'add_table') AS create_op_id, count(*) FILTER (op <> 'add_table') AS modify_count,
@@ -101,10 +128,23 @@ def net_tags(spark, sf_dir):
 
 @query(
     "M08_net_reorder",
-    "SELECT table_id, arg_min(order_list, seq) AS first_list, arg_max(order_list, seq) AS last_list FROM [fx1c_columnlog] WHERE op = 'reorder_columns' GROUP BY 1",
+    """WITH c AS (SELECT * FROM [fx1c_columnlog]),
+    r AS (SELECT table_id, arg_min(order_list, seq) AS first_list, arg_max(order_list, seq) AS last_list, min(seq) AS first_at FROM c WHERE op = 'reorder_columns' GROUP BY 1),
+    t AS (SELECT * FROM (SELECT c.table_id, column_id, seq, op, lag(op) OVER (PARTITION BY c.table_id, column_id ORDER BY seq) AS before FROM c JOIN r ON r.table_id = c.table_id AND seq < first_at
+      WHERE op IN ('add_column', 'drop_column')) WHERE op <> coalesce(before, 'drop_column')),
+    a AS (SELECT table_id, column_id, max(seq) AS start FROM t GROUP BY 1, 2 HAVING arg_max(op, seq) = 'add_column'),
+    l AS (SELECT table_id, string_agg(CAST(column_id AS VARCHAR), ',' ORDER BY start) AS old_list FROM a GROUP BY 1)
+    SELECT r.table_id, first_list, last_list, old_list FROM r LEFT JOIN l ON l.table_id = r.table_id""",
 )
 def net_reorder(spark, sf_dir):
-    return compact.net_reorder(fixture(spark, sf_dir, "fx1c_columnlog").where("op = 'reorder_columns'"))
+    """Old order: the columns there before the first reorder, as they were added."""
+    log = fixture(spark, sf_dir, "fx1c_columnlog")
+    reorders = log.where("op = 'reorder_columns'")
+    first = reorders.groupBy("table_id").agg(F.min("seq").alias("first"))
+    early = skew_join(log.where("op IN ('add_column', 'drop_column')"), first, ["table_id"]).where("seq < first")
+    listed = F.lit(None).cast("array<int>")
+    before = fold.fold_column_order(early.select("seq", "table_id", "column_id", "op", listed.alias("listed")))
+    return compact.net_reorder(reorders, before)
 
 
 def _pairs(spark, sf_dir):
@@ -206,9 +246,8 @@ def stale_snapshots(spark, sf_dir):
 
 
 # Base versions v0.0.0 to v0.4.0 brought the base's ops in fifths; the feature started at v0.1.0.
-_REBASE = """l AS (SELECT * FROM [fx1_oplog]),
-ops AS (SELECT *, CASE WHEN seq % 3 = 0 AND op = 'drop_table' THEN concat('v0.', seq * 5 // ((SELECT max(seq) FROM l) + 1), '.0') END AS version FROM l
-  WHERE seq % 3 <> 0 OR op = 'drop_table')"""
+_REBASE = f"""l AS ({_PARTS}),
+ops AS (SELECT *, CASE WHEN seq % 3 = 0 THEN concat('v0.', seq * 5 // ((SELECT max(seq) FROM l) + 1), '.0') END AS version FROM l)"""
 
 
 @query(
@@ -218,9 +257,9 @@ ops AS (SELECT *, CASE WHEN seq % 3 = 0 AND op = 'drop_table' THEN concat('v0.',
     SELECT op_id, seq, CASE WHEN s IS NULL OR seq < s THEN 'applied' WHEN seq = s THEN 'conflict' ELSE 'blocked' END AS state FROM f, first""",
 )
 def rebase_snapshot(spark, sf_dir):
-    log = fixture(spark, sf_dir, "fx1_oplog").where("seq % 3 <> 0 OR op = 'drop_table'")
-    end = fixture(spark, sf_dir, "fx1_oplog").agg(F.max("seq")).first()[0]
-    of_base = (F.col("seq") % 3 == 0) & (F.col("op") == "drop_table")
+    log = _parts(spark, sf_dir)
+    end = log.agg(F.max("seq")).first()[0]
+    of_base = F.col("seq") % 3 == 0
     fifth = F.floor(F.col("seq") * 5 / (end + 1)).cast("string")
     ops = log.withColumn("version", F.when(of_base, F.concat(F.lit("v0."), fifth, F.lit(".0"))))
     snapshots = ops.where("version IS NOT NULL").select("version").distinct()

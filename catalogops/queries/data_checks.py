@@ -73,13 +73,13 @@ def lossy_casts(spark, sf_dir):
 
 @query(
     "A06_assess_ops",
-    """WITH c AS (SELECT o_custkey AS target, count(*) * 100 AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+    """WITH c AS (SELECT o_custkey AS target, count(*) * 100 AS n FROM orders GROUP BY 1),
     a AS (SELECT l.op_id, l.op, l.target, CASE WHEN l.op = 'drop_table' THEN c.n ELSE 0 END AS data_at_risk FROM [fx1_oplog] l LEFT JOIN c ON c.target = l.target)
     SELECT *, """ + _LEVEL.format(n="data_at_risk") + " AS level FROM a",
 )
 def assess_ops(spark, sf_dir):
     ops = fixture(spark, sf_dir, "fx1_oplog").select("op_id", "op", "target")
-    counts = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("target")).agg(
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("target")).agg(
         (F.count(F.lit(1)) * 100).alias("n")
     )
     return impact.assess_ops(ops, counts)
@@ -138,7 +138,7 @@ def not_null_violations(spark, sf_dir):
 @query(
     "Q05_pk_timeseries",
     """WITH i AS (SELECT user_id, epoch_us(ts) AS t, count(*) AS n FROM events GROUP BY 1, 2), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM i)
-    SELECT user_id, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n > 1) AS duplicate_instants, min(gap) AS min_gap, max(gap) AS max_gap FROM g GROUP BY 1""",
+    SELECT user_id, CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (t IS NULL), 0) AS BIGINT) AS null_times, count(*) FILTER (n > 1) AS duplicate_instants, min(gap) AS min_gap, max(gap) AS max_gap FROM g GROUP BY 1""",
 )
 def pk_timeseries(spark, sf_dir):
     return quality.pk_timeseries(table(spark, sf_dir, "events"), "user_id", "ts")

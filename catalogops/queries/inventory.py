@@ -174,13 +174,13 @@ def _profile_sql(t, columns):
 
 @query(
     "I13_profile_columns",
-    _profile_sql("customer", [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_mktsegment", "string")])
-    + " UNION ALL " + _profile_sql("events", [("event_id", "bigint"), ("user_id", "bigint"), ("event_type", "string"), ("props", "string")]),
+    _profile_sql("customer", [("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string")])
+    + " UNION ALL " + _profile_sql("events", [("event_id", "bigint"), ("user_id", "bigint"), ("ts", "timestamp_ntz"), ("event_type", "string"), ("value", "double"), ("props", "string")]),
 )
 def profile_columns(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer").drop("c_acctbal")
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    both = inventory.profile_columns("customer", customer).unionByName(inventory.profile_columns("events", events))
+    both = inventory.profile_columns("customer", table(spark, sf_dir, "customer")).unionByName(
+        inventory.profile_columns("events", table(spark, sf_dir, "events"))
+    )
     return both.drop("distinct_about")
 
 

@@ -88,22 +88,22 @@ def edges(spark, sf_dir):
     return fixture(spark, sf_dir, "fx5_edges")
 
 
-_SOME = "SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS node_id FROM «orders» WHERE o_orderstatus = 'F'"
+_VIEWS = "SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS node_id FROM «orders»"
 
 
-def _some(spark, sf_dir):
-    return spark.sql(spark_text(_SOME, sf_dir))
+def _views(spark, sf_dir):
+    return spark.sql(spark_text(_VIEWS, sf_dir))
 
 
-@query("G05_dependencies_of", f"SELECT from_id, to_id, dep_type, 'enforced' AS enforcement FROM [fx5_edges] WHERE to_id IN ({_SOME})")
+@query("G05_dependencies_of", f"SELECT from_id, to_id, dep_type, 'enforced' AS enforcement FROM [fx5_edges] WHERE to_id IN ({_VIEWS})")
 def dependencies_of(spark, sf_dir):
-    rows = graph.dependencies_of(edges(spark, sf_dir), _some(spark, sf_dir))
+    rows = graph.dependencies_of(edges(spark, sf_dir), _views(spark, sf_dir))
     return rows.select("from_id", "to_id", "dep_type", F.lit("enforced").alias("enforcement"))
 
 
-@query("G05_dependents_of", f"SELECT from_id, to_id, dep_type, 'enforced' AS enforcement FROM [fx5_edges] WHERE from_id IN ({_SOME})")
+@query("G05_dependents_of", f"SELECT from_id, to_id, dep_type, 'enforced' AS enforcement FROM [fx5_edges] WHERE from_id IN ({_VIEWS})")
 def dependents_of(spark, sf_dir):
-    rows = graph.dependents_of(edges(spark, sf_dir), _some(spark, sf_dir))
+    rows = graph.dependents_of(edges(spark, sf_dir), _views(spark, sf_dir))
     return rows.select("from_id", "to_id", "dep_type", F.lit("enforced").alias("enforcement"))
 
 
@@ -124,14 +124,14 @@ def closure(spark, sf_dir):
 
 
 _ANCESTORS = f"""WITH RECURSIVE e AS (SELECT DISTINCT from_id, to_id FROM [fx5_edges]), r AS (
-  SELECT node_id AS root_id, node_id, CAST(0 AS BIGINT) AS hops FROM ({_SOME}) UNION SELECT r.root_id, e.from_id, r.hops + 1 FROM r JOIN e ON e.to_id = r.node_id)
+  SELECT node_id AS root_id, node_id, CAST(0 AS BIGINT) AS hops FROM ({_VIEWS}) UNION SELECT r.root_id, e.from_id, r.hops + 1 FROM r JOIN e ON e.to_id = r.node_id)
 SELECT * FROM (SELECT root_id, node_id, min(hops) AS hops FROM r GROUP BY 1, 2) WHERE hops > 0"""
 
 
 @query("G06_ancestors", _ANCESTORS)
 def ancestors(spark, sf_dir):
     turned = edges(spark, sf_dir).select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
-    return graph.closure(turned, _some(spark, sf_dir).select(F.col("node_id").alias("root_id")))
+    return graph.closure(turned, _views(spark, sf_dir).select(F.col("node_id").alias("root_id")))
 
 
 _DROPS = "SELECT DISTINCT concat('tbl_', CAST(target AS STRING)) AS node_id FROM [fx1_oplog] WHERE op = 'drop_table'"

@@ -78,10 +78,11 @@ def normalize_op_ids(spark, sf_dir):
 
 @query(
     "P05_op_signature",
-    """SELECT op_id, sha256(concat_ws('|', op, target, concat_ws(',',
-      CASE WHEN payload LIKE '%"comment"%' THEN 'comment=' || coalesce(json_extract_string(payload, '$.comment'), '\\N') END,
-      'tableId=' || json_extract_string(payload, '$.tableId'),
-      CASE WHEN payload LIKE '%"tagName"%' THEN 'tagName=' || json_extract_string(payload, '$.tagName') END))) AS signature FROM [fx1p_payloadlog]""",
+    """WITH c AS (SELECT op_id, op, CAST(target AS VARCHAR) AS target, 'j{' || concat_ws(',',
+        CASE WHEN payload LIKE '%"comment"%' THEN '"comment":' || coalesce('"' || json_extract_string(payload, '$.comment') || '"', 'null') END,
+        '"tableId":"' || json_extract_string(payload, '$.tableId') || '"',
+        CASE WHEN payload LIKE '%"tagName"%' THEN '"tagName":"' || json_extract_string(payload, '$.tagName') || '"' END) || '}' AS body FROM [fx1p_payloadlog])
+    SELECT op_id, sha256(concat_ws('|', length(op) || ':' || op, length(target) || ':' || target, length(body) || ':' || body)) AS signature FROM c""",
 )
 def op_signature(spark, sf_dir):
     return validate.op_signature(fixture(spark, sf_dir, "fx1p_payloadlog")).select("op_id", "signature")
