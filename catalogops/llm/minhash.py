@@ -100,7 +100,7 @@ def prob_minhash(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, texts:
 
 
 def _sketch_batches(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("text", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +130,6 @@ def _sketch_batches(size: int):
                         batch.column("doc_id").slice(lo, n), text_key, pa.array(set_key, pa.binary()),
                         pa.ListArray.from_arrays(np.r_[0, np.cumsum(has * BANDS)].astype(np.int32), folded[has].ravel().view(np.int64)),
                         pa.array([low[i].tobytes() if has[i] else b"" for i in range(n)], pa.binary()),
-                        batch.column("text").slice(lo, n),
                     ],
                     schema=schema,
                 )
@@ -233,7 +232,7 @@ def near_duplicates(
     text_key = F.md5(F.col("text").cast("binary"))
     columns = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key.alias("text_key"))
     sketches = durable(
-        columns.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key string, set_key binary, bands array<long>, sketch binary, text string")
+        columns.mapInArrow(_sketch_batches(shingle), "doc_id long, text_key string, set_key binary, bands array<long>, sketch binary")
         .withColumn("row", F.monotonically_increasing_id())
         .withColumn("set_key", F.coalesce("set_key", F.encode(F.concat(F.lit("row:"), F.col("row").cast("string")), "utf-8"))),
         "sketches",
@@ -242,11 +241,10 @@ def near_duplicates(
     nodes = durable(sketches.groupBy("set_key").agg(F.min("row").alias("node")), "nodes")
     shown = durable(
         sketches.where(F.size("bands") > 0).join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-        .select(F.col("row").alias("node"), "bands", "sketch"),
+        .select(F.col("row").alias("node"), "doc_id", "text_key", "bands", "sketch"),
         "shown",
     )
-    texts = sketches.select(F.col("row").alias("node"), "text")
-    roots = _roots(texts, shown, shingle, similarity, small_bucket)
+    roots = _roots(columns, shown, shingle, similarity, small_bucket)
     named = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     members = durable(skew_join(sketches.select("row", "doc_id", "text_key", "set_key"), named, ["set_key"]).drop("set_key"), "members")
     classes = members.groupBy("root").agg(
@@ -262,17 +260,19 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     number, key = free(["number", "key"], documents.columns)
     extra = {number: F.col("doc_id").cast("long"), key: F.md5(F.col("text").cast("binary"))}
     kept = near_duplicates(documents.select("doc_id", "text")).where("keeper AND text_key IS NOT NULL").select("doc_id", "text_key")
-    # The keeper may be one of several rows that repeat id and text, null ids included; they combine before the join.
-    told = documents.where(F.col("text").isNotNull()).withColumns(extra).dropDuplicates([number, key])
-    told = told.join(kept.toDF("_kept_id", "_kept_key"), F.col(number).eqNullSafe(F.col("_kept_id")) & (F.col(key) == F.col("_kept_key")), "left_semi")
+    told = documents.where(F.col("text").isNotNull()).withColumns(extra)
+    same = told[number].eqNullSafe(kept["doc_id"]) & (told[key] == kept["text_key"])
+    # The keeper may be one of several rows that repeat id and text, null ids included.
+    told = told.join(kept, same, "left_semi").dropDuplicates([number, key])
     return told.select(*documents.columns).union(documents.where(F.col("text").isNull()))
 
 
-def _roots(texts: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
+def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
     """(node, root) of every node alike to another; root is the least node of the class."""
     spark = shown.sparkSession
     rows = shown.select("node", F.explode("bands").alias("bucket"))
     sketch = shown.select("node", "sketch")
+    known: list[DataFrame] = []
     compared: list[DataFrame] = []
 
     def among(frames: list[DataFrame], schema: str) -> DataFrame:
@@ -289,8 +289,14 @@ def _roots(texts: DataFrame, shown: DataFrame, shingle: int, similarity: float,
         )
 
     def whole(asked: DataFrame) -> DataFrame:
-        """(node, shingles) of the nodes asked for."""
-        return durable(texts.join(asked, "node", "left_semi").mapInArrow(_set_batches(shingle), "node long, shingles binary"), "sets")
+        """(node, shingles) of all nodes asked for so far; each text is read for it once."""
+        fresh = asked.join(among(known, "node long, shingles binary"), "node", "left_anti")
+        wanted = shown.join(fresh, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_key")
+        # Copies of a text share its key but not its id, so they do not meet in one task; a null id is like any other.
+        texts = columns.join(wanted, columns["doc_id"].eqNullSafe(wanted["_id"]) & (columns["text_key"] == wanted["text_key"]))
+        found = texts.groupBy("node").agg(F.first(columns["text"]).alias("text")).mapInArrow(_set_batches(shingle), "node long, shingles binary")
+        known.append(durable(found, "sets"))
+        return among(known, "node long, shingles binary")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are as similar as asked, by their whole shingle sets."""
@@ -346,7 +352,7 @@ def _roots(texts: DataFrame, shown: DataFrame, shingle: int, similarity: float,
     left = durable(mixed(many.select("bucket", "node", "central"), roots).select("node", "central").distinct(), "left")
     if left.isEmpty():
         return roots
-    asked = whole(left.select("node"))
+    asked = whole(left.select("node")).join(left.select("node"), "node", "left_semi")
     counts = np.zeros(CELLS, np.int64)
     for row in asked.mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["cell"]] = row["n"]

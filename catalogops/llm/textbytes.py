@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text worked on at a time; temporaries take about 60 times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _bytes = np.arange(256)
 IS_DIGIT = (_bytes >= 48) & (_bytes <= 57)
