@@ -14,8 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.functions.sqltext import column_refs as columns_in
-from catalogops.functions.sqltext import table_refs as tables_in
+from catalogops.functions.sqltext import name_parts, names_in, rewritten
 from catalogops.plans.durable import durable
 from catalogops.plans.ordered import BITS, global_position, rank_within
 from catalogops.plans.skew import heavy_keys, skew_join
@@ -43,12 +42,24 @@ class _Edges:
 
 
 def extract_table_refs(defs: DataFrame) -> DataFrame:
-    """(view_id, ref) from (view_id, definition)."""
-    return defs.select("view_id", F.explode(tables_in(F.col("definition"))).alias("ref"))
+    """(view_id, ref) from (view_id, definition): tables of FROM and JOIN, comma lists, MERGE and INSERT,
+    plain or in back-ticks, each once a text; no names of common table expressions."""
+    found = defs.select("view_id", names_in(F.col("definition"), columns=False).alias("n"))
+    # A dotted name is never a common table expression.
+    own = F.filter("n.tables", lambda r: ~F.array_contains(F.col("n.ctes"), F.lower(r)))
+    return found.select("view_id", F.explode(own).alias("ref"))
 
 
-def column_refs(defs: DataFrame) -> DataFrame:
-    return defs.select("view_id", F.explode(columns_in(F.col("definition"))).alias("ref"))
+def column_refs(defs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(view_id, ref): columns a stored text uses, with or without a qualifier, each once.
+
+    With ``known``, (column), only references whose last part is one of these names, in any case.
+    """
+    found = defs.select("view_id", F.explode(names_in(F.col("definition"))["columns"]).alias("ref"))
+    if known is None:
+        return found
+    last = found.withColumn("_c", F.lower(F.element_at(name_parts(F.col("ref")), -1)))
+    return skew_join(last, known.select(F.lower("column").alias("_c")).distinct(), ["_c"], "left_semi").drop("_c")
 
 
 def resolve_refs(refs: DataFrame, names: DataFrame, default_catalog: str | Column | None = None) -> DataFrame:
@@ -58,7 +69,7 @@ def resolve_refs(refs: DataFrame, names: DataFrame, default_catalog: str | Colum
     default catalog; a bare name matches any schema there. Tables win over views.
     """
     refs = durable(refs, "refs")
-    parts = F.split("ref", r"\.")
+    parts = name_parts(F.col("ref"))
     default = default_catalog if isinstance(default_catalog, Column) else F.lit(default_catalog)
     asked = (
         refs.select("ref").distinct() if not isinstance(default_catalog, Column) else refs.select("ref", default.alias("_d")).distinct()
@@ -315,7 +326,8 @@ def graph_warnings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def qualify_refs(defs: DataFrame, resolved: DataFrame, names: DataFrame) -> DataFrame:
-    """(view_id, definition) with every resolved reference written as its full name.
+    """(view_id, definition) with every resolved reference written as its full name, but not in
+    literals or comments.
 
     ``names`` is (object_id, full_name). The references of one text are at most its words.
     """
@@ -324,11 +336,8 @@ def qualify_refs(defs: DataFrame, resolved: DataFrame, names: DataFrame) -> Data
         .groupBy("view_id")
         .agg(F.array_sort(F.collect_set(F.struct("ref", "full_name"))).alias("refs"))
     )
-    rewritten = F.expr(
-        r"""aggregate(coalesce(refs, array()), definition, (text, r) -> regexp_replace(text,
-          concat('(?<![\\w.])', replace(r.ref, '.', '\\.'), '(?![\\w.])'), replace(replace(r.full_name, '\\', '\\\\'), '$', '\\$')))"""
-    )
-    return defs.join(spelled, "view_id", "left").select("view_id", rewritten.alias("definition"))
+    text = F.when(F.col("refs").isNull(), F.col("definition")).otherwise(rewritten(F.col("definition"), F.col("refs")))
+    return defs.join(spelled, "view_id", "left").select("view_id", text.alias("definition"))
 
 
 def drop_before_add(ops: DataFrame, *, bits: int = BITS) -> DataFrame:

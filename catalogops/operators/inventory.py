@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalogops.plans.durable import durable
+
 
 def adopt_ids(discovered: DataFrame, local: DataFrame, path: Sequence[str], made: Column) -> DataFrame:
     """Add ``object_id`` and ``source``: the local id where the name path matches, else ``made``.
@@ -26,51 +28,79 @@ def adopt_ids(discovered: DataFrame, local: DataFrame, path: Sequence[str], made
     )
 
 
-def assemble_keys(constraints: DataFrame, key_columns: DataFrame, referential: DataFrame) -> DataFrame:
-    """Primary and foreign keys (table_name, constraint_name, type, columns, parent_table,
-    parent_columns) from the metadata tables of an information schema.
+# Where a constraint lives: names repeat between tables, schemas and catalogs.
+PLACE = ["catalog_name", "schema_name", "table_name", "constraint_name"]
+
 
-    A foreign key's parent side is the key it refers to, columns in key order.
+def assemble_keys(constraints: DataFrame, key_columns: DataFrame, referential: DataFrame) -> DataFrame:
+    """Primary and foreign keys (catalog_name, schema_name, table_name, constraint_name, type, columns,
+    parent_catalog, parent_schema, parent_table, parent_columns) from an information schema's tables.
+
+    Rows meet by whole place, so a name used in two tables, schemas or catalogs never doubles a key.
+    ``key_columns`` has ordinal_position and, for foreign keys, position_in_unique_constraint: the parent
+    column of each column is the one at that place of the key referred to (its own place, where null).
+    ``referential`` is (place, unique_catalog, unique_schema, unique_table, unique_constraint_name); with
+    a null table the key of that name in the schema is meant, the least table's if several have it.
     """
-    held = (
-        key_columns.groupBy("table_name", "constraint_name")
-        # A key has few columns.
-        .agg(F.array_sort(F.collect_set(F.struct("ordinal_position", "column_name"))).alias("_k"))
-        .select("table_name", "constraint_name", F.array_distinct(F.transform("_k", lambda k: k["column_name"])).alias("columns"))
+    cols = durable(
+        key_columns.groupBy(*PLACE, "ordinal_position").agg(
+            F.min(F.struct("column_name", "position_in_unique_constraint")).alias("c")
+        ).select(*PLACE, "ordinal_position", "c.*"),
+        "keys",
+    )
+    key = F.struct(*[F.col(c) for c in PLACE])
+    parents = cols.where("position_in_unique_constraint IS NULL").select(key.alias("_p"), F.col("ordinal_position").alias("_at"), F.col("column_name").alias("_parent"))
+    named = parents.groupBy(
+        F.col("_p.catalog_name").alias("unique_catalog"), F.col("_p.schema_name").alias("unique_schema"), F.col("_p.constraint_name").alias("unique_constraint_name")
+    ).agg(F.min("_p.table_name").alias("_least"))
+    refers = (
+        referential.join(named, ["unique_catalog", "unique_schema", "unique_constraint_name"], "left")
+        .withColumn("unique_table", F.coalesce("unique_table", "_least"))
+        .groupBy(*PLACE)
+        .agg(F.min(F.struct("unique_catalog", "unique_schema", "unique_table", "unique_constraint_name")).alias("u"))
+        .select(*PLACE, F.when(F.col("u.unique_table").isNotNull(), F.struct(
+            F.col("u.unique_catalog").alias("catalog_name"), F.col("u.unique_schema").alias("schema_name"),
+            F.col("u.unique_table").alias("table_name"), F.col("u.unique_constraint_name").alias("constraint_name"))).alias("_p"))
     )
-    none = F.expr("CAST(array() AS ARRAY<STRING>)")
-    parents = held.select(
-        F.col("constraint_name").alias("unique_constraint_name"), F.col("table_name").alias("parent_table"), F.col("columns").alias("parent_columns")
+    both = (
+        cols.join(refers, PLACE, "left")
+        .withColumn("_at", F.coalesce("position_in_unique_constraint", "ordinal_position"))
+        .join(parents, ["_p", "_at"], "left")
     )
+    # A key has few columns.
+    held = both.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("ordinal_position", "column_name", "_parent"))).alias("_k"))
+
+    def listed(field):
+        return F.coalesce(F.array_join(F.transform("_k", lambda k: k[field]), ","), F.lit(""))
+
     return (
-        constraints.where(F.upper("constraint_type").isin("PRIMARY KEY", "FOREIGN KEY"))
-        .join(held, ["table_name", "constraint_name"], "left")
-        .join(referential, "constraint_name", "left")
-        .join(parents, "unique_constraint_name", "left")
+        constraints.where(F.upper("constraint_type").isin("PRIMARY KEY", "FOREIGN KEY")).select(*PLACE, F.upper("constraint_type").alias("type")).distinct()
+        .join(held, PLACE, "left").join(refers, PLACE, "left")
         .select(
-            "table_name", "constraint_name", F.upper("constraint_type").alias("type"),
-            F.array_join(F.coalesce("columns", none), ",").alias("columns"), "parent_table",
-            F.array_join(F.coalesce("parent_columns", none), ",").alias("parent_columns"),
+            *PLACE, "type", listed("column_name").alias("columns"), F.col("_p.catalog_name").alias("parent_catalog"),
+            F.col("_p.schema_name").alias("parent_schema"), F.col("_p.table_name").alias("parent_table"), listed("_parent").alias("parent_columns"),
         )
     )
 
 
 def assemble_checks(constraints: DataFrame, clauses: DataFrame, properties: DataFrame) -> DataFrame:
-    """CHECK constraints (table_name, constraint_name, type, expression), from the constraint
-    tables and from ``delta.constraints.*`` properties not already named."""
+    """CHECK constraints (catalog_name, schema_name, table_name, constraint_name, type, expression),
+    from the constraint tables and from ``delta.constraints.*`` properties not already named.
+
+    A clause has no table, so a name that several tables of a schema use gives each its clause.
+    """
+    schema = [c for c in PLACE if c != "table_name"]
     declared = (
-        constraints.where("constraint_type = 'CHECK'")
-        .join(clauses.where("check_clause <> ''"), "constraint_name")
-        .select("table_name", "constraint_name", F.col("check_clause").alias("expression"))
+        constraints.where(F.upper("constraint_type") == "CHECK").select(*PLACE).distinct()
+        .join(clauses.where("check_clause <> ''").groupBy(*schema).agg(F.min("check_clause").alias("expression")), schema)
+        .select(*PLACE, "expression")
     )
     prefix = "delta.constraints."
     from_properties = properties.where(F.col("key").startswith(prefix)).select(
-        "table_name", F.substr(F.col("key"), F.lit(len(prefix) + 1)).alias("constraint_name"), F.col("value").alias("expression")
-    )
-    extra = from_properties.where("constraint_name <> ''").join(
-        declared.select("table_name", "constraint_name"), ["table_name", "constraint_name"], "left_anti"
+        "catalog_name", "schema_name", "table_name", F.substr(F.col("key"), F.lit(len(prefix) + 1)).alias("constraint_name"), F.col("value").alias("expression")
     )
-    return declared.unionByName(extra).withColumn("type", F.lit("CHECK")).select("table_name", "constraint_name", "type", "expression")
+    extra = from_properties.where("constraint_name <> ''").join(declared.select(*PLACE), PLACE, "left_anti")
+    return declared.unionByName(extra).withColumn("type", F.lit("CHECK")).select(*PLACE, "type", "expression")
 
 
 def pivot_tags(tags: DataFrame) -> DataFrame:

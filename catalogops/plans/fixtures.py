@@ -130,14 +130,28 @@ UNION ALL SELECT concat('vw_', CAST(o_orderkey AS STRING)), concat('vw_', CAST(C
 UNION ALL SELECT 'tbl_missing', concat('vw_', CAST(o_orderkey AS STRING)), 'view_to_table' FROM «orders» WHERE o_orderkey % 500 = 7
 """
 
-TEXTS["fx6_viewdefs"] = """
-SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS view_id,
-  concat('WITH z AS (SELECT 1 AS one) SELECT a.x, b.y FROM ', lower(r_name), '.', lower(n_name), '.t_', CAST(c_custkey AS STRING),
-         ' a JOIN ', lower(n_name), '.t_', CAST(c_custkey AS STRING), ' b ON a.k = b.k JOIN z ON true',
-         CASE WHEN o_orderkey % 9 = 0 THEN ' JOIN nowhere.t_0 q ON true' ELSE '' END) AS definition
-FROM «orders» JOIN «customer» ON o_custkey = c_custkey JOIN «nation» ON c_nationkey = n_nationkey JOIN «region» ON n_regionkey = r_regionkey
+
+def viewdefs(ticked: str, short: str) -> str:
+    """One stored view per order, in four forms: joins, back-ticks, comma lists with comments, sub-queries.
+
+    ``ticked`` and ``short`` spell the first and second table in the places where names count;
+    those in literals and comments are always spelled alike.
+    """
+    return f"""
+SELECT view_id, concat('WITH z AS (SELECT 1 AS one) SELECT a.x, b.y, amount + 1 AS more, extract(year FROM a.d) AS yr, ', chr(39), 'FROM ', brief, chr(39), ' AS note FROM ',
+  CASE WHEN k % 9 = 0 THEN 'nowhere.t_0 q, ' ELSE '' END,
+  CASE k % 4 WHEN 0 THEN concat(path, ' a JOIN ', {short}, ' b ON a.k = b.k JOIN z ON true')
+    WHEN 1 THEN concat({ticked}, ' a JOIN ', {short}, ' b ON a.k IS NOT DISTINCT FROM b.k JOIN z ON true')
+    WHEN 2 THEN concat(path, ' a, ', {short}, ' b, z -- FROM ', brief, chr(10), ' WHERE a.k = b.k')
+    ELSE concat(path, ' a /* JOIN ', brief, ' */ JOIN (SELECT k, y FROM ', {short}, ') b ON a.k = b.k JOIN z ON true') END) AS definition
+FROM (SELECT o_orderkey AS k, concat('vw_', CAST(o_orderkey AS STRING)) AS view_id, concat(CASE WHEN r_name LIKE '% %' THEN concat('`', lower(r_name), '`') ELSE lower(r_name) END, '.', lower(n_name), '.t_', CAST(c_custkey AS STRING)) AS path,
+    concat(lower(n_name), '.t_', CAST(c_custkey AS STRING)) AS brief, lower(r_name) AS region
+  FROM «orders» JOIN «customer» ON o_custkey = c_custkey JOIN «nation» ON c_nationkey = n_nationkey JOIN «region» ON n_regionkey = r_regionkey)
 """
 
+
+TEXTS["fx6_viewdefs"] = viewdefs("concat('`', replace(replace(path, '`', ''), '.', '`.`'), '`')", "brief")
+
 TEXTS["fx7_versions"] = """
 SELECT p_partkey AS id, p_brand AS branch, CASE WHEN p_partkey % 17 = 0 THEN concat('bad-', CAST(p_partkey AS STRING))
   ELSE concat(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'v' END, CAST(p_size % 4 AS STRING), '.', CAST(p_partkey % 10 AS STRING), '.', CAST(p_partkey % 7 AS STRING)) END AS version FROM «part»
@@ -170,28 +184,32 @@ TEXTS["fx9_env"] = """
 SELECT * FROM (VALUES ('prod', 'governance'), ('test', 'table_structure'), ('test', 'governance')) AS t(environment, managed_category)
 """
 
-# Key metadata in the four-table shape of an information schema: each customer is a table with
-# a key over its first orders, each supplier's table points at a customer's.
-TEXTS["fxc_table_constraints"] = """
-SELECT concat('t_', CAST(c_custkey AS STRING)) AS table_name, concat('pk_', CAST(c_custkey AS STRING)) AS constraint_name, 'PRIMARY KEY' AS constraint_type FROM «customer»
-UNION ALL SELECT concat('t_', CAST(c_custkey AS STRING)), concat('fk_', CAST(c_custkey AS STRING)), 'FOREIGN KEY' FROM «customer» WHERE c_custkey % 3 = 1
-UNION ALL SELECT concat('t_', CAST(c_custkey AS STRING)), concat('ck_', CAST(c_custkey AS STRING)), 'CHECK' FROM «customer» WHERE c_custkey % 5 = 2
-"""
-TEXTS["fxc_key_columns"] = """
-SELECT concat('t_', CAST(o_custkey AS STRING)) AS table_name, concat('pk_', CAST(o_custkey AS STRING)) AS constraint_name,
-  concat('c_', CAST(o_orderkey AS STRING)) AS column_name, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS ordinal_position FROM «orders»
-UNION ALL SELECT concat('t_', CAST(o_custkey AS STRING)), concat('fk_', CAST(o_custkey AS STRING)),
-  concat('c_', CAST(o_orderkey AS STRING)), row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM «orders» WHERE o_custkey % 3 = 1
-"""
-TEXTS["fxc_referential"] = """
-SELECT concat('fk_', CAST(c_custkey AS STRING)) AS constraint_name, concat('pk_', CAST(c_custkey - 1 AS STRING)) AS unique_constraint_name FROM «customer» WHERE c_custkey % 3 = 1
+# Key metadata in the four-table shape of an information schema: each customer is a table with a key over
+# its orders; names of constraints repeat: all keys of a schema are 'pk', and each schema is in two catalogs.
+_PLACED = """concat('cat_', CAST({0} % 2 AS STRING)) AS catalog_name, concat('s_', CAST(CAST(floor({0} / 2) AS BIGINT) % 7 AS STRING)) AS schema_name,
+  concat('t_', CAST(CAST(floor({0} / 14) AS BIGINT) AS STRING)) AS table_name"""
+TEXTS["fxc_table_constraints"] = " UNION ALL ".join(
+    f"SELECT {_PLACED.format('c_custkey')}, '{name}' AS constraint_name, '{kind}' AS constraint_type FROM «customer» WHERE c_custkey % {by} = {at}"
+    for name, kind, by, at in (("pk", "PRIMARY KEY", 1, 0), ("fk", "Foreign Key", 3, 1), ("ck", "CHECK", 5, 2))
+)
+TEXTS["fxc_key_columns"] = f"""
+SELECT {_PLACED.format('o_custkey')}, 'pk' AS constraint_name, concat('c_', CAST(o_orderkey AS STRING)) AS column_name,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS ordinal_position, CAST(NULL AS INT) AS position_in_unique_constraint FROM «orders»
+UNION ALL SELECT {_PLACED.format('o_custkey')}, 'fk', concat('c_', CAST(o_orderkey AS STRING)), row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey),
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) FROM «orders» WHERE o_custkey % 3 = 1
+"""
+TEXTS["fxc_referential"] = f"""
+SELECT {_PLACED.format('c_custkey')}, 'fk' AS constraint_name, concat('cat_', CAST((c_custkey - 1) % 2 AS STRING)) AS unique_catalog,
+  concat('s_', CAST(CAST(floor((c_custkey - 1) / 2) AS BIGINT) % 7 AS STRING)) AS unique_schema,
+  CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE concat('t_', CAST(CAST(floor((c_custkey - 1) / 14) AS BIGINT) AS STRING)) END AS unique_table, 'pk' AS unique_constraint_name
+FROM «customer» WHERE c_custkey % 3 = 1
 """
 TEXTS["fxc_check_clauses"] = """
-SELECT concat('ck_', CAST(c_custkey AS STRING)) AS constraint_name, CASE WHEN c_custkey % 10 = 2 THEN '' ELSE concat('amt > ', CAST(c_nationkey AS STRING)) END AS check_clause FROM «customer» WHERE c_custkey % 5 = 2
+SELECT DISTINCT concat('cat_', CAST(c_custkey % 2 AS STRING)) AS catalog_name, concat('s_', CAST(CAST(floor(c_custkey / 2) AS BIGINT) % 7 AS STRING)) AS schema_name, 'ck' AS constraint_name,
+  CASE WHEN CAST(floor(c_custkey / 2) AS BIGINT) % 7 = 3 THEN '' ELSE concat('amt > ', CAST(CAST(floor(c_custkey / 2) AS BIGINT) % 7 AS STRING)) END AS check_clause FROM «customer»
 """
-TEXTS["fxc_properties"] = """
-SELECT concat('t_', CAST(c_custkey AS STRING)) AS table_name,
-  CASE c_custkey % 4 WHEN 0 THEN concat('delta.constraints.ck_', CAST(c_custkey AS STRING)) WHEN 1 THEN 'delta.constraints.extra' WHEN 2 THEN 'delta.constraints.' ELSE 'owner' END AS key,
+TEXTS["fxc_properties"] = f"""
+SELECT {_PLACED.format('c_custkey')}, CASE c_custkey % 4 WHEN 0 THEN 'delta.constraints.ck' WHEN 1 THEN 'delta.constraints.extra' WHEN 2 THEN 'delta.constraints.' ELSE 'owner' END AS key,
   'x > 0' AS value FROM «customer»
 """
 

@@ -11,13 +11,19 @@ from catalogops.queries.registry import query
 from catalogops.queries.selection import NAMES_SQL
 
 
+_PLACE_SQL = "catalog_name, schema_name, table_name, constraint_name"
+
+
 @query(
     "I01_assemble_keys",
-    """WITH tc AS (SELECT * FROM [fxc_table_constraints]), k AS (SELECT table_name, constraint_name, string_agg(column_name, ',' ORDER BY ordinal_position) AS cols FROM [fxc_key_columns] GROUP BY 1, 2),
-    r AS (SELECT * FROM [fxc_referential])
-    SELECT tc.table_name, tc.constraint_name, constraint_type AS type, coalesce(k.cols, '') AS columns, p.table_name AS parent_table, coalesce(p.cols, '') AS parent_columns
-    FROM tc LEFT JOIN k ON k.table_name = tc.table_name AND k.constraint_name = tc.constraint_name LEFT JOIN r ON r.constraint_name = tc.constraint_name
-    LEFT JOIN k p ON p.constraint_name = r.unique_constraint_name WHERE constraint_type <> 'CHECK'""",
+    f"""WITH k AS (SELECT * FROM [fxc_key_columns]), least AS (SELECT catalog_name, schema_name, constraint_name, min(table_name) AS t FROM k WHERE constraint_name = 'pk' GROUP BY 1, 2, 3),
+    r AS (SELECT x.*, coalesce(unique_table, t) AS parent FROM ([fxc_referential]) x LEFT JOIN least l ON l.catalog_name = unique_catalog AND l.schema_name = unique_schema AND l.constraint_name = unique_constraint_name),
+    j AS (SELECT tc.*, k.column_name, k.ordinal_position AS o, CASE WHEN parent IS NOT NULL THEN unique_catalog END AS parent_catalog, CASE WHEN parent IS NOT NULL THEN unique_schema END AS parent_schema, r.parent AS parent_table, p.column_name AS parent_column
+      FROM ([fxc_table_constraints]) tc LEFT JOIN k USING ({_PLACE_SQL}) LEFT JOIN r USING ({_PLACE_SQL})
+      LEFT JOIN k p ON p.catalog_name = unique_catalog AND p.schema_name = unique_schema AND p.table_name = parent AND p.constraint_name = unique_constraint_name AND p.ordinal_position = k.position_in_unique_constraint
+      WHERE constraint_type <> 'CHECK')
+    SELECT {_PLACE_SQL}, upper(constraint_type) AS type, coalesce(string_agg(column_name, ',' ORDER BY o), '') AS columns, parent_catalog, parent_schema, parent_table, coalesce(string_agg(parent_column, ',' ORDER BY o), '') AS parent_columns
+    FROM j GROUP BY ALL""",
 )
 def assemble_keys(spark, sf_dir):
     return inventory.assemble_keys(
@@ -27,11 +33,10 @@ def assemble_keys(spark, sf_dir):
 
 @query(
     "I02_assemble_checks",
-    """WITH c AS (SELECT tc.table_name, tc.constraint_name, cc.check_clause AS expression FROM [fxc_table_constraints] tc JOIN [fxc_check_clauses] cc ON cc.constraint_name = tc.constraint_name
-      WHERE constraint_type = 'CHECK' AND check_clause <> ''),
-    p AS (SELECT table_name, substr(key, 19) AS constraint_name, value AS expression FROM [fxc_properties] WHERE key LIKE 'delta.constraints.%')
-    SELECT table_name, constraint_name, 'CHECK' AS type, expression FROM c
-    UNION ALL SELECT table_name, constraint_name, 'CHECK', expression FROM p WHERE constraint_name <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.table_name = p.table_name AND c.constraint_name = p.constraint_name)""",
+    f"""WITH c AS (SELECT {_PLACE_SQL}, check_clause AS expression FROM [fxc_table_constraints] JOIN [fxc_check_clauses] USING (catalog_name, schema_name, constraint_name) WHERE constraint_type = 'CHECK' AND check_clause <> ''),
+    p AS (SELECT catalog_name, schema_name, table_name, substr(key, 19) AS constraint_name, value AS expression FROM [fxc_properties] WHERE key LIKE 'delta.constraints.%')
+    SELECT {_PLACE_SQL}, 'CHECK' AS type, expression FROM c
+    UNION ALL SELECT {_PLACE_SQL}, 'CHECK', expression FROM p WHERE constraint_name <> '' AND ({_PLACE_SQL}) NOT IN (SELECT ({_PLACE_SQL}) FROM c)""",
 )
 def assemble_checks(spark, sf_dir):
     return inventory.assemble_checks(

@@ -6,17 +6,16 @@ from pyspark.sql import functions as F
 
 from catalogops.functions.opkinds import level_of
 from catalogops.operators import graph, naming
-from catalogops.plans.fixtures import fixture, spark_text
+from catalogops.plans.fixtures import fixture, spark_text, table, viewdefs
 from catalogops.queries.registry import query
 from catalogops.queries.selection import NAMES_SQL
 
 _LEVEL_SQL = "CASE WHEN op = 'add_table' THEN 2 ELSE 3 END"
 
-# What the patterns find in the stored views, from how the views are made.
-_REFS_SQL = """refs AS (SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS view_id, unnest(list_concat([concat(lower(r_name), '.', lower(n_name), '.t_', CAST(c_custkey AS STRING)),
-  concat(lower(n_name), '.t_', CAST(c_custkey AS STRING))], CASE WHEN o_orderkey % 9 = 0 THEN ['nowhere.t_0'] ELSE [] END)) AS full_ref FROM orders JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-found AS (SELECT DISTINCT view_id, ref FROM (SELECT view_id, unnest(regexp_extract_all(definition, '(?i)\\b(?:FROM|JOIN)\\s+((?:\\w+\\.)?(?:\\w+\\.)?\\w+)', 1)) AS ref FROM [fx6_viewdefs]) WHERE ref <> 'z')"""
+# What stands in the stored views, from how the views are made.
+_REFS_SQL = """found AS (SELECT DISTINCT concat('vw_', CAST(o_orderkey AS STRING)) AS view_id, unnest(list_concat([concat(CASE WHEN r_name LIKE '% %' THEN concat('`', lower(r_name), '`') ELSE lower(r_name) END, '.', lower(n_name), '.t_', CAST(c_custkey AS STRING)),
+  concat(lower(n_name), '.t_', CAST(c_custkey AS STRING))], CASE WHEN o_orderkey % 9 = 0 THEN ['nowhere.t_0'] ELSE [] END)) AS ref FROM orders JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
 @query("G01_extract_table_refs", f"WITH {_REFS_SQL} SELECT view_id, ref FROM found")
@@ -32,7 +31,7 @@ def path_names(spark, sf_dir):
 
 
 _NAMED = f"""{NAMES_SQL}, t AS (SELECT object_type, object_id, string_split(full_name, '.') AS p, full_name FROM names WHERE object_type IN ('table', 'view')),
-r AS (SELECT view_id, ref, CASE WHEN len(string_split(ref, '.')) = 3 THEN ref ELSE 'asia.' || ref END AS path FROM found),
+r AS (SELECT view_id, ref, CASE WHEN len(string_split(ref, '.')) = 3 THEN replace(ref, '`', '') ELSE 'asia.' || ref END AS path FROM found),
 resolved AS (SELECT r.view_id, r.ref, t.object_type, t.object_id FROM r LEFT JOIN t ON t.full_name = r.path)"""
 
 
@@ -200,24 +199,27 @@ def graph_warnings(spark, sf_dir):
     return graph.graph_warnings(spark.sql(spark_text(_NODES, sf_dir)), fixture(spark, sf_dir, "fx5x_edges"))
 
 
-@query(
-    "G13_qualify_refs",
-    """SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS view_id,
-      concat('WITH z AS (SELECT 1 AS one) SELECT a.x, b.y FROM ', lower(r_name), '.', lower(n_name), '.t_', CAST(c_custkey AS STRING),
-        ' a JOIN ', CASE WHEN lower(r_name) = 'asia' THEN 'asia.' ELSE '' END, lower(n_name), '.t_', CAST(c_custkey AS STRING), ' b ON a.k = b.k JOIN z ON true',
-        CASE WHEN o_orderkey % 9 = 0 THEN ' JOIN nowhere.t_0 q ON true' ELSE '' END) AS definition
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-)
+@query("G13_qualify_refs", viewdefs("path", "concat(CASE region WHEN 'asia' THEN 'asia.' ELSE '' END, brief)"))
 def qualify_refs(spark, sf_dir):
     defs = fixture(spark, sf_dir, "fx6_viewdefs")
-    return graph.qualify_refs(defs, resolved_refs(spark, sf_dir), path_names(spark, sf_dir))
+    spelled = F.regexp_replace("full_name", r"(?<![^.])(\w+ [\w ]+)(?![^.])", "`$1`")
+    return graph.qualify_refs(defs, resolved_refs(spark, sf_dir), path_names(spark, sf_dir).withColumn("full_name", spelled))
+
 
+_COLUMNS_SQL = "SELECT concat('vw_', CAST(o_orderkey AS STRING)) AS view_id, unnest(list_concat([{}], CASE WHEN o_orderkey % 4 = 3 THEN [{}] ELSE [] END)) AS ref FROM orders JOIN customer ON o_custkey = c_custkey"
 
-@query("G14_column_refs", "SELECT view_id, unnest(['a.x', 'b.y', 'a.k', 'b.k']) AS ref FROM [fx6_viewdefs]")
+
+@query("G14_column_refs", _COLUMNS_SQL.format("'a.x', 'b.y', 'amount', 'a.d', 'a.k', 'b.k'", "'k', 'y'"))
 def column_refs(spark, sf_dir):
     return graph.column_refs(fixture(spark, sf_dir, "fx6_viewdefs"))
 
 
+@query("G14_known_column_refs", _COLUMNS_SQL.format("'amount', 'a.k', 'b.k'", "'k'"))
+def known_column_refs(spark, sf_dir):
+    known = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, "AMOUNT").otherwise("K").alias("column"))
+    return graph.column_refs(fixture(spark, sf_dir, "fx6_viewdefs"), known)
+
+
 @query(
     "G15_drop_before_add",
     "SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY CASE op WHEN 'drop_constraint' THEN 0 ELSE 1 END, seq) AS position, constraint_id, op FROM [fx1k_constraintlog]",
