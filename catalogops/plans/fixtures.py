@@ -172,11 +172,13 @@ SELECT concat('cat_', CAST(c_custkey AS STRING)) AS object_id, concat('cat_', CA
   CASE c_nationkey % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'prod' END AS environment FROM «customer»
 """
 
-# One DDL script per customer.
+# One DDL script per customer: quotes in comments, a deep type, a rule of the table, and some statements that are wrong.
 TEXTS["fx8_scripts"] = """
-SELECT c_custkey AS script_id, concat('-- script', chr(10), 'CREATE SCHEMA s_', CAST(c_nationkey AS STRING), ' COMMENT ''a;b'';', chr(10),
-  'CREATE TABLE s.t_', CAST(c_custkey AS STRING), ' (id BIGINT NOT NULL, amt DECIMAL(12,2) COMMENT ''net, of tax'', m MAP<STRING, INT>);', chr(10),
-  CASE WHEN c_custkey % 4 = 0 THEN 'VACUUM s.t;' ELSE 'ALTER TABLE s.t ADD COLUMN c INT;' END) AS script FROM «customer»
+SELECT c_custkey AS script_id, concat('-- it', chr(39), 's a script', chr(10), 'CREATE SCHEMA s_', CAST(c_nationkey AS STRING), ' COMMENT ''a;b''; -- don', chr(39), 't cut; here', chr(10),
+  'CREATE TABLE s.t_', CAST(c_custkey AS STRING), ' (id BIGINT NOT NULL, amt DECIMAL(12, 2) COMMENT ''net, of tax -- NOT NULL'', /* old, gone; */ m MAP<STRING, INT>,', chr(10),
+  ' `deep one` ARRAY<STRUCT<a: MAP<STRING, ARRAY<STRUCT<b: INT, c: DECIMAL(3, 1)>>>>> NOT NULL, CHECK (id > 0), CONSTRAINT pk PRIMARY KEY (id, amt)) USING delta TBLPROPERTIES (''k'' = ''v'');', chr(10),
+  CASE c_custkey % 4 WHEN 0 THEN 'VACUUM s.t;' WHEN 1 THEN 'COMMENT ON TABLE s.`t` IS ''x;y'';' ELSE 'ALTER TABLE s.t ADD COLUMN c INT;' END,
+  CASE c_custkey % 10 WHEN 0 THEN ' CREATE TABLE (id INT);' WHEN 1 THEN concat(' CREATE VIEW s.v AS SELECT ', chr(39), 'open; DROP TABLE x;') ELSE '' END) AS script FROM «customer»
 """
 
 # Managed categories per environment (no row for an environment = everything is managed).

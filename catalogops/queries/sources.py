@@ -144,27 +144,31 @@ def write_table(spark, sf_dir):
     return spark.read.schema(objects.schema).parquet(clustered)
 
 
-_STATEMENTS = """WITH c AS (SELECT * FROM customer), s AS (
-  SELECT c_custkey AS script_id, 0 AS idx, 'create_schema' AS kind, concat('s_', c_nationkey) AS name FROM c
-  UNION ALL SELECT c_custkey, 1, 'create_table', concat('s.t_', c_custkey) FROM c
-  UNION ALL SELECT c_custkey, 2, CASE WHEN c_custkey % 4 = 0 THEN 'unsupported' ELSE 'alter' END, CASE WHEN c_custkey % 4 <> 0 THEN 's.t' END FROM c)"""
+_STATEMENTS = """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer), s AS (
+  SELECT k AS script_id, 0 AS idx, 'create_schema' AS kind, concat('s_', n) AS name, 'created' AS status FROM c
+  UNION ALL SELECT k, 1, 'create_table', concat('s.t_', k), 'created' FROM c
+  UNION ALL SELECT k, 2, CASE k % 4 WHEN 0 THEN 'unsupported' WHEN 1 THEN 'comment_on' ELSE 'alter' END, CASE WHEN k % 4 <> 0 THEN 's.t' END, CASE k % 4 WHEN 0 THEN 'skipped' ELSE 'changed' END FROM c
+  UNION ALL SELECT k, 3, CASE k % 10 WHEN 0 THEN 'create_table' ELSE 'create_view' END, CASE k % 10 WHEN 1 THEN 's.v' END, 'error' FROM c WHERE k % 10 < 2)"""
 
 
-@query("S10_ddl_corpus_scan", _STATEMENTS + " SELECT script_id, idx, kind, name FROM s")
+@query("S10_ddl_corpus_scan", _STATEMENTS + " SELECT * FROM s")
 def ddl_corpus_scan(spark, sf_dir):
     return corpus.statements(fixture(spark, sf_dir, "fx8_scripts")).drop("statement")
 
 
-@query("S10_scan_report", _STATEMENTS + " SELECT kind, count(*) AS statements, count(*) FILTER (kind LIKE 'create%') AS created FROM s GROUP BY 1")
+@query(
+    "S10_scan_report",
+    _STATEMENTS + """ SELECT kind, count(*) AS statements, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'skipped') AS skipped,
+    count(*) FILTER (status = 'error') AS errors FROM s GROUP BY 1""",
+)
 def scan_report(spark, sf_dir):
     return corpus.scan_report(corpus.statements(fixture(spark, sf_dir, "fx8_scripts")))
 
 
 @query(
     "S11_columns_from_ddl",
-    """SELECT concat('s.t_', c_custkey) AS table_name, 'id' AS "column", 'BIGINT' AS type, false AS nullable, NULL::VARCHAR AS comment, 0 AS position FROM customer
-    UNION ALL SELECT concat('s.t_', c_custkey), 'amt', 'DECIMAL(12,2)', true, 'net, of tax', 1 FROM customer
-    UNION ALL SELECT concat('s.t_', c_custkey), 'm', 'MAP<STRING, INT>', true, NULL, 2 FROM customer""",
+    """SELECT concat('s.t_', c_custkey) AS table_name, x.* FROM customer, (VALUES ('id', 'BIGINT', false, NULL, 0), ('amt', 'DECIMAL(12, 2)', true, 'net, of tax -- NOT NULL', 1),
+      ('m', 'MAP<STRING, INT>', true, NULL, 2), ('deep one', 'ARRAY<STRUCT<a: MAP<STRING, ARRAY<STRUCT<b: INT, c: DECIMAL(3, 1)>>>>>', false, NULL, 3)) AS x("column", type, nullable, comment, position)""",
 )
 def columns_from_ddl(spark, sf_dir):
     return corpus.columns_from_ddl(corpus.statements(fixture(spark, sf_dir, "fx8_scripts")))

@@ -55,6 +55,40 @@ INSERT INTO t VALUES ('a;b', "c;d"); CREATE OR REPLACE VIEW `a`.`v` AS SELECT ';
     ]
 
 
+def test_script_edges(spark):
+    texts = {
+        "apostrophes": ("SELECT 1; -- it's\nDROP TABLE a; -- don't\nDROP TABLE b; /* that's; */ DROP TABLE c", ["skipped"] * 4),
+        "unclosed literal": ("CREATE TABLE a.b (x INT); CREATE VIEW v AS SELECT 'x; DROP TABLE t", ["created", "error"]),
+        "escaped quote": (r"CREATE VIEW v AS SELECT 'it\'s; fine'; ALTER TABLE t ADD c", ["created", "changed"]),
+        "open escape": (r"CREATE VIEW v AS SELECT 'it\'", ["error"]),
+        "unclosed comment": ("DROP TABLE a; /* left open; DROP TABLE b", ["skipped", "error"]),
+        "no name": ("CREATE TABLE (x INT); COMMENT ON TABLE t IS 'x'", ["error", "changed"]),
+        "ticks": ("CREATE TABLE `a;b`.`c d` (x INT)", ["created"]),
+        "blank": (" ;; -- nothing\n", []),
+        "null": (None, []),
+    }
+    rows = corpus.statements(spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "script_id STRING, script STRING"))
+    got = {}
+    for r in rows.orderBy("script_id", "idx").collect():
+        got.setdefault(r.script_id, []).append(r.status)
+    assert got == {k: v[1] for k, v in texts.items() if v[1]}
+    report = {r.kind: tuple(r)[1:] for r in corpus.scan_report(rows).collect()}
+    assert report["create_view"] == (3, 1, 0, 2) and report["create_table"] == (3, 2, 0, 1)
+
+
+def test_column_lists_of_any_depth(spark):
+    deep = "INT"
+    for i in range(12):
+        deep = f"STRUCT<f{i}: ARRAY<{deep}>, g: MAP<STRING, DECIMAL(4, 2)>>"
+    text = f"""CREATE TABLE t (a {deep} NOT NULL COMMENT 'it''s, NOT NULL', `check` INT CHECK (`check` > 1 AND a < 2), "primary" STRING DEFAULT ')',
+      constraint INT, CONSTRAINT c CHECK (a > 0), FOREIGN KEY (a) REFERENCES u (b)) PARTITIONED BY (a); CREATE TABLE u AS SELECT (1) AS x; CREATE TABLE v ()"""
+    rows = corpus.statements(spark.createDataFrame([("s", text)], "script_id STRING, script STRING"))
+    got = [(r.table_name, r.column, r.type, r.nullable, r.comment) for r in corpus.columns_from_ddl(rows).orderBy("position").collect()]
+    assert got == [
+        ("t", "a", deep, False, "it's, NOT NULL"), ("t", "check", "INT", True, None), ("t", '"primary"', "STRING", True, None), ("t", "constraint", "INT", True, None),
+    ]
+
+
 def test_long_script(spark):
     text = "INSERT INTO t VALUES " + ",".join("('v;%d')" % i for i in range(50_000)) + "; DROP TABLE t"
     rows = corpus.statements(spark.createDataFrame([("s", text)], "script_id STRING, script STRING"))
