@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogops.operators.fold import lifetimes
 from catalogops.plans.durable import durable
-from catalogops.plans.ordered import BITS, last_before, rank_within
+from catalogops.plans.ordered import BITS, last_before, rank_within, running_sum
 from catalogops.plans.skew import skew_join
 
 
@@ -197,18 +197,32 @@ def column_lists(positions: DataFrame) -> DataFrame:
     )
 
 
-def reorder_distance(pairs: DataFrame, threshold: int = 2) -> DataFrame:
-    """(table_id, distance, is_simple): pairs of columns whose order is turned round.
+def reorder_distance(old: DataFrame, new: DataFrame, threshold: int = 2, *, bits: int = BITS) -> DataFrame:
+    """(table_id, distance, is_simple): pairs of columns whose order is turned round, for tables on both sides.
 
-    Counted inside the row: a table's column list is short and no pair leaves it.
+    Both sides are (table_id, column_id, position), positions whole, not negative and unique in a table;
+    columns of one side only do not count. Two columns differ in a highest bit of their new positions: the
+    pair is turned if the one with that bit set stood first. So each bit is a running count in old order
+    within the columns that share the bits above it: no pairs, and no table is one row or one task.
     """
-    return (
-        pairs.withColumn("_p", F.expr("filter(transform(new_cols, c -> array_position(old_cols, c)), p -> p > 0)"))
-        .withColumn(
-            "distance",
-            F.expr(
-                "aggregate(transform(_p, (p, i) -> CAST(size(filter(slice(_p, 1, i), q -> q > p)) AS BIGINT)), 0L, (a, x) -> a + x)"
-            ),
+    both = durable(
+        old.select("table_id", "column_id", F.col("position").cast("long").alias("o")).join(
+            new.select("table_id", "column_id", F.col("position").cast("long").alias("n")), ["table_id", "column_id"]
+        ),
+        "places",
+    )
+    widest = both.groupBy("table_id").agg(F.max("n").alias("_widest"))
+    # Columns that stand alone within a bit's group meet nobody, so a table needs only its own bits.
+    planes = (
+        skew_join(both, widest, ["table_id"])
+        .withColumn("bit", F.explode(F.expr("filter(sequence(0, 62), b -> shiftright(_widest, b) > 0)")))
+        .select(
+            "table_id", "bit", F.expr("shiftright(shiftright(n, bit), 1)").alias("above"), "o",
+            F.expr("shiftright(n, bit) & 1").alias("set"),
         )
-        .select("table_id", "distance", (F.col("distance") <= threshold).alias("is_simple"))
     )
+    counted = running_sum(planes, ["table_id", "bit", "above"], "o", "set", "_ahead", bits=bits)
+    turned = counted.groupBy("table_id").agg(F.sum(F.when(F.col("set") == 0, F.col("_ahead")).otherwise(0)).alias("distance"))
+    tables = old.select("table_id").distinct().join(new.select("table_id").distinct(), "table_id", "left_semi")
+    distance = F.coalesce("distance", F.lit(0).cast("long"))
+    return tables.join(turned, "table_id", "left").select("table_id", distance.alias("distance"), (distance <= threshold).alias("is_simple"))

@@ -167,6 +167,34 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return _union(reached).where("hops > 0")
 
 
+def newest_upstream(edges: DataFrame, changes: DataFrame) -> DataFrame:
+    """(node_id, newest): the latest ``changed_at`` of all that a node depends on, over any number of steps.
+
+    ``changes`` is (node_id, changed_at). One value a node is kept, and only values that rose are sent
+    on, so there are no pairs of nodes, and cycles come to rest (there a node is upstream of itself).
+    Nodes with nothing changed upstream have no row.
+    """
+    graph = _Edges(edges.select("from_id", "to_id").distinct())
+    known = changes.where("changed_at IS NOT NULL").groupBy("node_id").agg(F.max("changed_at").alias("own"))
+    state = durable(
+        _ends(graph.rows).join(known, "node_id", "left").select(
+            "node_id", F.col("own").alias("sends"), F.lit(None).cast(known.schema["own"].dataType).alias("newest"), F.col("own").isNotNull().alias("rose")
+        ),
+        "newest",
+    )
+    while not state.where("rose").isEmpty():
+        news = state.where("rose").select(F.col("node_id").alias("from_id"), "sends")
+        met = graph.meet(graph.rows, news, "from_id").groupBy(F.col("to_id").alias("node_id")).agg(F.max("sends").alias("_met"))
+        state = durable(
+            state.join(met, "node_id", "left").select(
+                "node_id", F.greatest("sends", "_met").alias("sends"), F.greatest("newest", "_met").alias("newest"),
+                (F.col("_met").isNotNull() & (F.col("sends").isNull() | (F.col("_met") > F.col("sends")))).alias("rose"),
+            ),
+            "newest",
+        )
+    return state.where("newest IS NOT NULL").select("node_id", "newest")
+
+
 def breaking_changes(drops: DataFrame, edges: DataFrame) -> DataFrame:
     """(dropped_id, dependent_id, hops): direct (1 hop) and transitive dependents of dropped objects."""
     found = closure(edges, drops.select(F.col("node_id").alias("root_id")))

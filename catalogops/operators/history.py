@@ -171,13 +171,21 @@ def cascade_drops(drops: DataFrame, objects: DataFrame, levels) -> DataFrame:
     return result.groupBy("dropped_id", "object_type").agg(F.sum("n").alias("n"))
 
 
-def deployment_stats(deployments: DataFrame, period: Column) -> DataFrame:
-    """Counts and times per environment and period, with totals by environment and over all.
+def deployment_stats(deployments: DataFrame, period: Column, ops: DataFrame | None = None) -> DataFrame:
+    """Counts and times per environment and period, with totals by environment and over all; with ``ops``
+    (deployment_id, status) also how many ops there were and how many of them failed.
 
     The 95th percentile is exact: values are counted first, and the counts of each group are summed
     up in order of the value, in stretches, to the place asked for. Null times are left out of it.
     """
     rows = deployments.withColumn("period", period)
+    sums = []
+    if ops is not None:
+        per = ops.groupBy(F.col("deployment_id").alias("id")).agg(
+            F.count(F.lit(1)).alias("_ops"), F.count_if(F.col("status") == "failed").alias("_failed")
+        )
+        rows = skew_join(rows, per, ["id"], "left")
+        sums = [F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(n) for c, n in (("_ops", "ops"), ("_failed", "ops_failed"))]
     counted = rows.rollup("environment", "period").agg(
         F.grouping_id().alias("_level"),
         F.count(F.lit(1)).alias("deployments"),
@@ -185,6 +193,7 @@ def deployment_stats(deployments: DataFrame, period: Column) -> DataFrame:
         F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("status") == "partial").alias("partial"),
         F.round(F.avg("execution_time_ms"), 4).alias("mean_ms"),
+        *sums,
     )
     key = lambda level: F.to_json(F.struct(level.alias("l"), F.col("environment"), F.col("period")), {"ignoreNullFields": "false"})
     none = lambda c: F.lit(None).cast(rows.schema[c].dataType)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogops.operators.graph import closure, extract_table_refs, topo_depth
+from catalogops.operators.graph import extract_table_refs, newest_upstream, topo_depth
 
 
 def register_views(spark: SparkSession, defs: Mapping[str, str]) -> list[str]:
@@ -98,9 +98,7 @@ def mv_due(mvs: DataFrame, edges: DataFrame, changes: DataFrame, now) -> DataFra
     Due when the schedule has run out, or when anything they are built on, over any number of
     steps, changed since. ``changes`` is (node_id, changed_at).
     """
-    turned = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
-    upstream = closure(turned, mvs.select(F.col("mv_id").alias("root_id")))
-    newest = upstream.join(changes, "node_id").groupBy(F.col("root_id").alias("mv_id")).agg(F.max("changed_at").alias("newest"))
+    newest = newest_upstream(edges, changes).withColumnRenamed("node_id", "mv_id")
     late = F.col("every_seconds").isNotNull() & (
         F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("last_refresh") >= F.col("every_seconds") * 1_000_000
     )

@@ -147,13 +147,6 @@ def net_reorder(spark, sf_dir):
     return compact.net_reorder(reorders, before)
 
 
-def _pairs(spark, sf_dir):
-    old, new = order_pair(spark, sf_dir)
-    return compact.column_lists(old).withColumnRenamed("cols", "old_cols").join(
-        compact.column_lists(new).withColumnRenamed("cols", "new_cols"), "table_id"
-    )
-
-
 @query(
     "M09_single_column_move",
     ORDER_PAIR_SQL + """, e AS (SELECT table_id, old_cols, new_cols, unnest(new_cols) AS column_id, unnest(range(len(new_cols))) AS to_pos FROM pairs WHERE old_cols <> new_cols),
@@ -173,7 +166,7 @@ def single_column_move(spark, sf_dir):
     SELECT table_id, distance, distance <= 2 AS is_simple FROM d""",
 )
 def reorder_distance(spark, sf_dir):
-    return compact.reorder_distance(_pairs(spark, sf_dir))
+    return compact.reorder_distance(*order_pair(spark, sf_dir))
 
 
 @query(

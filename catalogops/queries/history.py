@@ -216,9 +216,10 @@ def cascade_drops(spark, sf_dir):
 
 @query(
     "H14_deployment_stats",
-    f"""WITH {_DEP} SELECT environment, CAST(year(deployed_at) AS INT) AS period, count(*) AS deployments, count(*) FILTER (status = 'success') AS succeeded,
+    f"""WITH {_DEP}, o AS (SELECT deployment_id, count(*) AS n, count(*) FILTER (status = 'failed') AS bad FROM [fx4_ops] GROUP BY 1)
+    SELECT environment, CAST(year(deployed_at) AS INT) AS period, CAST(coalesce(sum(n), 0) AS BIGINT) AS ops, CAST(coalesce(sum(bad), 0) AS BIGINT) AS ops_failed, count(*) AS deployments, count(*) FILTER (status = 'success') AS succeeded,
     count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'partial') AS partial, round(avg(execution_time_ms), 4) AS mean_ms, quantile_disc(execution_time_ms, 0.95) AS p95_ms
-    FROM d GROUP BY ROLLUP (environment, CAST(year(deployed_at) AS INT))""",
+    FROM d LEFT JOIN o ON o.deployment_id = d.id GROUP BY ROLLUP (environment, CAST(year(deployed_at) AS INT))""",
 )
 def deployment_stats(spark, sf_dir):
-    return history.deployment_stats(deployments(spark, sf_dir), F.year("deployed_at"))
+    return history.deployment_stats(deployments(spark, sf_dir), F.year("deployed_at"), deployment_ops(spark, sf_dir))

@@ -118,3 +118,28 @@ def test_extras_keep_microseconds(spark):
     rest = evolve.conform(frame, [("id", "INT")], extras="rest")
     told = rest.select(F.variant_get("rest", "$.at", "string").cast("timestamp").alias("at"), F.variant_get("rest", "$.local", "string").cast("timestamp_ntz").alias("local"))
     assert rows_of(told) == rows_of(frame.select("at", "local"))
+
+
+def test_reorder_distance_counts_all_turned_pairs(spark):
+    rng = random.Random(11)
+    sides, want = ([], []), {}
+    for table in range(12):
+        width = rng.choice([1, 2, 3, 9, 40])
+        orders = [rng.sample(range(90), width) for _ in range(2)]
+        columns = [[c for c in range(width) if rng.random() < 0.8] for _ in range(2)]
+        for side, order, held in zip(sides, orders, columns):
+            side += [(table, c, order[c]) for c in held]
+        shared = sorted(set(columns[0]) & set(columns[1]))
+        if columns[0] and columns[1]:
+            want[table] = sum((orders[0][a] < orders[0][b]) != (orders[1][a] < orders[1][b]) for a in shared for b in shared if a < b)
+    old, new = (spark.createDataFrame(s, "table_id INT, column_id INT, position INT") for s in sides)
+    for bits in (1, 20):
+        got = {r.table_id: (r.distance, r.is_simple) for r in compact.reorder_distance(old, new, bits=bits).collect()}
+        assert got == {t: (d, d <= 2) for t, d in want.items()}
+
+
+def test_reorder_distance_of_a_wide_table(spark):
+    width = 100_000
+    old = spark.range(width).selectExpr("1 AS table_id", "id AS column_id", "id AS position")
+    new = spark.range(width).selectExpr("1 AS table_id", "id AS column_id", f"{width - 1} - id AS position")
+    assert compact.reorder_distance(old, new).first().distance == width * (width - 1) // 2

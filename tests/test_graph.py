@@ -81,3 +81,15 @@ def test_references(spark):
     defs = spark.createDataFrame([("v", text)], "view_id STRING, definition STRING")
     assert {r.ref for r in graph.extract_table_refs(defs).collect()} == {"main.sales.orders", "sales.customers"}
     assert {r.ref for r in graph.column_refs(defs).collect()} == {"r.id", "c.name", "r.cid", "c.id", "x.id"}
+
+
+def test_newest_upstream(spark):
+    rng = random.Random(9)
+    edges = {(rng.randrange(18), rng.randrange(18)) for _ in range(24)}
+    nodes, far = reach(edges)
+    changed = {n: rng.randrange(50) for n in nodes if n % 3}
+    changes = spark.createDataFrame([(f"n{n}", v) for n, v in changed.items()] + [("n0", None), ("gone", 99)], "node_id STRING, changed_at INT")
+    got = {r.node_id: r.newest for r in graph.newest_upstream(frame(spark, edges), changes).collect()}
+    above = {n: [changed[a] for a in nodes if a in changed and n in far[a]] for n in nodes}
+    assert got == {f"n{n}": max(v) for n, v in above.items() if v}
+    assert graph.newest_upstream(frame(spark, {(1, 2)}).where("false"), changes).count() == 0
