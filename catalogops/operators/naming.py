@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalogops.functions.names import joined_path, quoted, text_literal
+from catalogops.functions.names import joined_path
 from catalogops.functions.privileges import legal_privileges
+from catalogops.functions.sqltext import name_parts
+from catalogops.functions.statements import filled, template_of
 from catalogops.plans.durable import durable
 from catalogops.plans.ordered import global_position
 from catalogops.plans.skew import heavy_keys, skew_join
@@ -111,21 +113,17 @@ def import_scope_filter(
 
 
 def render_statements(ops: DataFrame, names: DataFrame) -> DataFrame:
-    """Ops (seq, op_id, op, target, tag_name, tag_value, new_name) as one SQL line each, in order.
+    """(execution_order, op_id, statement, error): one SQL line for each op of any of the kinds, in order.
 
-    ``names`` is (target, full_name). An export for people to read or run elsewhere.
+    ``ops`` is (seq, op_id, op, target, payload MAP<STRING, STRING>), ``names`` (target, full_name). No op
+    is lost: one that cannot be written has a null statement and says why, UNKNOWN_KIND, UNKNOWN_NAME or
+    MISSING_FIELD. An export for people to read or run elsewhere.
     """
-    path = F.array_join(F.transform(F.split("full_name", r"\."), quoted), ".")
-    table = F.concat(F.lit("ALTER TABLE "), path)
-    line = (
-        F.when(F.col("op") == "add_table", F.concat(F.lit("CREATE TABLE IF NOT EXISTS "), path, F.lit(" ()")))
-        .when(F.col("op") == "drop_table", F.concat(F.lit("DROP TABLE IF EXISTS "), path))
-        .when(F.col("op") == "rename_table", F.concat(table, F.lit(" RENAME TO "), quoted(F.col("new_name"))))
-        .when(
-            F.col("op") == "set_table_tag",
-            F.concat(table, F.lit(" SET TAGS ("), text_literal(F.col("tag_name")), F.lit(" = "), text_literal(F.col("tag_value")), F.lit(")")),
-        )
-        .when(F.col("op") == "unset_table_tag", F.concat(table, F.lit(" UNSET TAGS ("), text_literal(F.col("tag_name")), F.lit(")")))
+    held = skew_join(ops.select("seq", "op_id", "op", "target", "payload"), names.select("target", "full_name"), ["target"], "left")
+    template = template_of(F.col("op"))
+    lines = held.withColumn("statement", filled(template, name_parts(F.col("full_name")), F.col("payload")))
+    error = (
+        F.when(template.isNull(), "UNKNOWN_KIND").when(F.col("full_name").isNull(), "UNKNOWN_NAME").when(F.col("statement").isNull(), "MISSING_FIELD")
     )
-    lines = skew_join(ops, names, ["target"]).select("seq", "op_id", line.alias("statement")).where("statement IS NOT NULL")
-    return global_position(lines, ["seq"], "execution_order").select("execution_order", "op_id", "statement")
+    lines = lines.select("seq", "op_id", "statement", error.alias("error"))
+    return global_position(lines, ["seq"], "execution_order").select("execution_order", "op_id", "statement", "error")

@@ -165,16 +165,34 @@ def import_scope_filter(spark, sf_dir):
     return kept.select("catalog_name", "schema_name", "table_name")
 
 
+_PATHS_SQL = f"""WITH {NAMES_SQL}, t AS (SELECT CAST(substr(object_id, 5) AS BIGINT) AS target, '`' || replace(full_name, '.', '`.`') || '`' AS path FROM names WHERE object_type = 'table')"""
+
+
 @query(
     "P12_render_statements",
-    f"""WITH {NAMES_SQL}, t AS (SELECT CAST(substr(object_id, 5) AS BIGINT) AS target, '`' || replace(full_name, '.', '`.`') || '`' AS path FROM names WHERE object_type = 'table'),
-    lines AS (SELECT seq, op_id, CASE op WHEN 'add_table' THEN 'CREATE TABLE IF NOT EXISTS ' || path || ' ()' WHEN 'drop_table' THEN 'DROP TABLE IF EXISTS ' || path
+    _PATHS_SQL + """, lines AS (SELECT seq, op_id, CASE WHEN path IS NULL THEN 'UNKNOWN_NAME' END AS error, CASE op WHEN 'add_table' THEN 'CREATE TABLE IF NOT EXISTS ' || path || ' ()' WHEN 'drop_table' THEN 'DROP TABLE IF EXISTS ' || path
       WHEN 'rename_table' THEN 'ALTER TABLE ' || path || ' RENAME TO `' || new_name || '`'
       WHEN 'set_table_tag' THEN 'ALTER TABLE ' || path || ' SET TAGS (''' || tag_name || ''' = ''' || tag_value || ''')'
-      WHEN 'unset_table_tag' THEN 'ALTER TABLE ' || path || ' UNSET TAGS (''' || tag_name || ''')' END AS statement FROM [fx1_oplog] l JOIN t USING (target))
-    SELECT row_number() OVER (ORDER BY seq) AS execution_order, op_id, statement FROM lines""",
+      WHEN 'unset_table_tag' THEN 'ALTER TABLE ' || path || ' UNSET TAGS (''' || tag_name || ''')' END AS statement FROM [fx1_oplog] l LEFT JOIN t USING (target))
+    SELECT row_number() OVER (ORDER BY seq) AS execution_order, op_id, statement, error FROM lines""",
 )
 def render_statements(spark, sf_dir):
+    payload = F.create_map(*[c for n, f in (("newName", "new_name"), ("tagName", "tag_name"), ("tagValue", "tag_value")) for c in (F.lit(n), F.col(f))])
+    return naming.render_statements(fixture(spark, sf_dir, "fx1_oplog").withColumn("payload", payload), _table_names(spark, sf_dir))
+
+
+def _table_names(spark, sf_dir):
     names = naming.qualified_names(fixture(spark, sf_dir, "fx2_objects")).where("object_type = 'table'")
-    keyed = names.select(F.substring_index("object_id", "_", -1).cast("long").alias("target"), "full_name")
-    return naming.render_statements(fixture(spark, sf_dir, "fx1_oplog"), keyed)
+    return names.select(F.substring_index("object_id", "_", -1).cast("long").alias("target"), "full_name")
+
+
+@query(
+    "P12_render_payloads",
+    _PATHS_SQL + """, l AS (SELECT seq, op_id, op, path, payload->>'$.comment' AS said FROM [fx1p_payloadlog] LEFT JOIN t USING (target)),
+    lines AS (SELECT *, CASE WHEN path IS NOT NULL AND op = 'add_table' THEN 'CREATE TABLE IF NOT EXISTS ' || path || ' ()' || coalesce(' COMMENT ''' || said || '''', '') END AS statement FROM l)
+    SELECT row_number() OVER (ORDER BY seq) AS execution_order, op_id, statement, CASE WHEN op = 'unknown_kind' THEN 'UNKNOWN_KIND' WHEN path IS NULL THEN 'UNKNOWN_NAME' WHEN statement IS NULL THEN 'MISSING_FIELD' END AS error FROM lines""",
+)
+def render_payloads(spark, sf_dir):
+    """A log as it is read: tags without a value and functions without a body cannot be written."""
+    log = fixture(spark, sf_dir, "fx1p_payloadlog").withColumn("payload", F.from_json("payload", "MAP<STRING, STRING>"))
+    return naming.render_statements(log, _table_names(spark, sf_dir))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogops.plans.fixtures import fixture, spark_text
+from catalogops.plans.fixtures import TABLES, fixture, spark_text, table
 from catalogops.queries.registry import query
 from catalogops.queries.selection import ERRORS_SQL
 from catalogops.session import fresh_path
@@ -130,9 +130,15 @@ def append_deployment_ops(spark, sf_dir):
     return files.append_deployment_ops(ops, fresh_path(spark, "ops"))
 
 
-@query("S08_volume_inventory")
+@query(
+    "S08_volume_inventory",
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{t}.parquet' AS file_name, 'parquet' AS ext, count(*) AS rows FROM {t} HAVING count(*) > 0" for t in TABLES),
+)
 def volume_inventory(spark, sf_dir):
-    return files.inventory_by_extension(files.volume_inventory(spark, sf_dir, "*.parquet"))
+    """Files of the given tables with the rows that each holds."""
+    names = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    found = files.volume_inventory(spark, sf_dir, "*.parquet").select(names, "ext")
+    return files.rows_by_file({t: table(spark, sf_dir, t) for t in TABLES}).join(found, "file_name").select("table_name", "file_name", "ext", "rows")
 
 
 @query("S09_write_table", "SELECT object_type, object_id, name FROM [fx2_objects]")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,6 +143,15 @@ def volume_inventory(spark: SparkSession, path: str, pattern: str | None = None)
     return files.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
 
 
+def rows_by_file(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, file_name, rows) for frames read from files; a file without rows has no line."""
+    counted = [
+        df.select("_metadata.file_name").groupBy("file_name").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "file_name", "rows")
+        for name, df in tables.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counted)
+
+
 def inventory_by_extension(files: DataFrame) -> DataFrame:
     return files.groupBy("ext").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
