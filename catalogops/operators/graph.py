@@ -115,7 +115,7 @@ def build_edges(resolved: DataFrame, foreign_keys: DataFrame, nodes: DataFrame)
 def candidate_edges(resolved: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     views = resolved.where("object_id IS NOT NULL").select(
         F.col("object_id").alias("from_id"), F.col("view_id").alias("to_id"),
-        F.when(F.col("object_type") == "view", "view_to_view").otherwise("view_to_table").alias("dep_type"),
+        F.when(F.col("object_type").isin("view", "materialized_view"), "view_to_view").otherwise("view_to_table").alias("dep_type"),
     )
     keys = foreign_keys.select(
         F.col("parent_table").alias("from_id"), F.col("table_id").alias("to_id"), F.lit("foreign_key").alias("dep_type")
@@ -123,6 +123,36 @@ def candidate_edges(resolved: DataFrame, foreign_keys: DataFrame) -> DataFrame:
     return views.unionByName(keys).distinct().withColumn("enforcement", F.lit("enforced"))
 
 
+def constraint_order_edges(ops: DataFrame) -> DataFrame:
+    """(from_id, to_id, dep_type, enforcement): a table before its constraint drops, its drops before its adds.
+
+    ``ops`` is (op_id, table_id, op), ids as text. The drops of a table meet its adds in one node
+    ``drops:<table_id>``, so there are as many edges as ops and never one for every drop and add.
+    """
+    table = F.col("table_id")
+    gate = F.concat(F.lit("drops:"), table)
+    dropped = ops.where("op = 'drop_constraint'").select("table_id").distinct().withColumn("_gate", F.lit(True))
+    each = skew_join(ops.where("op IN ('drop_constraint', 'add_constraint') AND table_id IS NOT NULL"), dropped, ["table_id"], "left")
+    drops = F.col("op") == "drop_constraint"
+    pair = lambda a, b: F.struct(a.alias("from_id"), b.alias("to_id"))
+    steps = F.when(drops, F.array(pair(table, F.col("op_id")), pair(F.col("op_id"), gate))).otherwise(
+        F.array(pair(F.when(F.col("_gate"), gate).otherwise(table), F.col("op_id")))
+    )
+    return each.select(F.inline(steps)).select(
+        "from_id", "to_id", F.lit("constraint_ordering").alias("dep_type"), F.lit("enforced").alias("enforcement")
+    )
+
+
+def location_edges(objects: DataFrame, locations: DataFrame) -> DataFrame:
+    """(from_id, to_id, dep_type, enforcement): objects (object_id, location_name) on the locations they
+    name, ``enforced`` where the location is one of ``locations`` (location_name), else a ``warning``."""
+    known = locations.select("location_name").distinct().withColumn("_known", F.lit(True))
+    return skew_join(objects.where("location_name IS NOT NULL"), known, ["location_name"], "left").select(
+        F.concat(F.lit("loc_"), "location_name").alias("from_id"), F.col("object_id").alias("to_id"), F.lit("location").alias("dep_type"),
+        F.when(F.col("_known"), "enforced").otherwise("warning").alias("enforcement"),
+    ).distinct()
+
+
 def missing_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.select(F.col("node_id").alias("from_id")).distinct()
     return skew_join(edges, known, ["from_id"], "left_anti")

@@ -138,3 +138,32 @@ def tag_coverage(columns: DataFrame, tags: DataFrame, pii_key: str = "pii") -> D
         share(F.coalesce("tagged", F.lit(False))).alias("tagged"),
         share(F.coalesce("pii", F.lit(False))).alias("pii"),
     )
+
+
+def schema_coverage(tables: DataFrame, columns: DataFrame, tags: DataFrame, pii_key: str = "pii") -> DataFrame:
+    """Shares of tables and of columns with a comment, any tag and a PII tag, per schema and over all.
+
+    ``tables`` is (schema_id, table_id, comment), ``columns`` (table_id, column_id, comment), ``tags``
+    (object_id, key) of both. A table has a tag if it or one of its columns has. Blank comments are none;
+    columns of unknown tables do not count; shares of nothing are null.
+    """
+    tagged = tags.groupBy("object_id").agg(F.lit(True).alias("_tagged"), F.bool_or(F.coalesce(F.col("key") == pii_key, F.lit(False))).alias("_pii"))
+    noted = F.coalesce(F.trim("comment"), F.lit("")) != ""
+    per_table = (
+        columns.join(tagged.withColumnRenamed("object_id", "column_id"), "column_id", "left")
+        .groupBy("table_id")
+        .agg(
+            F.count(F.lit(1)).alias("_columns"), F.count_if(noted).alias("_columns_commented"),
+            F.count_if("_tagged").alias("_columns_tagged"), F.count_if("_pii").alias("_columns_pii"),
+        )
+    )
+    rows = tables.join(tagged.withColumnRenamed("object_id", "table_id"), "table_id", "left").join(per_table, "table_id", "left")
+    some = lambda own, inner: F.coalesce(F.col(own), F.lit(False)) | (F.coalesce(F.col(inner), F.lit(0)) > 0)
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    part = lambda c: F.round(F.try_divide(F.sum(c).cast("double"), F.sum("_columns")), 4)
+    return rows.rollup("schema_id").agg(
+        F.count(F.lit(1)).alias("tables"), share(noted).alias("tables_commented"),
+        share(some("_tagged", "_columns_tagged")).alias("tables_tagged"), share(some("_pii", "_columns_pii")).alias("tables_pii"),
+        F.coalesce(F.sum("_columns"), F.lit(0).cast("long")).alias("columns"),
+        *[part(f"_columns_{n}").alias(f"columns_{n}") for n in ("commented", "tagged", "pii")],
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogops.operators import impact, quality
-from catalogops.plans.fixtures import fixture, table
+from catalogops.plans.fixtures import fixture, spark_text, table
 from catalogops.queries.registry import query
 
 _LEVEL = "CASE WHEN {n} IS NULL THEN 'UNKNOWN' WHEN {n} = 0 THEN 'SAFE' WHEN {n} < 1000 THEN 'RISKY' ELSE 'DESTRUCTIVE' END"
@@ -178,3 +178,25 @@ def constraint_report(spark, sf_dir):
 )
 def tag_coverage(spark, sf_dir):
     return quality.tag_coverage(fixture(spark, sf_dir, "fx2_columns"), fixture(spark, sf_dir, "fx2_columntags"))
+
+
+_OWN_TAGS = "SELECT object_id, comment AS key FROM [fx3w_old] WHERE object_type = 'table' AND comment = 'BUILDING' UNION ALL SELECT column_id, key FROM [fx2_columntags]"
+
+
+@query(
+    "Q07_schema_coverage",
+    f"""WITH tag AS (SELECT object_id, bool_or(key = 'pii') AS pii FROM ({_OWN_TAGS}) GROUP BY 1),
+    t AS (SELECT parent_id AS schema_id, x.object_id AS table_id, coalesce(comment, '') <> '' AS noted, tag.object_id IS NOT NULL AS tagged, coalesce(pii, false) AS pii
+      FROM ([fx3w_old]) x LEFT JOIN tag ON tag.object_id = x.object_id WHERE object_type = 'table'),
+    c AS (SELECT table_id, count(*) AS n, count(*) FILTER (coalesce(comment, '') <> '') AS noted, count(tag.object_id) AS tagged, count(*) FILTER (pii) AS pii
+      FROM ([fx2_columns]) x LEFT JOIN tag ON tag.object_id = x.column_id GROUP BY 1)
+    SELECT schema_id, count(*) AS tables, round(avg(CASE WHEN t.noted THEN 1.0 ELSE 0.0 END), 4) AS tables_commented,
+      round(avg(CASE WHEN t.tagged OR c.tagged > 0 THEN 1.0 ELSE 0.0 END), 4) AS tables_tagged, round(avg(CASE WHEN t.pii OR c.pii > 0 THEN 1.0 ELSE 0.0 END), 4) AS tables_pii,
+      CAST(coalesce(sum(n), 0) AS BIGINT) AS columns, round(CAST(sum(c.noted) AS DOUBLE) / sum(n), 4) AS columns_commented,
+      round(CAST(sum(c.tagged) AS DOUBLE) / sum(n), 4) AS columns_tagged, round(CAST(sum(c.pii) AS DOUBLE) / sum(n), 4) AS columns_pii
+    FROM t LEFT JOIN c ON c.table_id = t.table_id GROUP BY ROLLUP (schema_id)""",
+)
+def schema_coverage(spark, sf_dir):
+    objects = fixture(spark, sf_dir, "fx3w_old").where("object_type = 'table'")
+    tables = objects.select(F.col("parent_id").alias("schema_id"), F.col("object_id").alias("table_id"), "comment")
+    return quality.schema_coverage(tables, fixture(spark, sf_dir, "fx2_columns"), spark.sql(spark_text(_OWN_TAGS, sf_dir)))

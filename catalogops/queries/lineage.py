@@ -75,6 +75,29 @@ def missing_edges(spark, sf_dir):
     return graph.missing_edges(graph.candidate_edges(resolved, fk), nodes)
 
 
+_ORDERED = "SELECT concat('op_', CAST(seq AS STRING)) AS op_id, concat('tbl_', CAST(table_id AS STRING)) AS table_id, op FROM [fx1k_constraintlog]"
+
+
+@query(
+    "G03_constraint_order_edges",
+    f"""WITH o AS ({_ORDERED}), d AS (SELECT DISTINCT table_id AS t FROM o WHERE op = 'drop_constraint'), e AS (
+      SELECT table_id AS from_id, op_id AS to_id FROM o WHERE op = 'drop_constraint' UNION ALL SELECT op_id, 'drops:' || table_id FROM o WHERE op = 'drop_constraint'
+      UNION ALL SELECT CASE WHEN t IS NULL THEN table_id ELSE 'drops:' || table_id END, op_id FROM o LEFT JOIN d ON t = table_id WHERE op = 'add_constraint')
+    SELECT *, 'constraint_ordering' AS dep_type, 'enforced' AS enforcement FROM e""",
+)
+def constraint_order_edges(spark, sf_dir):
+    return graph.constraint_order_edges(spark.sql(spark_text(_ORDERED, sf_dir)))
+
+
+@query(
+    "G03_location_edges",
+    """SELECT DISTINCT 'loc_' || location_name AS from_id, object_id AS to_id, 'location' AS dep_type,
+      CASE WHEN location_name IN (SELECT location_name FROM [fx9_locations]) THEN 'enforced' ELSE 'warning' END AS enforcement FROM [fx9_external] WHERE location_name IS NOT NULL""",
+)
+def location_edges(spark, sf_dir):
+    return graph.location_edges(fixture(spark, sf_dir, "fx9_external"), fixture(spark, sf_dir, "fx9_locations"))
+
+
 @query(
     "G04_nodes_from_ops",
     f"SELECT target AS node_id, CAST(arg_min({_LEVEL_SQL}, seq) AS INT) AS level, min(seq) AS first_seq, arg_min(op, seq) AS first_op, count(*) AS op_count FROM [fx1_oplog] GROUP BY 1",

@@ -93,3 +93,15 @@ def test_newest_upstream(spark):
     above = {n: [changed[a] for a in nodes if a in changed and n in far[a]] for n in nodes}
     assert got == {f"n{n}": max(v) for n, v in above.items() if v}
     assert graph.newest_upstream(frame(spark, {(1, 2)}).where("false"), changes).count() == 0
+
+
+def test_constraint_order_edges(spark):
+    ops = spark.createDataFrame(
+        [("a1", "t", "add_constraint"), ("d1", "t", "drop_constraint"), ("d2", "t", "drop_constraint"), ("a2", "t", "add_constraint"), ("a3", "u", "add_constraint"), ("x", "t", "add_table"), ("n", None, "add_constraint")],
+        "op_id STRING, table_id STRING, op STRING",
+    )
+    rows = graph.constraint_order_edges(ops)
+    got = {(r.from_id, r.to_id) for r in rows.collect()}
+    assert got == {("t", "d1"), ("t", "d2"), ("d1", "drops:t"), ("d2", "drops:t"), ("drops:t", "a1"), ("drops:t", "a2"), ("u", "a3")}
+    depth = {r.node_id: r.depth for r in graph.topo_depth(graph._ends(rows), rows).collect()}
+    assert max(depth["d1"], depth["d2"]) < min(depth["a1"], depth["a2"]) and depth["u"] < depth["a3"]
