@@ -77,3 +77,20 @@ def test_long_text(spark):
     defs = spark.createDataFrame([("v", text)], "view_id STRING, definition STRING")
     assert [r.ref for r in graph.extract_table_refs(defs).collect()] == ["s.t"]
     assert graph.column_refs(defs).count() == 51
+
+
+def test_texts_are_dealt_and_walked_once(spark):
+    """One file of texts is not one task's to walk, and the join with known columns walks none again."""
+    defs = spark.createDataFrame([(f"v{i}", f"SELECT a, b FROM t{i}") for i in range(64)], "view_id STRING, definition STRING").coalesce(1)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("RepartitionByExpression" in plan(rows) for rows in (graph.extract_table_refs(defs), graph.column_refs(defs)))
+    known = graph.column_refs(defs, spark.createDataFrame([("A",)], "column STRING"))
+    assert "RepartitionByExpression" not in plan(known) and "aggregate(" not in plan(known) and "column_names" not in plan(known)
+    assert known.count() == 64 and {r.ref for r in known.collect()} == {"a"}
+
+
+def test_odd_letters(spark):
+    text = "SELECT é, x², FROM١ FROM 日本.表 JOIN `x y` ON is\n.n"
+    defs = spark.createDataFrame([("v", text)], "view_id STRING, definition STRING")
+    assert {r.ref for r in graph.extract_table_refs(defs).collect()} == {"日本.表", "`x y`"}
+    assert {"é", "x"} <= {r.ref for r in graph.column_refs(defs).collect()}
