@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogops.functions.sqltext import COMMENT, LITERAL, PATH, TICKED, plain_name
+from catalogops.plans.skew import dealt
 
 MARK = "\u0001"
 
@@ -60,7 +61,8 @@ def statements(scripts: DataFrame) -> DataFrame:
         .when(t.startswith("/*"), F.concat(F.lit(MARK), t)).otherwise(t),
     )
     cut = F.transform(F.split(F.array_join(kept, ""), MARK), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
-    rows = scripts.select("script_id", F.posexplode(F.filter(cut, lambda t: t != "")).alias("idx", "statement"))
+    # Dealt anew: a file of scripts that one task reads would otherwise be one task's to cut.
+    rows = dealt(scripts.select("script_id", "script"), "script_id", "script").select("script_id", F.posexplode(F.filter(cut, lambda t: t != "")).alias("idx", "statement"))
     kind = F.lit("unsupported")
     for line in reversed(KINDS.strip().splitlines()):
         name, pattern = (p.strip() for p in line.split("|", 1))

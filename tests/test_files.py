@@ -119,3 +119,9 @@ def test_not_null_and_masks(spark):
         [{"table": "t", "name": "pk", "type": "primary_key", "columns": ["id"]}, {"table": "none", "name": "ck", "type": "check", "expression": "id > 0"}],
     )
     assert {(r["constraint"], r.violations, r.level) for r in report.collect()} == {("pk", 1, "RISKY"), ("ck", 0, "SAFE")}
+
+
+def test_scripts_are_dealt(spark):
+    scripts = spark.createDataFrame([(i, f"CREATE TABLE t{i} (a INT);") for i in range(64)], "script_id INT, script STRING").coalesce(1)
+    rows = corpus.statements(scripts)
+    assert "RepartitionByExpression" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 64
