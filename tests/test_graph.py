@@ -105,3 +105,27 @@ def test_constraint_order_edges(spark):
     assert got == {("t", "d1"), ("t", "d2"), ("d1", "drops:t"), ("d2", "drops:t"), ("drops:t", "a1"), ("drops:t", "a2"), ("u", "a3")}
     depth = {r.node_id: r.depth for r in graph.topo_depth(graph._ends(rows), rows).collect()}
     assert max(depth["d1"], depth["d2"]) < min(depth["a1"], depth["a2"]) and depth["u"] < depth["a3"]
+
+
+def test_closure_reads_what_it_reached_seldom(spark, monkeypatch):
+    """Fewest hops with circles and short cuts; pairs reached before are read in rounds 1, 2, 4, 8, ... only."""
+    read, union = [], graph._union
+    monkeypatch.setattr(graph, "_union", lambda frames: read.append(len(frames)) or union(frames))
+    edges = [(i, i + 1) for i in range(11)] + [(0, 6), (2, 5), (9, 7), (11, 11)]
+    hops = {}
+    for root in (0, 3, 99):
+        front, step = {root}, 0
+        while front:
+            step += 1
+            front = {b for a, b in edges if a in front} - {n for r, n in hops if r == root} - {root}
+            hops |= {(root, n): step for n in front}
+    roots = spark.createDataFrame([("n0",), ("n3",), ("n99",)], "root_id STRING")
+    got = {(r.root_id, r.node_id): r.hops for r in graph.closure(frame(spark, edges), roots).collect()}
+    assert got == {(f"n{r}", f"n{n}"): h for (r, n), h in hops.items()}
+    assert len(read) <= 6
+
+
+def test_closure_keeps_ends_without_a_name(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", None), ("b", None), (None, "a")], "from_id STRING, to_id STRING")
+    got = {(r.root_id, r.node_id, r.hops) for r in graph.closure(edges, spark.createDataFrame([("a",)], "root_id STRING")).collect()}
+    assert got == {("a", "b", 1), ("a", "c", 1), ("a", None, 2)}
