@@ -1,5 +1,7 @@
 """Graph loops against brute force on small random graphs."""
 
+import datetime as dt
+import os
 import random
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogops.operators import graph
 from catalogops.plans import skew
+from catalogops.session import work_folder
 
 
 def reach(edges):
@@ -129,3 +132,41 @@ def test_closure_keeps_ends_without_a_name(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", None), ("b", None), (None, "a")], "from_id STRING, to_id STRING")
     got = {(r.root_id, r.node_id, r.hops) for r in graph.closure(edges, spark.createDataFrame([("a",)], "root_id STRING")).collect()}
     assert got == {("a", "b", 1), ("a", "c", 1), ("a", None, 2)}
+
+
+def written_rows(spark, run):
+    """Rows of all tables that a call writes to the shared folder."""
+    folder = work_folder(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    run()
+    return sum(spark.read.parquet(f"{folder}/{name}").count() for name in set(os.listdir(folder)) - before)
+
+
+def test_loops_write_each_edge_and_node_a_few_times_however_many_rounds(spark):
+    # A chain of 12 with 300 leaves below its end: many rounds, in most of which the leaves have nothing new.
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 100 + i) for i in range(300)], "from_id INT, to_id INT")
+    changes = spark.createDataFrame([(0, dt.datetime(2025, 1, 1))], "node_id INT, changed_at TIMESTAMP")
+    found = {}
+    newest = written_rows(spark, lambda: found.update(newest={r.node_id for r in graph.newest_upstream(edges, changes).collect()}))
+    depth = written_rows(spark, lambda: found.update(depth={r.node_id: r.depth for r in graph.topo_depth(graph._ends(edges), edges).collect()}))
+    assert found["newest"] == {*range(1, 13), *range(100, 400)}
+    assert found["depth"] == {i: i for i in range(13)} | {100 + i: 13 for i in range(300)}
+    assert newest < 5 * 320 and depth < 6 * 320
+
+
+def test_hub_edges_lie_beside_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY_ROWS", 5)
+    df = spark.createDataFrame([(0, 1), (10, 50), (50, 51), (0, 51)] + [(1, 10 + i) for i in range(20)], "from_id INT, to_id INT")
+    assert {r.node_id: r.depth for r in graph.topo_depth(graph._ends(df), df).collect()} == {0: 0, 1: 1, **{10 + i: 2 for i in range(20)}, 50: 3, 51: 4}
+    at = lambda day: dt.datetime(2025, 1, day)
+    changes = spark.createDataFrame([(0, at(1)), (10, at(3)), (51, at(9))], "node_id INT, changed_at TIMESTAMP")
+    got = {r.node_id: r.newest for r in graph.newest_upstream(df, changes).collect()}
+    assert got == {1: at(1), **{10 + i: at(1) for i in range(20)}, 50: at(3), 51: at(3)}
+
+
+def test_nameless_ends_in_depth_and_newest(spark):
+    df = spark.createDataFrame([(None, 1), (1, 2), (2, None), (None, None), (5, 5), (5, 6)], "from_id INT, to_id INT")
+    got = {r.node_id: r.depth for r in graph.topo_depth(graph._ends(df), df).collect()}
+    assert got == {None: 0, 1: 1, 2: 2, 5: None, 6: None}
+    changes = spark.createDataFrame([(None, dt.datetime(2025, 1, 2)), (1, dt.datetime(2025, 1, 1)), (5, None)], "node_id INT, changed_at TIMESTAMP")
+    assert [tuple(r) for r in graph.newest_upstream(df, changes).collect()] == [(2, dt.datetime(2025, 1, 1))]
