@@ -7,6 +7,9 @@ subtree, and whatever is new, or lies in or under something new, is added with a
 fields, tags, properties, constraints, column order and grants. So attributes meet only the old ones
 of objects that stay, and the same joins give both expansion and change.
 
+Joins here are plain ones, whose long partitions the session's skew joins split: to look for hot keys before each
+would read and send each frame again.
+
 The log's order is by phase (drops deepest first, adds from the outermost level on, fields, tags and
 properties, constraints, column places, grants), then level, place, target, op and key, so it is
 the same on every run. The difference the other way round takes it back.
@@ -24,7 +27,6 @@ from pyspark.sql import functions as F
 from catalogops.operators.diff import diff_constraints, diff_grants
 from catalogops.plans.durable import durable
 from catalogops.plans.ordered import global_position, position_within
-from catalogops.plans.skew import skew_join
 
 LEVELS = (("catalog",), ("schema",), ("table", "view"), ("column",))
 DROPS, ADDS, FIELDS, ENTRIES, CONSTRAINTS, PLACES, GRANTS = range(7)
@@ -47,7 +49,7 @@ class State(NamedTuple):
 
     def consistent(self) -> State:
         """Without attributes of objects that are not there."""
-        there = lambda frame, key: skew_join(frame, self.objects.select(F.col("object_id").alias(key)), [key], "left_semi")
+        there = lambda frame, key: frame.join(self.objects.select(F.col("object_id").alias(key)), key, "left_semi")
         return State(
             self.objects, there(self.entries, "object_id"), there(self.constraints, "table_id"), there(self.places, "table_id"),
             there(self.grants, "target_id"),
@@ -58,13 +60,17 @@ def kept_objects(old: DataFrame, new: DataFrame, levels: Sequence[Sequence[str]]
     """(object_id) of what stays: on both sides, in the same container, which stays too."""
     kept = above = None
     was = old.select(F.col("object_id").alias("_id"), F.col("parent_id").alias("_parent"))
+    # Met once for all levels, since a level takes few of the old objects but each would be sent over.
+    at_both = durable(
+        new.select("object_type", "object_id", "parent_id")
+        .join(was, (F.col("object_id") == F.col("_id")) & F.col("parent_id").eqNullSafe(F.col("_parent")), "left_semi"), "both",
+    )
     for kinds in levels:
-        here = new.where(F.col("object_type").isin(list(kinds))).select("object_id", "parent_id")
-        same = here.join(was, (F.col("object_id") == F.col("_id")) & F.col("parent_id").eqNullSafe(F.col("_parent")), "left_semi")
+        same = at_both.where(F.col("object_type").isin(list(kinds)))
         if above is None:
             same = same.where("parent_id IS NULL")
         else:
-            same = skew_join(same, above.select(F.col("object_id").alias("parent_id")), ["parent_id"], "left_semi")
+            same = same.join(above.select(F.col("object_id").alias("parent_id")), "parent_id", "left_semi")
         above = durable(same.select("object_id"), "kept")
         kept = above if kept is None else kept.unionByName(above)
     return kept
@@ -87,7 +93,7 @@ def _objects(old: State, new: State, kept: DataFrame, levels: Sequence[Sequence[
     kind, level = F.col("object_type"), _level(levels)
     gone = old.objects.join(kept, "object_id", "left_anti")
     tops = gone.where("parent_id IS NULL").unionByName(
-        skew_join(gone.where("parent_id IS NOT NULL"), kept.select(F.col("object_id").alias("parent_id")), ["parent_id"], "left_semi").select(*gone.columns)
+        gone.where("parent_id IS NOT NULL").join(kept.select(F.col("object_id").alias("parent_id")), "parent_id", "left_semi").select(*gone.columns)
     )
     fresh = durable(new.objects.join(kept, "object_id", "left_anti"), "fresh")
     # A column is added at its place, so that adds alone give the order of a new table.
@@ -129,7 +135,7 @@ def _places(old: DataFrame, new: DataFrame, kept: DataFrame) -> DataFrame:
     ordered = columns.select("table_id", "column_id", "position", fresh.alias("_fresh"), F.when(fresh, F.col("position")).otherwise(F.col("_was")).alias("_at"))
     due = durable(position_within(ordered, ["table_id"], ["_fresh", "_at", "column_id"], "_due"), "due")
     moved = due.where("_due <> position").select("table_id").distinct()
-    rows = skew_join(due, moved, ["table_id"], "left_semi")
+    rows = due.join(moved, "table_id", "left_semi")
     return _ops(rows, PLACES, F.lit("place_column"), "table_id", F.col("column_id"), F.col("position"), place=F.col("position"))
 
 
@@ -142,8 +148,8 @@ def _grants(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def whole_diff(old: State, new: State, levels: Sequence[Sequence[str]] = LEVELS) -> DataFrame:
     """(seq, op, target, key, value): the log that turns one state into the other."""
-    kept = durable(kept_objects(old.objects, new.objects, levels), "kept")
-    stay = lambda frame, key: skew_join(frame, kept.select(F.col("object_id").alias(key)), [key], "left_semi")
+    kept = kept_objects(old.objects, new.objects, levels)
+    stay = lambda frame, key: frame.join(kept.select(F.col("object_id").alias(key)), key, "left_semi")
     parts = [
         *_objects(old, new, kept, levels),
         _entries(stay(old.entries, "object_id"), new.entries),
@@ -165,7 +171,7 @@ def applied(state: State, ops: DataFrame, levels: Sequence[Sequence[str]] = LEVE
         here = state.objects.where(F.col("object_type").isin(list(kinds)))
         own = here.join(dropped, "object_id", "left_semi").select("object_id")
         if above is not None:
-            own = own.unionByName(skew_join(here, above.select(F.col("object_id").alias("parent_id")), ["parent_id"], "left_semi").select("object_id")).distinct()
+            own = own.unionByName(here.join(above.select(F.col("object_id").alias("parent_id")), "parent_id", "left_semi").select("object_id")).distinct()
         above = durable(own, "gone")
         gone = above if gone is None else gone.unionByName(above)
     left = lambda frame, key: frame.join(gone.select(F.col("object_id").alias(key)), key, "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalogops.plans.durable import durable
-from catalogops.plans.skew import skew_join
+from catalogops.plans.skew import has_heavy, heavy_keys
 
 BITS = 20
 
@@ -136,10 +136,18 @@ def global_position(df: DataFrame, order: Sequence[str | Column], out: str) -> D
 
 
 def position_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
-    """Add ``out``: 0-based place of the row inside its key, for any total order.
+    """Add ``out``: 0-based place of the row inside its key, for any total order; rows with a null key are left out.
 
-    Places in the whole frame minus the first place of the key, so no key is one task's.
+    A window, since a key that is not heavy fits a task. Rows of heavy keys are placed in the whole frame,
+    minus the first place of the key, so no such key is one task's.
     """
-    placed = global_position(df, [*keys, *order], "_at")
+    named = df.dropna(subset=list(keys))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    counted = lambda rows: rows.withColumn(out, F.row_number().over(inside).cast("long") - 1)
+    if not has_heavy(named, keys):
+        return counted(named)
+    heavy = durable(heavy_keys(named, keys), "heavy")
+    placed = global_position(named.join(F.broadcast(heavy), list(keys), "left_semi"), [*keys, *order], "_at")
     first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    return skew_join(placed, first, keys).withColumn(out, F.col("_at") - F.col("_first")).select(*df.columns, out)
+    spread = placed.join(F.broadcast(first), list(keys)).withColumn(out, F.col("_at") - F.col("_first"))
+    return counted(named.join(F.broadcast(heavy), list(keys), "left_anti")).select(*df.columns, out).unionByName(spread.select(*df.columns, out))

@@ -6,6 +6,9 @@ import pytest
 from test_fold import rows_of
 
 from catalogops.operators import whole
+from catalogops.plans import ordered, skew
+
+REAL = skew.heavy_keys
 
 FRAMES = {
     "objects": "object_type STRING, object_id STRING, parent_id STRING, name STRING, comment STRING",
@@ -78,3 +81,24 @@ def test_a_dropped_container_is_one_op_and_a_moved_one_is_added_whole(spark):
     ]
     gone = frames(spark, ([("catalog", "c", None, "c", None)], [], [], [], []))
     assert [r["op"] for r in whole.whole_diff(old, gone).orderBy("seq").collect()] == ["drop_schema", "drop_schema"]
+
+
+def test_joins_of_the_diff_read_each_frame_without_looking_for_hot_keys_first(spark, monkeypatch):
+    """A look for hot keys before a join reads and sends its frame again: only places are looked through, by hash."""
+    looked = []
+    monkeypatch.setattr(skew, "heavy_keys", lambda df, keys, share=0: looked.append(keys) or REAL(df, keys))
+    rng = random.Random(4)
+    old, new = frames(spark, random_state(rng)), frames(spark, random_state(rng))
+    ops = whole.whole_diff(old.consistent(), new.consistent())
+    assert ops.count() > 0 and looked == []
+
+
+def test_places_of_heavy_and_other_keys(spark, monkeypatch):
+    rows = [("a", i * 7 % 40) for i in range(40)] + [("b", 3), ("b", 1), (None, 5)]
+    df = spark.createDataFrame(rows, "k STRING, v INT")
+    want = sorted([("a", i, i) for i in range(40)] + [("b", 1, 0), ("b", 3, 1)])
+    for least in (skew.HEAVY_ROWS, 10):
+        monkeypatch.setattr(skew, "HEAVY_ROWS", least)
+        got = ordered.position_within(df, ["k"], ["v"], "at")
+        assert got.schema["at"].dataType.typeName() == "long"
+        assert sorted(map(tuple, got.collect())) == want
