@@ -12,6 +12,7 @@ from test_operators import classes, partition
 import corpus_pipeline
 from catalogops.llm import language, minhash, quality
 from catalogops.llm.registry import free
+from catalogops.plans.durable import durable
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -61,6 +62,42 @@ def test_fit_is_bounded_by_rows(spark):
     assert sum(r["n0"] + r["n1"] for r in learned if r["feature"] is not None) > 3000
 
 
+def test_fit_sends_no_plain_text(spark, monkeypatch):
+    rows = [(i, f"Good text number {i} , with some words ." if i % 2 else f"junk {i} !!! $$$") for i in range(1, 90)]
+    rows += [(91, None), (92, ""), (93, "x" * 700_000 + " Ünï"), (1, "another of id 1"), (2, None), (None, "no id")]
+    labels = [(i, i % 2) for i in range(1, 94)]
+    documents, labelled = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    found, sent = {}, []
+
+    def seen(df, label):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = df._jdf.queryExecution().explainString(mode)
+        sent.extend(line for part in plan.split("\n\n") if ") Exchange\n" in part for line in part.splitlines() if line.startswith("Input"))
+        found[label] = durable(df, label)
+        return found[label]
+
+    monkeypatch.setattr(quality, "durable", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights, bias = quality.fit(documents, labelled, sample=40)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("packed#" in line for line in sent) and not any("text#" in line for line in sent)
+    learned = {r["doc_id"] for r in documents.where(quality.remainder() != 0).collect()}
+    want, fitted = Counter(), set()
+    for doc_id, text in rows:
+        if doc_id in learned:
+            _, feature = quality.indicators(*minhash.text_bytes(pa.array([text], pa.string())))
+            want.update((int(f), doc_id % 2) for f in feature)
+            fitted.add((doc_id % 2, feature.astype(np.int32).tobytes()))
+    got = Counter()
+    for r in found["learned"].where("feature IS NOT NULL").collect():
+        got.update({(r["feature"], 0): r["n0"], (r["feature"], 1): r["n1"]})
+    assert +got == want and weights.any() and np.isfinite(bias)
+    assert {(r["label"], bytes(r["indicators"])) for r in found["learned"].where("feature IS NULL").collect()} <= fitted
+
+
 def test_clashing_names_are_kept(spark):
     row = (1, "The cat sat on the mat , and the dog ran .", "en", "a", 7, "b", 0.5, 1.0, "_x", [1], "d", 3, 4)
     frame = spark.createDataFrame(
