@@ -34,14 +34,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.llm.components import connected_components
 from catalogops.llm.registry import free, query, table
-from catalogops.llm.textbytes import grams, mix, slices, text_bytes, words
-from catalogops.plans.durable import durable
+from catalogops.llm.textbytes import grams, mix, packed, slices, text_bytes, unpacked, words
+from catalogops.plans.durable import Bucketed, durable
 from catalogops.plans.skew import skew_join
+from catalogops.session import small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -138,17 +139,16 @@ def _sketch_batches(size: int):
 
 
 def _set_batches(size: int):
+    """The shingle set of each packed text."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unpacked(batches, ["node"]):
             data, offsets = text_bytes(batch.column("text"))
-            for lo, hi in slices(offsets):
-                at = offsets[lo : hi + 1] - offsets[lo]
-                doc, hashes = _distinct(data[offsets[lo] : offsets[hi]], at, size)
-                ends = np.searchsorted(doc, np.arange(hi - lo + 1))
-                sets = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array(sets, pa.binary())], schema=schema)
+            doc, hashes = _distinct(data, offsets, size)
+            ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            sets = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
@@ -222,6 +222,11 @@ def _similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], schema=schema)
 
 
+def _name(text_key: Column, doc_id: Column) -> Column:
+    """A row's text and id as one value, null for a null text only: copies of a text do not share it, and a null id is like any other."""
+    return F.concat(text_key, F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
 def near_duplicates(
     documents: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, small_bucket: int = SMALL_BUCKET
 ) -> DataFrame:
@@ -241,10 +246,13 @@ def near_duplicates(
     nodes = durable(sketches.groupBy("set_key").agg(F.min("row").alias("node")), "nodes")
     shown = durable(
         sketches.where(F.size("bands") > 0).join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-        .select(F.col("row").alias("node"), "doc_id", "text_key", "bands", "sketch"),
+        .select(F.col("row").alias("node"), _name(F.col("text_key"), F.col("doc_id")).alias("name"), "bands", "sketch"),
         "shown",
     )
-    roots = _roots(columns, shown, shingle, similarity, small_bucket)
+    texts = columns.where(F.col("text").isNotNull()).select(_name(text_key, F.col("doc_id")).alias("name"), "text")
+    laid = Bucketed(documents.sparkSession, "texts", "name")
+    roots = _roots(texts, laid, shown, shingle, similarity, small_bucket)
+    laid.forget()
     named = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     members = durable(skew_join(sketches.select("row", "doc_id", "text_key", "set_key"), named, ["set_key"]).drop("set_key"), "members")
     classes = members.groupBy("root").agg(
@@ -257,18 +265,21 @@ def near_duplicates(
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay: one of each class, and every null text."""
-    number, key = free(["number", "key"], documents.columns)
-    extra = {number: F.col("doc_id").cast("long"), key: F.md5(F.col("text").cast("binary"))}
-    kept = near_duplicates(documents.select("doc_id", "text")).where("keeper AND text_key IS NOT NULL").select("doc_id", "text_key")
-    told = documents.where(F.col("text").isNotNull()).withColumns(extra)
-    same = told[number].eqNullSafe(kept["doc_id"]) & (told[key] == kept["text_key"])
-    # The keeper may be one of several rows that repeat id and text, null ids included.
-    told = told.join(kept, same, "left_semi").dropDuplicates([number, key])
+    (name,) = free(["name"], documents.columns)
+    kept = near_duplicates(documents.select("doc_id", "text")).where("keeper AND text_key IS NOT NULL")
+    kept = kept.select(_name(F.col("text_key"), F.col("doc_id")).alias(name))
+    told = documents.where(F.col("text").isNotNull()).withColumn(name, _name(F.md5(F.col("text").cast("binary")), F.col("doc_id").cast("long")))
+    # The keeper may be one of several rows that repeat id and text, null ids included. They lie together
+    # already where they met it, so whole rows are sent once.
+    told = told.join(kept, name, "left_semi").dropDuplicates([name])
     return told.select(*documents.columns).union(documents.where(F.col("text").isNull()))
 
 
-def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
-    """(node, root) of every node alike to another; root is the least node of the class."""
+def _roots(texts: DataFrame, laid: Bucketed, shown: DataFrame, shingle: int, similarity: float, small_bucket: int) -> DataFrame:
+    """(node, root) of every node alike to another; root is the least node of the class.
+
+    ``texts`` are sent once, packed, to be laid out by name in ``laid``; every round reads those it asks for from there.
+    """
     spark = shown.sparkSession
     rows = shown.select("node", F.explode("bands").alias("bucket"))
     sketch = shown.select("node", "sketch")
@@ -291,10 +302,8 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
     def whole(asked: DataFrame) -> DataFrame:
         """(node, shingles) of all nodes asked for so far; each text is read for it once."""
         fresh = asked.join(among(known, "node long, shingles binary"), "node", "left_anti")
-        wanted = shown.join(fresh, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), "text_key")
-        # Copies of a text share its key but not its id, so they do not meet in one task; a null id is like any other.
-        texts = columns.join(wanted, columns["doc_id"].eqNullSafe(wanted["_id"]) & (columns["text_key"] == wanted["text_key"]))
-        found = texts.groupBy("node").agg(F.first(columns["text"]).alias("text")).mapInArrow(_set_batches(shingle), "node long, shingles binary")
+        wanted = named.join(fresh, "node", "left_semi")
+        found = laid.rows().join(wanted, "name").select("node", "size", "packed").mapInArrow(_set_batches(shingle), "node long, shingles binary")
         known.append(durable(found, "sets"))
         return among(known, "node long, shingles binary")
 
@@ -337,6 +346,12 @@ def _roots(columns: DataFrame, shown: DataFrame, shingle: int, similarity: float
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = durable(rows.join(shared, "bucket"), "shared")
     members = durable(held.drop("n").join(held.groupBy("node").agg(F.sum("n").alias("central")), "node").select("bucket", "node", "central"), "members")
+    if members.isEmpty():
+        return spark.createDataFrame([], "node long, root long")
+    # Only texts that share a bucket are ever compared.
+    named = durable(shown.join(members.select("node").distinct(), "node", "left_semi").select("node", "name"), "named")
+    frames = texts.mapInArrow(packed("name"), "name string, size long, packed binary").join(named.select("name"), "name", "left_semi")
+    laid.add(frames.groupBy("name").agg(F.first("size").alias("size"), F.first("packed").alias("packed")), 0)
     first = members.join(_hubs(members), "bucket").where("node <> hub")
     links = linked(sifted(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))))
     roots = merged(spark.createDataFrame([], "node long, root long"), links)
@@ -376,4 +391,5 @@ def _hubs(members: DataFrame) -> DataFrame:
 @query("op1_minhash_neardup")
 def op1_minhash_neardup(spark, sf_dir):
     """Near-duplicate class of every document."""
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

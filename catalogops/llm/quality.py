@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalogops.llm.registry import extended, free, held_out, query, remainder, table
-from catalogops.llm.textbytes import IS_LOWER, IS_SPACE, IS_UPPER, IS_WORD, LOWER, grams, mix, runs, slices, text_bytes
+from catalogops.llm.textbytes import IS_LOWER, IS_SPACE, IS_UPPER, IS_WORD, LOWER, grams, mix, packed, runs, slices, text_bytes, unpacked
 from catalogops.plans.durable import durable
 
 BITS = 18
@@ -146,33 +146,9 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(slope), 1e-3), float(shift)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text as a zstd frame of its own, and its size in bytes."""
-    codec = pa.Codec("zstd")
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("text"))
-        for lo, hi in slices(offsets):
-            packed = [codec.compress(data[offsets[i] : offsets[i + 1]], asbytes=True) for i in range(lo, hi)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(packed, pa.binary())], names=["doc_id", "size", "packed"]
-            )
-
-
 def _learn_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_learn`` on the texts that ``_packed`` was given."""
-    codec = pa.Codec("zstd")
-
-    def unpacked() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, packed = batch.column("size").to_numpy(), batch.column("packed")
-            offsets = np.r_[0, np.cumsum(size)]
-            for lo, hi in slices(offsets):
-                data = b"".join(codec.decompress(packed[i].as_buffer(), int(size[i]), asbytes=True) for i in range(lo, hi))
-                text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(offsets[lo : hi + 1] - offsets[lo]), pa.py_buffer(data))
-                rest = [batch.column(c).slice(lo, hi - lo) for c in ("label", "place", "sampled")]
-                yield pa.RecordBatch.from_arrays([text, *rest], names=["text", "label", "place", "sampled"])
-
-    return _learn(unpacked())
+    """``_learn`` on packed texts."""
+    return _learn(unpacked(batches, ["label", "place", "sampled"]))
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -192,8 +168,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
         return np.zeros(1 << BITS), 0.0
     # Where labels are too many to be broadcast, texts are sent to them, and are most of what the fit keeps on disk.
     texts = documents.where(remainder() != 0).select("doc_id", "text")
-    packed = texts.mapInArrow(_packed, extended(texts.select("doc_id"), size="long", packed="binary"))
-    rows = packed.join(known, "doc_id").select("size", "packed", "label", "place", (F.col("place") <= F.lit(cut)).alias("sampled"))
+    frames = texts.mapInArrow(packed("doc_id"), extended(texts.select("doc_id"), size="long", packed="binary"))
+    rows = frames.join(known, "doc_id").select("size", "packed", "label", "place", (F.col("place") <= F.lit(cut)).alias("sampled"))
     learned = durable(rows.mapInArrow(_learn_packed, "feature long, n0 long, n1 long, label int, place long, indicators binary"), "learned")
     counts = learned.where("feature IS NOT NULL").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     share = known.agg(F.sum(F.lit(1) - F.col("label")), F.sum("label")).first()

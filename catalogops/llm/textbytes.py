@@ -73,6 +73,34 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         lo = hi
 
 
+def packed(key: str):
+    """Rows of ``key`` and text as the key, the text's size in bytes, and the text as a zstd frame of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for lo, hi in slices(offsets):
+                frames = [codec.compress(data[offsets[i] : offsets[i + 1]], asbytes=True) for i in range(lo, hi)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(frames, pa.binary())], names=[key, "size", "packed"]
+                )
+
+    return run
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The texts that ``packed`` was given, a slice at a time, and the named columns beside them."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        size, frames = batch.column("size").to_numpy(), batch.column("packed")
+        offsets = np.r_[0, np.cumsum(size)]
+        for lo, hi in slices(offsets):
+            data = b"".join(codec.decompress(frames[i].as_buffer(), int(size[i]), asbytes=True) for i in range(lo, hi))
+            text = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(offsets[lo : hi + 1] - offsets[lo]), pa.py_buffer(data))
+            yield pa.RecordBatch.from_arrays([text, *(batch.column(c).slice(lo, hi - lo) for c in names)], names=["text", *names])
+
+
 class Runs(NamedTuple):
     """Runs of bytes of one class: where they start and end, their text's number, their hash."""
 

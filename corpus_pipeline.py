@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from catalogops.llm import language, minhash, packing, quality
 from catalogops.llm.registry import free, table
 from catalogops.plans.durable import durable
-from catalogops.session import tune
+from catalogops.session import small_batches, tune
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a learned language explains; those without any letter go."""
+    small_batches(spark)
     found = language.identify(docs, language.learn(docs))
     (lang_pred,) = free(["lang_pred"], docs.columns)
     return found.where(F.col(lang_pred) != "und").select(*docs.columns)
@@ -25,6 +26,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``THRESHOLD`` or more."""
+    small_batches(spark)
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     (score,) = free(["quality_score"], docs.columns)
     return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
@@ -32,6 +34,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the least id."""
+    small_batches(spark)
     return minhash.deduplicated(docs)
 
 
@@ -39,6 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
