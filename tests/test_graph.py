@@ -170,3 +170,73 @@ def test_nameless_ends_in_depth_and_newest(spark):
     assert got == {None: 0, 1: 1, 2: 2, 5: None, 6: None}
     changes = spark.createDataFrame([(None, dt.datetime(2025, 1, 2)), (1, dt.datetime(2025, 1, 1)), (5, None)], "node_id INT, changed_at TIMESTAMP")
     assert [tuple(r) for r in graph.newest_upstream(df, changes).collect()] == [(2, dt.datetime(2025, 1, 1))]
+
+
+def fewest(edges, roots):
+    """Brute force: (root, node) -> hops."""
+    hops = {}
+    for root in roots:
+        seen, front, step = {root}, {root}, 0
+        while front:
+            step += 1
+            front = {b for a, b in edges if a in front} - seen
+            seen |= front
+            hops |= {(root, n): step for n in front}
+    return hops
+
+
+def closed(spark, edges, roots):
+    named = spark.createDataFrame([(f"n{r}",) for r in roots], "root_id STRING")
+    rows = graph.closure(frame(spark, edges), named).collect()
+    got = {(int(r.root_id[1:]), int(r.node_id[1:])): r.hops for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_closure_takes_rounds_by_the_bits_of_its_hops(spark, monkeypatch):
+    """A chain of 70 with short cuts, from its top and from all of its nodes: few tables are written, and few rows."""
+    written, durable = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, label="cut": written.append(label) or durable(df, label))
+    edges = {(i, i + 1) for i in range(70)} | {(3, 9), (20, 41), (22, 40)} | {(i, 100 + i) for i in range(0, 70, 7)}
+    for roots in ([0, 30], [*range(71)]):
+        written.clear()
+        assert closed(spark, edges, roots) == fewest(edges, roots)
+        assert len(written) < 35 and "reached" not in written
+    rows = written_rows(spark, lambda: closed(spark, edges, [*range(71)]))
+    assert rows < 20 * len(edges) < len(fewest(edges, range(71)))
+
+
+@pytest.mark.parametrize("held", [1 << 16, 6, 1])
+def test_closure_by_jumps_and_steps(spark, monkeypatch, held):
+    """Random graphs with circles, from few roots and from all, turned round too; rows that would hold too much leave the rest to steps."""
+    monkeypatch.setattr(graph, "HELD", held)
+    stepped, by_steps = [], graph._by_steps
+    monkeypatch.setattr(graph, "_by_steps", lambda *a: stepped.append(a[2]) or by_steps(*a))
+    rng = random.Random(4)
+    edges = {(rng.randrange(15), rng.randrange(15)) for _ in range(16)} | {(20, i) for i in range(5)}
+    for way, roots in ((edges, [2, 20, 99]), ({(b, a) for a, b in edges}, [*range(21)])):
+        assert closed(spark, way, roots) == fewest(way, roots)
+    assert bool(stepped) == (held < 1 << 16)
+    assert held != 6 or max(stepped) > 0
+
+
+def test_closure_holds_rows_for_the_ends_that_branch_less(spark):
+    # One top above a tree: from all nodes up, rows are for roots; from the top down, they are for the nodes met.
+    edges = {(i // 2, i) for i in range(1, 300)}
+    up = {(b, a) for a, b in edges}
+    assert closed(spark, up, [*range(300)]) == fewest(up, range(300))
+    assert closed(spark, edges, [0, 5]) == fewest(edges, [0, 5])
+    longest, pairs = [], graph._pairs
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(graph, "_pairs", lambda sets, *a: longest.append(sets.agg(F.max("n")).first()[0]) or pairs(sets, *a))
+        closed(spark, up, [*range(300)])
+        closed(spark, edges, [0, 5])
+    assert longest[0] <= 10 and longest[1] <= 2
+
+
+def test_closure_of_no_edges_or_no_roots(spark):
+    assert closed(spark, {(1, 2)}, [7]) == {}
+    none = frame(spark, {(1, 2)}).where("false")
+    assert graph.closure(none, spark.createDataFrame([("n1",)], "root_id STRING")).count() == 0
+    assert graph.closure(frame(spark, {(1, 2)}), spark.createDataFrame([], "root_id STRING")).count() == 0
+    assert graph.closure(frame(spark, {(1, 2)}), spark.createDataFrame([(None,)], "root_id STRING")).count() == 0
